@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.llm import exact_dedup, jump_shards, mixing, url_filter
+from sheaf.llm import exact_dedup, jump_shards, mixing, packing, token_store, url_filter
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
+    "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_sharding": jump_shards.op8_sharding,
