@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sheaf.llm import block_search, exact_dedup, jump_shards, mixing, packing, simhash, token_store, url_filter, warc
+from sheaf.llm import block_search, exact_dedup, jump_shards, mixing, packing, simhash, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op5_mixing": mixing.op5_mixing,

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.llm.rows import small
 from sheaf.llm.store import file_system, workspace, written
 from sheaf.sources.tables import table
 
@@ -65,8 +66,8 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
     """Write every row as a record into archives below ``folder`` and return the index, a written table.
 
     Of rows with equal payloads of ``least`` bytes or more, the one with the largest id is the response and the
-    others revisit it; rows repeated in full hold one response between them, and a row of null id responds only
-    where the payload has no other. Null html is an empty payload. Which rows revisit is settled on digests
+    others revisit it. Rows that repeat that id are all responses, and so are rows of null ids where the group has
+    no other id; beside other ids they revisit. Null html is an empty payload. Which rows revisit is settled on digests
     before any archive is written. Each task writes whole files under names of their own, and only files of
     tasks that succeeded are in the index, so a lost executor leaves at most files that nothing refers to.
     """
@@ -75,8 +76,8 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
     facts = rows.select("page_id", "url", F.octet_length("html").alias("n"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same")).where(F.col("n") >= least)
     first = F.max(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "url")).alias("first")
     shared = written(facts.groupBy("same").agg(F.count("*").alias("rows"), first).where("rows > 1").select("same", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), f"{folder}/shared")
-    settled = rows.withColumn("same", F.when(F.octet_length("html") >= least, F.unhex(F.sha2(F.col("html").cast("binary"), 256)))).repartition(F.xxhash64("page_id", "url"))
-    joined = settled.join(shared, "same", "left").withColumn("payload", F.col("html").cast("binary")).select("page_id", "url", "payload", "refers_to", "refers_url", F.col("refers_to").isNotNull().alias("has"))
+    settled = rows.withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256))).repartition(F.xxhash64("page_id", "url"))
+    joined = settled.join(small(shared), "same", "left").withColumn("payload", F.col("html").cast("binary")).select("page_id", "url", "payload", "refers_to", "refers_url", F.col("refers_to").isNotNull().alias("has"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = file_system(folder)
