@@ -1 +1 @@
-
+"""Column functions: text, URLs and scholarly identifiers."""

@@ -1 +1 @@
-
+"""DataFrame operators over captured documents."""
