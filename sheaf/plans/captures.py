@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import count_tokens, fence_scan, markdown_headings, normalize_heading, slugify, word_count
+from sheaf.functions.text import count_tokens
 from sheaf.functions.urls import is_http_url, public_url
 from sheaf.operators import verdict as V
 from sheaf.operators.attempts import failure
@@ -21,23 +21,18 @@ def verified(captures: DataFrame, covered: bool = False) -> DataFrame:
     have = set(captures.columns)
     rows = with_facts(captures.withColumns({"http_status": F.col("http_status") if "http_status" in have else F.lit(None).cast("int"), "final_url": F.col("final_url") if "final_url" in have else F.col("url")}))
     rows = rows.withColumn("block", block_signal(F.col("html"), F.col("facts"), F.col("http_status"), F.col("final_url")))
-    text = F.col("facts.markdown")
-    rows = rows.withColumns({"_dom": F.transform("facts.headings", normalize_heading), "_heads": F.transform(markdown_headings(text), normalize_heading), "_lines": F.transform(F.split(text, "\r?\n"), normalize_heading)})
-    rows = rows.withColumn("_missing", F.size(V.missing_headings(F.col("_dom"), F.col("_heads"), F.col("_lines")))).drop("_dom", "_heads", "_lines")
-    total = F.size("facts.headings")
-    output = word_count(text)
-    signals = {
-        "heading_presence": V.heading_signal(total, total - F.col("_missing")),
-        "dom_vs_output_coverage": V.coverage_signal(F.col("facts.words"), output),
-        "blockpage_check": ~F.col("block.detected"),
-        "length_sanity": V.length_signal(F.col("facts.declared"), output),
-        "pagination_coverage": V.pagination_signal(F.col("facts.paginated"), F.lit(covered)),
-    }
-    rows = rows.withColumn("evidence", V.evidence(**signals)).drop("_missing")
-    passed = lambda name: F.filter("evidence", lambda e: e["name"] == name)[0]["passed"]
-    own: list[Column] = [passed("heading_presence"), passed("dom_vs_output_coverage"), passed("length_sanity"), F.col("block.detected"), passed("pagination_coverage")]
+    rows = rows.withColumns(
+        {
+            "_heading": V.heading_signal(F.size("facts.headings"), F.col("facts.represented")),
+            "_coverage": V.coverage_signal(F.col("facts.words"), F.col("facts.output_words")),
+            "_length": V.length_signal(F.col("facts.declared"), F.col("facts.output_words")),
+            "_pagination": V.pagination_signal(F.col("facts.paginated"), F.lit(covered)),
+        }
+    )
+    own = [F.col(c) for c in ("_heading", "_coverage", "_length")] + [F.col("block.detected"), F.col("_pagination")]
+    signals = {"heading_presence": own[0], "dom_vs_output_coverage": own[1], "blockpage_check": ~own[3], "length_sanity": own[2], "pagination_coverage": own[4]}
     valid = is_http_url(F.col("url"))
-    rows = rows.withColumn("status", F.when(valid, V.generic_status(*own)).otherwise("unknown"))
+    rows = rows.withColumns({"evidence": V.evidence(**signals), "status": F.when(valid, V.generic_status(*own)).otherwise("unknown")}).drop("_heading", "_coverage", "_length", "_pagination")
     failed = F.array_join(F.transform(F.filter("evidence", lambda e: V.is_false(e["passed"])), lambda e: e["name"]), ", ")
     reason = (
         F.when(F.col("block.detected"), "A block page may have replaced the requested page")
@@ -58,7 +53,7 @@ def read_captures(captures: DataFrame, budget: int | None = None, covered: bool
     if budget is not None and (isinstance(budget, bool) or not isinstance(budget, int) or budget < 0):
         raise ValueError("the budget must be a non-negative integer")
     rows = verified(captures, covered).withColumn("shown", F.when(F.col("block.auth_required"), "").otherwise(F.col("facts.markdown")))
-    rows = with_sections(rows, "shown")
+    rows = rows.withColumn("sections", F.when(F.col("block.auth_required"), F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections")))
     whole = count_tokens(F.col("shown"))
     rows = rows.withColumn("spent", F.aggregate("sections", F.array().cast("array<bigint>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + s["token_count"])))
     kept = F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(F.size(F.filter("spent", lambda t: t <= budget)))
@@ -89,29 +84,9 @@ def read_captures(captures: DataFrame, budget: int | None = None, covered: bool
     )
 
 
-def with_sections(rows: DataFrame, markdown: str) -> DataFrame:
-    """Add ``sections``: a document's sections as one array, with anchors numbered where they repeat.
-
-    Each stage is a column of its own, so that no array is computed again for every element of the next.
-    """
-    lines = rows.withColumn("_lines", fence_scan(F.split(F.col(markdown), "(?<=\n)")))
-    heads = F.filter(F.transform("_lines", lambda r, i: F.when(r["heading"].isNotNull(), i)), lambda i: i.isNotNull())
-    starts = lines.withColumn("_starts", F.array_distinct(F.concat(F.array(F.lit(0)), heads)))
-    body = lambda s, i: F.slice("_lines", s + 1, F.coalesce(F.get("_starts", i + 1), F.size("_lines")) - s)
-    cut = F.transform("_starts", lambda s, i: F.struct(F.coalesce(F.get("_lines", s)["heading"], F.lit("Document")).alias("heading"), F.coalesce(F.get("_lines", s)["level"], F.lit(0)).alias("level"), F.array_join(F.transform(body(s, i), lambda r: r["line"]), "").alias("markdown")))
-    kept = starts.withColumn("_cut", cut).withColumn("_cut", F.filter("_cut", lambda s: (s["level"] > 0) | s["markdown"].rlike(r"(?U)\S")))
-    slugs = kept.withColumn("_slugs", F.transform("_cut", lambda s: slugify(s["heading"])))
-    turn = lambda i: F.size(F.filter(F.slice("_slugs", 1, i + 1), lambda x: x == F.get("_slugs", i)))
-    numbered = slugs.withColumn("_turns", F.transform("_slugs", lambda x, i: turn(i)))
-    anchor = lambda i: F.when(F.get("_turns", i) == 1, F.get("_slugs", i)).otherwise(F.concat_ws("-", F.get("_slugs", i), F.get("_turns", i).cast("string")))
-    whole = F.transform("_cut", lambda s, i: F.struct(s["heading"].alias("heading"), s["level"].alias("level"), anchor(i).alias("anchor"), count_tokens(s["markdown"]).cast("bigint").alias("token_count"), F.length(s["markdown"]).alias("char_count"), s["markdown"].alias("markdown")))
-    return numbered.withColumn("sections", whole).drop("_lines", "_starts", "_cut", "_slugs", "_turns")
-
-
 def read_section(captures: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """(key, anchor, markdown) for wanted (key, anchor) of stored captures; a null markdown is an unknown handle or anchor."""
-    shown = verified(captures).select(key, F.col("facts.markdown").alias("shown"))
-    rows = with_sections(shown, "shown").select(key, F.explode("sections").alias("s")).select(key, "s.anchor", "s.markdown")
+    rows = verified(captures).select(key, F.explode("facts.sections").alias("s")).select(key, "s.anchor", "s.markdown")
     first = rows.groupBy(key, "anchor").agg(F.first("markdown", ignorenulls=True).alias("markdown"))
     return wanted.join(first, [key, "anchor"], "left")
 

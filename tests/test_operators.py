@@ -125,7 +125,7 @@ def test_page_facts():
         (ARTICLE, 200, False, False),
         ("<title>Just a moment...</title><body>wait</body>", 200, True, False),
         ("<body><div class='paywall'>Subscribe to continue reading</div></body>", 200, True, True),
-        ("<body><div class='paywall' hidden>x</div>fine</body>", 403, True, False),
+        ("<body><article><div class='paywall' hidden>x</div>fine</article></body>", 403, True, False),
         ("<body>we value consent <b>accept all</b></body>", 200, True, False),
     ],
 )
