@@ -73,14 +73,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns. Ids tell rows apart here: where rows repeat an id, those with the kept text stay once."""
+    """The rows of ``docs`` that stay, with its columns. Ids tell rows apart; rows that repeat an id or have none are told apart by content, and full repeats stay once."""
     at = workspace(docs.sparkSession, "exact-kept")
     found = written(exact_groups(docs, id_col, text_col), f"{at}/groups")
-    repeats = written(found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("any")).where("n > 1"), f"{at}/repeats")
+    repeats = written(found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("any")).where("n > 1 or id is null"), f"{at}/repeats")
     lost = written(found.where("not kept").join(repeats, "id", "left_anti").select(F.col("id").alias(id_col)), f"{at}/lost")
     if repeats.isEmpty():
         return without(docs, lost, id_col)
-    # ids that occur several times: their rows are told apart by content, and full repeats fall together
+    # rows of such ids are told apart by content, and full repeats fall together
     same = F.col(id_col).eqNullSafe(F.col("id"))
     once = docs.join(small(repeats.select("id")), same, "left_anti")
     again = docs.join(small(repeats.select("id")), same, "left_semi").withColumn("_sha", F.unhex(F.sha2(normal(F.col(text_col)).cast("binary"), 256))).withColumn("_chars", F.length(F.coalesce(F.col(text_col), F.lit(""))))

@@ -10,12 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.running import before
 from sheaf.llm.store import workspace
-from sheaf.llm.tokens import encoder, texts_of
+from sheaf.llm.tokens import encoder
 from sheaf.sources.tables import table
 
 END = 2
@@ -29,14 +29,21 @@ class Store:
     """``chunks``: digest, n, ids, each chunk once. ``recipes``: doc_id, start, n_tokens, root, digests in ascending doc_id order by part. ``manifest``: a root over each part's recipes."""
 
     path: str
+    empty: bool = False
 
     def chunks(self, spark: SparkSession) -> DataFrame:
+        if self.empty:
+            return spark.createDataFrame([], "key binary, width int, ids binary")
         return spark.read.parquet(f"{self.path}/objects/kind=chunk").select("key", "width", "ids")
 
     def recipes(self, spark: SparkSession) -> DataFrame:
+        if self.empty:
+            return spark.createDataFrame([], "row binary, doc_id long, n_tokens long, root binary, digests array<binary>, part int, start long")
         return spark.read.parquet(f"{self.path}/recipes")
 
     def manifest(self, spark: SparkSession) -> DataFrame:
+        if self.empty:
+            return spark.createDataFrame([], "part int, documents long, tokens long, root binary")
         return spark.read.parquet(f"{self.path}/manifest")
 
 
@@ -129,17 +136,18 @@ def stored(docs: DataFrame, vocabulary: str, end: int = END, id_col: str = "doc_
                 yield flush(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    if rows.isEmpty():
+        return Store(path, empty=True)
     rows.mapInArrow(encode, OBJECTS).dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
-    if not rows.isEmpty():
-        recipes = spark.read.parquet(f"{path}/objects/kind=recipe").select(F.col("key").alias("row"), "doc_id", "n_tokens", "root", "digests")
-        ranged = recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
-        ranged.write.option("compression", "zstd").parquet(f"{path}/sorted")
-        sums = spark.read.parquet(f"{path}/sorted")
-        placed = before(sums, [], "part", [F.col("doc_id"), F.col("row")], F.col("n_tokens"), "start")
-        placed.sortWithinPartitions("part", "doc_id", "row").write.option("compression", "zstd").parquet(f"{path}/recipes")
-        sheets = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("start", "row", "root"))).alias("roots"))
-        root = F.udf(lambda roots: bytearray(merkle([bytes(r) for r in roots])), "binary")
-        sheets.select("part", "documents", "tokens", root("roots.root").alias("root")).write.parquet(f"{path}/manifest")
+    recipes = spark.read.parquet(f"{path}/objects/kind=recipe").select(F.col("key").alias("row"), "doc_id", "n_tokens", "root", "digests")
+    ranged = recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id())
+    ranged.write.option("compression", "zstd").parquet(f"{path}/sorted")
+    sums = spark.read.parquet(f"{path}/sorted")
+    placed = before(sums, [], "part", [F.col("doc_id"), F.col("row")], F.col("n_tokens"), "start")
+    placed.sortWithinPartitions("part", "doc_id", "row").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    sheets = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("start", "row", "root"))).alias("roots"))
+    root = F.udf(lambda roots: bytearray(merkle([bytes(r) for r in roots])), "binary")
+    sheets.select("part", "documents", "tokens", root("roots.root").alias("root")).write.parquet(f"{path}/manifest")
     return Store(path)
 
 

@@ -9,7 +9,6 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pyarrow as pa
 
 #: Distinct words that a Python worker keeps the ids of, about 200 MB; they are forgotten together when there are more.
 CACHED_WORDS = 1_000_000
@@ -125,8 +124,3 @@ class Known(dict):
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file; Python workers are used again, and so are its words."""
     return WordEncoder(path)
-
-
-def texts_of(column: pa.Array) -> list[str]:
-    """Whole texts; null counts as empty."""
-    return [t or "" for t in column.to_pylist()]

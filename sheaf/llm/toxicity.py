@@ -17,8 +17,8 @@ from sheaf.sources.tables import table
 
 #: Labelled documents that the chain is fitted on at most: those of the smallest hashes of their ids.
 SAMPLE = 8000
-#: Words that a category's model sees at most, and the documents that a word must be in to count.
-WORDS, LEAST_DOCS = 256, 3
+#: Words that a category's model sees at most; the documents that a word must be in, and the z-score it must have, to count.
+WORDS, LEAST_DOCS, LEAST_Z = 256, 3, 2.5
 FOLDS, PENALTY = 5, 1.0
 LETTERS = re.compile(r"[^\W\d_]+")
 STYLE = 5
@@ -81,7 +81,8 @@ def telling_words(sets: list[set[str]], y: np.ndarray, most: int = WORDS, least:
         if a0 + a1 >= least:
             b0, b1 = n0 - a0, n1 - a1
             z = np.log((a1 + 0.5) * (b0 + 0.5) / ((a0 + 0.5) * (b1 + 0.5))) / np.sqrt(1 / (a1 + 0.5) + 1 / (a0 + 0.5) + 1 / (b1 + 0.5) + 1 / (b0 + 0.5))
-            scored.append((-abs(z), w))
+            if abs(z) >= LEAST_Z:
+                scored.append((-abs(z), w))
     return tuple(w for _, w in sorted(scored)[:most])
 
 
