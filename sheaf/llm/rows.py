@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that are sent to every executor at most, about 32 MB as a hash table; longer lists are joined by a shuffle.
-BROADCAST_KEYS = 400_000
+#: Rows, and bytes of texts in them, that are sent to every executor at most; longer lists are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_BYTES = 400_000, 32 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """``df``, a written table of narrow rows, marked for broadcast where it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_KEYS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, marked for broadcast where it has at most ``limit`` rows and ``most`` bytes of texts."""
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))
+    rows, size = df.agg(F.count("*"), F.sum(texts)).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
