@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.rows import small
+from sheaf.llm.running import slots
 from sheaf.llm.store import file_system, workspace, written
 from sheaf.sources.tables import table
 
@@ -160,18 +161,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page from the archives; a revisit's payload is that of the response it refers to."""
     folder = workspace(spark, "warc")
     index = archived(table(spark, sf_dir, "pages"), folder)
-    facts = records(index, folder).select("page_id", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("bytes"))
-    found = written(facts, f"{folder}/read")
-    targets = found.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("bytes").alias("target_bytes"), F.col("digest").alias("target_digest")).dropDuplicates(["target"])
-    joined = found.join(targets, found["refers_to"] == targets["target"], "left")
-    own = F.col("record_type") == "response"
-    return joined.select(
-        "page_id",
-        F.when(own, F.col("bytes")).otherwise(F.col("target_bytes")).alias("payload_bytes"),
-        F.when(own, F.col("digest")).otherwise(F.col("target_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    read = records(index, folder).select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    found = written(read.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(slots(index)))), f"{folder}/read")
+    responses, revisits = found.where("record_type = 'response'").drop("deal"), found.where("record_type = 'revisit'")
+    # a response with many revisits is sent to each slot that asks for it, so its revisits never meet in one task
+    payloads = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
+    asked = revisits.select("refers_to", "deal").distinct().join(payloads, "refers_to")
+    resolved = revisits.select("page_id", "record_type", "refers_to", "deal").join(asked, ["refers_to", "deal"], "left")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return responses.select(*columns).unionByName(resolved.select(*columns))
 
 
 OP3_SQL = """
