@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -315,3 +316,17 @@ def test_pipeline_stages(spark, folder):
         if k < 3:
             assert docs.select("doc_id").exceptAll(before.select("doc_id")).isEmpty()
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
+
+
+def test_warc_query_with_revisits(spark, tmp_path):
+    """One payload with most rows, copies below the least length, repeated ids, nulls: as the SQL says."""
+    long, short = "<p>é</p>" * 200, "<p>é</p>"
+    rows = [(k, f"http://h.org/{k}", long) for k in range(300)] + [(k, f"http://h.org/{k}", short) for k in range(300, 320)]
+    rows += [(400, "http://h.org/a", long[3:]), (401, None, long[3:]), (402, "http://h.org/b", None), (403, "http://h.org/c", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, warc.op3_warc(spark, str(tmp_path)).collect()), key=str)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        wanted = sorted(db.execute(warc.OP3_SQL).fetchall(), key=str)
+    assert got == wanted
+    assert sum(r[3] == "revisit" for r in got) == 300
