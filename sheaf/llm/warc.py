@@ -77,7 +77,7 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
     facts = rows.select("page_id", "url", F.octet_length("html").alias("n"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same")).where(F.col("n") >= least)
     first = F.max(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "url")).alias("first")
     shared = written(facts.groupBy("same").agg(F.count("*").alias("rows"), first).where("rows > 1").select("same", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), f"{folder}/shared")
-    settled = rows.withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256))).repartition(F.xxhash64("page_id", "url"))
+    settled = rows.withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
     joined = settled.join(small(shared), "same", "left").withColumn("payload", F.col("html").cast("binary")).select("page_id", "url", "payload", "refers_to", "refers_url", F.col("refers_to").isNotNull().alias("has"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
