@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -114,7 +115,7 @@ def fitted(texts: list[str], labels: dict[str, np.ndarray], folds: int = FOLDS)
     will be on new documents. The words are chosen within each fold's training part, too. A category without
     documents of either kind gets no words and a threshold that nothing exceeds.
     """
-    sets = [words_of(t) for t in texts]
+    sets = [set(map(intern, words_of(t))) for t in texts]  # one copy of each word
     styles = np.array([style(t, s) for t, s in zip(texts, sets, strict=True)], np.float64).reshape(len(texts), STYLE)
     before, chain = np.zeros((len(texts), 0)), []
     fold = np.arange(len(texts)) % folds
