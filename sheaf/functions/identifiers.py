@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 #: The forms of identifiers.
 ARXIV = r"(?:arxiv:\s*)?(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?"
 ARXIV_PATH = r"arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})"
-PMC = r"(PMC\d{4,9})"
-PMID_LABEL = r"pmid:?\s*(\d{4,10})"
+PMC = r"\b(PMC\d+)\b"
+PMID_LABEL = r"pmid\s*:?\s*(\d{4,10})"
 PMID_PATH = r"(?:pubmed\.ncbi\.nlm\.nih\.gov|ncbi\.nlm\.nih\.gov/pubmed)/(\d{4,10})"
 EUROPE_PATH = r"europepmc\.org/(?:article|abstract)/med/(\d{4,10})"
-DOI = r"(10\.\d{4,9}/[^\s\"<>]+)"
+DOI = r"(10\.\d{4,9}/[^\s\"'<>?#]+)"
 
 
 def clean_doi(value: Column) -> Column:

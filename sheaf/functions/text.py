@@ -92,14 +92,18 @@ def title_tokens(text: Column) -> Column:
 
 
 #: The names of a paper's sections.
-SECTION_NAMES = ("abstract", "introduction", "background", "related work", "methods", "materials and methods", "results", "discussion", "conclusion", "conclusions", "references", "acknowledgements")
+SECTION_NAMES = (
+    "abstract", "introduction", "background", "related work", "method", "methods", "materials and methods", "result", "results", "discussion", "conclusion", "conclusions",
+    "references", "bibliography", "acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments",
+)
 
 
 def promote_headings(text: Column) -> Column:
-    """Lines of extracted text that are a section's name alone become level-two headings."""
-    name = lambda line: F.lower(F.regexp_replace(F.trim(line), r"^\d+(?:\.\d+)*\.?\s+|[:.]$", ""))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when((F.length(x) <= 120) & name(x).isin(*SECTION_NAMES), F.concat(F.lit("## "), F.trim(x))).otherwise(x))
-    return F.array_join(lines, "\n")
+    """Lines of extracted text that are a section's name alone, with a number before it perhaps, become level-two headings."""
+    bare = lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")
+    name = lambda line: F.lower(F.regexp_replace(bare(line), r"^\d+(?:\.\d+)*[.)]?\s+", ""))
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.when((F.length(bare(x)) <= 120) & name(x).isin(*SECTION_NAMES), F.concat(F.lit("## "), bare(x))).otherwise(x))
+    return bare(F.array_join(lines, "\n"))
 
 
 def reference_count(text: Column) -> Column:

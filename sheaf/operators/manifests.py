@@ -84,9 +84,10 @@ def listing(fragment: Column) -> Column:
     """struct(title, price, description, location, condition) of one JSON fragment; a field of the wrong type is null."""
     v = F.try_parse_json(fragment)
     get = lambda path: F.try_variant_get(v, path, "string")
-    price = F.coalesce(first_present(get("$.formatted_price.text")), F.concat_ws(" ", get("$.listing_price.amount"), get("$.listing_price.currency")))
+    amount = first_present(get("$.listing_price.amount"))
+    price = F.coalesce(first_present(get("$.formatted_price.text")), F.when(amount.isNotNull(), F.concat_ws(" ", amount, get("$.listing_price.currency"))))
     return F.struct(
-        first_present(get("$.marketplace_listing_title"), get("$.custom_title")).alias("title"),
+        first_present(get("$.marketplace_listing_title"), get("$.base_marketplace_listing_title"), get("$.custom_title")).alias("title"),
         F.nullif(F.trim(price), F.lit("")).alias("price"),
         first_present(get("$.redacted_description.text")).alias("description"),
         first_present(get("$.location_text.text")).alias("location"),
