@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.recipes import Registry
 from sheaf.plans.captures import handle, read_captures, read_section
+from sheaf.plans.routed import read_routed
 
 
 def read(captures: DataFrame, budget: int | None = None, registry: Registry | None = None) -> DataFrame:
     """One result for each capture (url, html, and status, final URL and time where known), with the recipe that its URL takes."""
-    routed = (registry or Registry()).routed(captures)
-    return read_captures(routed, budget)
+    return read_routed(captures, budget, registry)
 
 
 def extract_html(spark: SparkSession, html: str, url: str, budget: int | None = None) -> DataFrame:

@@ -95,7 +95,7 @@ def thread(html: str | None, url: str | None) -> dict[str, Any]:
 
 
 THREAD_TYPE = "title string, subreddit string, post_age string, reported long, deeper int, comments array<struct<id:string,body:string,score:long,timestamp:string,age:string,author:string>>, error string"
-OUTLINE_TYPE = "array<struct<heading:string,level:int,anchor:string,token_count:long>>"
+OUTLINE_TYPE = "array<struct<heading:string,level:int,anchor:string,token_count:long,char_count:int>>"
 
 
 def _threads(html: pd.Series, url: pd.Series) -> pd.DataFrame:
@@ -110,7 +110,7 @@ def with_threads(captures: DataFrame, html: str = "html", url: str = "url") -> D
 
 
 def _outlines(markdown: pd.Series) -> pd.Series:
-    return pd.Series([[{k: c[k] for k in ("heading", "level", "anchor", "token_count")} for c in sections_of(m or "")] for m in markdown])
+    return pd.Series([[{k: c[k] for k in ("heading", "level", "anchor", "token_count", "char_count")} for c in sections_of(m or "")] for m in markdown])
 
 
 def header_markdown(t: Column) -> Column:

@@ -51,8 +51,8 @@ class Registry:
         return route(captures, [(r.name, r.priority, r.patterns) for r in self.recipes], url)
 
     def applied(self, captures: DataFrame, generic: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Every capture by its recipe's transform, or ``generic`` where it has none. Transforms return the same columns."""
-        routed = self.routed(captures)
+        """Every capture by its recipe's transform, or ``generic`` where it has none. Transforms return the same columns; a ``recipe`` column that is there decides."""
+        routed = captures if "recipe" in captures.columns else self.routed(captures)
         own = {r.name: r.transform for r in self.recipes if r.transform}
         parts = [t(routed.where(F.col("recipe") == n)) for n, t in own.items()]
         return reduce(DataFrame.unionByName, parts, generic(routed.where(~F.col("recipe").isin(*own)) if own else routed))

@@ -50,40 +50,66 @@ def read_captures(captures: DataFrame, budget: int | None = None, covered: bool
     structured data of authentication walls are withheld, and URLs are shown without user, query and fragment.
     The budget cut is row-local: each document's sections stay in one array, so nothing is shuffled.
     """
-    if budget is not None and (isinstance(budget, bool) or not isinstance(budget, int) or budget < 0):
-        raise ValueError("the budget must be a non-negative integer")
-    rows = verified(captures, covered).withColumn("shown", F.when(F.col("block.auth_required"), "").otherwise(F.col("facts.markdown")))
-    rows = rows.withColumn("sections", F.when(F.col("block.auth_required"), F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections")))
-    whole = count_tokens(F.col("shown"))
-    rows = rows.withColumn("spent", F.aggregate("sections", F.array().cast("array<bigint>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + s["token_count"])))
-    kept = F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(F.size(F.filter("spent", lambda t: t <= budget)))
-    rows = rows.withColumn("kept", kept)
-    left = F.filter("sections", lambda s, i: i >= F.col("kept"))
-    content = F.regexp_replace(F.array_join(F.transform(F.slice("sections", 1, F.greatest("kept", F.lit(0))), lambda s: s["markdown"]), ""), r"\s+$", "")
+    check_budget(budget)
     auth = F.col("block.auth_required")
-    provenance = F.struct(F.lit(1).alias("tier"), F.lit("capture").alias("engine"), public_url(F.col("facts.canonical")).alias("canonical_url"), (F.col("fetched_at") if "fetched_at" in captures.columns else F.lit(None).cast("string")).alias("fetched_at"), F.when(F.col("http_status").between(100, 599), F.col("http_status")).alias("http_status"), public_url(F.col("final_url")).alias("final_url"), F.array_distinct(F.array(public_url(F.col("url")), public_url(F.col("final_url")))).alias("source_urls"))
+    rows = verified(captures, covered).withColumns({"shown": F.when(auth, "").otherwise(F.col("facts.markdown")), "sections": F.when(auth, F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections"))})
+    rows, shape = shaped(rows, budget)
+    provenance = provenance_of(set(captures.columns), F.lit(1), F.col("facts.canonical"))
     data = F.when(~auth, F.struct("facts.json_ld", "facts.feeds", "facts.oembed"))
-    cost = F.when(F.size(left) > 0, F.struct(F.size(left).alias("remaining_items"), F.aggregate(left, F.lit(0).cast("bigint"), lambda a, s: a + s["token_count"]).alias("estimated_extra_tokens")))
-    ids = [c for c in captures.columns if c not in ("html", "url", "http_status", "final_url", "fetched_at")]
     return rows.select(
-        *ids,
+        *kept_columns(captures),
         public_url(F.col("url")).alias("url"),
-        F.when(F.col("kept") == F.size("sections"), F.col("shown")).otherwise(content).alias("content"),
-        F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["level"].alias("level"), s["anchor"].alias("anchor"), s["token_count"].alias("token_count"), s["char_count"].alias("char_count"))).alias("outline"),
+        shape["content"],
+        shape["outline"],
         "status",
         "reason",
         "evidence",
         provenance.alias("provenance"),
         data.alias("structured_data"),
-        F.when(F.size(left) > 0, "core").otherwise("full").alias("coverage"),
-        (F.size(left) > 0).alias("truncated"),
-        F.transform(left, lambda s: s["anchor"]).alias("omitted"),
-        cost.alias("cost_to_complete"),
+        *(shape[c] for c in ("coverage", "truncated", "omitted", "cost_to_complete")),
         "failure",
         "error",
     )
 
 
+def check_budget(budget: int | None) -> None:
+    if budget is not None and (isinstance(budget, bool) or not isinstance(budget, int) or budget < 0):
+        raise ValueError("the budget must be a non-negative integer")
+
+
+def kept_columns(captures: DataFrame) -> list[str]:
+    """The columns of captures that results keep as they are."""
+    return [c for c in captures.columns if c not in ("html", "url", "http_status", "final_url", "fetched_at")]
+
+
+def provenance_of(have: set[str], tier: Column, canonical: Column) -> Column:
+    """Where a result comes from. URLs are shown without user, query and fragment; ``have``: the captures' columns."""
+    given = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
+    final = F.coalesce(given("final_url", "string"), F.col("url")) if "final_url" not in have else F.col("final_url")
+    status = given("http_status", "int")
+    return F.struct(tier.alias("tier"), F.lit("capture").alias("engine"), public_url(canonical).alias("canonical_url"), given("fetched_at", "string").alias("fetched_at"), F.when(status.between(100, 599), status).alias("http_status"), public_url(final).alias("final_url"), F.array_distinct(F.array(public_url(F.col("url")), public_url(final))).alias("source_urls"))
+
+
+def shaped(rows: DataFrame, budget: int | None) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with ``shown`` and its ``sections`` cut to a budget, and the columns that say how: whole sections only, in one row's arrays."""
+    rows = rows.withColumn("spent", F.aggregate("sections", F.array().cast("array<bigint>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + s["token_count"])))
+    whole = count_tokens(F.col("shown"))
+    rows = rows.withColumn("kept", F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(F.size(F.filter("spent", lambda t: t <= budget))))
+    left = F.filter("sections", lambda s, i: i >= F.col("kept"))
+    content = F.regexp_replace(F.array_join(F.transform(F.slice("sections", 1, F.greatest("kept", F.lit(0))), lambda s: s["markdown"]), ""), r"\s+$", "")
+    cost = F.when(F.size(left) > 0, F.struct(F.size(left).alias("remaining_items"), F.aggregate(left, F.lit(0).cast("bigint"), lambda a, s: a + s["token_count"]).alias("estimated_extra_tokens")))
+    outline = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["level"].alias("level"), s["anchor"].alias("anchor"), s["token_count"].alias("token_count"), s["char_count"].alias("char_count")))
+    found = {
+        "content": F.when(F.col("kept") == F.size("sections"), F.col("shown")).otherwise(content),
+        "outline": outline,
+        "coverage": F.when(F.size(left) > 0, "core").otherwise("full"),
+        "truncated": F.size(left) > 0,
+        "omitted": F.transform(left, lambda s: s["anchor"]),
+        "cost_to_complete": cost,
+    }
+    return rows, {k: v.alias(k) for k, v in found.items()}
+
+
 def read_section(captures: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """(key, anchor, markdown) for wanted (key, anchor) of stored captures; a null markdown is an unknown handle or anchor."""
     rows = verified(captures).select(key, F.explode("facts.sections").alias("s")).select(key, "s.anchor", "s.markdown")

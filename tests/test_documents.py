@@ -152,3 +152,21 @@ def test_headings_of_extracted_text(spark):
 @pytest.mark.parametrize(("html", "wanted"), [('<meta name="description" content=" a  b "><p class="abstract">c</p>', "a b"), ('<p class="abstract">c</p><div data-title="Abstract">d</div>', "d"), ("<p>x</p>", None)])
 def test_abstracts(html, wanted):
     assert D.page_facts(html, "https://x.org")["abstract"] == wanted
+
+
+def test_read_takes_each_url_by_its_recipe(spark):
+    from sheaf import api
+    from sheaf.plans.captures import violations
+
+    listed = '<script type="application/json">{"id": "7", "marketplace_listing_title": "Wheels"}</script>'
+    page = "<html><body><article><h1>T</h1><h2>A</h2><p>Some words.</p></article></body></html>"
+    rows = spark.createDataFrame([(1, THREAD, PAGE), (2, "https://www.facebook.com/marketplace/item/7/", listed), (3, "https://www.linkedin.com/in/x/", page), (4, "https://example.com/a?token=1", page), (5, None, None)], "id int, url string, html string")
+    results = api.read(rows, budget=8)
+    got = {r["id"]: r for r in results.collect()}
+    assert [got[i]["recipe"] for i in range(1, 5)] == ["reddit", "facebook_marketplace", "linkedin", "generic"] and len(got) == 5
+    assert (got[1]["content"], got[1]["status"], got[1]["provenance"]["tier"], got[1]["evidence"][0]["passed"]) == ("", "incomplete", 2, False)
+    assert (got[2]["content"], got[2]["status"], got[2]["provenance"]["canonical_url"]) == ("# Wheels", "incomplete", "https://www.facebook.com/marketplace/item/7")
+    assert (got[3]["content"], got[3]["status"], got[3]["failure"]) == ("", "unknown", "auth")
+    assert got[4]["url"] == "https://example.com/a" and got[4]["content"].startswith("# T")
+    assert got[5]["status"] == "unknown" and got[5]["error"]["kind"] == "policy"
+    assert violations(results).count() == 0
