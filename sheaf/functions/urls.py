@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,3 +133,35 @@ def sibling(url: Column, name: str) -> Column:
 def redlib_url(url: Column, instance: Column) -> Column:
     """A discussion's URL on another front end."""
     return F.concat(F.regexp_replace(instance, "/+$", ""), url_parts(url)["path"])
+
+
+def is_public_host(host: str | None, addresses: list[str] | None) -> bool:
+    """Whether a host is a global address, or a name whose known addresses all are. Spellings that clients may take for another address are not."""
+    host = (host or "").strip("[]")
+    if not host or host == "localhost" or host.endswith(".localhost"):
+        return False
+    parts = host.split(".")
+    numeric = ":" not in host and all(re.fullmatch(r"0x[0-9a-f]+|[0-9]+", p) for p in parts)
+    if numeric and not (len(parts) == 4 and all(re.fullmatch(r"0|[1-9][0-9]{0,2}", p) and int(p) < 256 for p in parts)):
+        return False
+    literal = numeric or ":" in host
+    try:
+        known = [ipaddress.ip_address(a) for a in ([host] if literal else addresses if addresses is not None else [])]
+    except ValueError:
+        return False
+    return bool(known) and all(a.is_global for a in known)
+
+
+def is_public_candidate(url: Column, addresses: Column) -> Column:
+    """Whether a URL may be fetched: absolute HTTP(S), without user and password, to a public host.
+
+    ``addresses``: array<string>, what the host resolves to. It is a column of the input, as a query never asks
+    a name server; a name without known addresses is not public.
+    """
+
+    @F.pandas_udf("boolean")
+    def public(hosts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([is_public_host(h, None if k is None else list(k)) for h, k in zip(hosts, known, strict=True)], dtype="bool")
+
+    plain = is_http_url(url) & ~F.coalesce(url_parts(url)["netloc"].contains("@"), F.lit(False))
+    return plain & public(hostname(url), addresses)

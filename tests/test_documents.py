@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import identifiers as I
 from sheaf.functions import text as X
+from sheaf.functions import urls as U
 from sheaf.operators import discussions as T
 from sheaf.operators import dom as D
 from sheaf.operators import media as M
@@ -170,3 +171,12 @@ def test_read_takes_each_url_by_its_recipe(spark):
     assert got[4]["url"] == "https://example.com/a" and got[4]["content"].startswith("# T")
     assert got[5]["status"] == "unknown" and got[5]["error"]["kind"] == "policy"
     assert violations(results).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("url", "addresses", "wanted"),
+    [("https://a.org/x", ["93.184.216.34"], True), ("https://a.org/x", ["93.184.216.34", "10.0.0.1"], False), ("https://a.org/x", [], False), ("https://a.org/x", None, False), ("https://a.org/x", ["odd"], False), ("https://8.8.8.8:80/", None, True), ("https://127.0.0.1/", None, False), ("https://010.8.8.8/", None, False), ("https://0x8.8.8.8/", None, False), ("https://134744072/", None, False), ("https://8.8.8.999/", None, False), ("https://[2606:4700::1]/", None, True), ("https://[::1]:8080/", None, False), ("https://u:p@a.org/", ["8.8.8.8"], False), ("https://x.localhost/", ["8.8.8.8"], False), ("ftp://8.8.8.8/", None, False), ("", None, False), (None, None, False)],
+)
+def test_public_candidates(spark, url, addresses, wanted):
+    rows = spark.createDataFrame([(url, addresses)], "url string, addresses array<string>")
+    assert rows.select(U.is_public_candidate(F.col("url"), F.col("addresses")).alias("x")).first()["x"] is wanted
