@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,16 @@ from sheaf.sources.tables import table
 BITS, WORDS, RADIUS, SEED = 64, 4, 4, 42
 #: Fingerprints of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BLOCK = 8192
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Hashes that are counted at a time.
 PART = 1 << 16
+#: Near copies: words of a shingle; the least Jaccard similarity, as a fraction; parts, and shingles drawn for each.
+NEAR_WORDS, NEAR, PARTS, DRAWN = 5, (4, 5), 32, 4
+#: Hashes that are drawn from at a time.
+STRIP = 2048
+#: Buckets of parts up to so many texts give pairs; larger ones are searched, so many texts of a block at a time.
+FEW, SETS = 16, 512
+_RANDOM = np.random.default_rng(SEED)
+FLIPS, FACTORS = _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64), _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -47,10 +55,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def word_hashes(text: str, seed: int = SEED) -> np.ndarray:
-    """XXH64 of each distinct word, A-Z lower-cased and without ASCII punctuation at its ends."""
-    words = {w for x in set(text.encode("utf-8", "surrogatepass").lower().split()) if (w := x.strip(PUNCTUATION))}
-    return np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+def parts(hashes: np.ndarray) -> np.ndarray:
+    """``PARTS`` fingerprints, each over ``DRAWN`` of the distinct hashes: those that come first in as many random orders.
+
+    A draw of two sets falls on the same hash with a chance of their Jaccard similarity, wherever they differ.
+    """
+    least = np.full(PARTS * DRAWN, ~np.uint64(0))
+    for at in range(0, len(hashes), STRIP):
+        np.minimum(least, ((hashes[None, at : at + STRIP] ^ FLIPS[:, None]) * FACTORS[:, None]).min(axis=1), out=least)
+    least ^= least << np.uint64(31)  # the least numbers begin with zeros: mixed, each bit is as good as a coin again
+    least *= np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
+    least ^= least >> np.uint64(32)
+    bits = np.unpackbits(least.astype("<u8").view(np.uint8).reshape(PARTS, DRAWN, 8), axis=2, bitorder="little").sum(axis=1)
+    return np.packbits(2 * bits > DRAWN, axis=1, bitorder="little").view("<i8").ravel()
 
 
 def fingerprints(docs: DataFrame, features: list[Callable[[str], np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,25 +188,123 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_co
     return grouped(marked.select("id", F.col("fp0").alias("fp")), at, radius)
 
 
-#: Seeds of the fingerprints over distinct words: two rows are near when either fingerprint says so.
-NEAR_SEEDS = (42, 43)
+def alike(common: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether sets of ``left`` and ``right`` members, ``common`` in both, have the Jaccard similarity ``NEAR`` or more, in whole numbers."""
+    return NEAR[1] * common >= NEAR[0] * (left + right - common)
+
+
+def near_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what ``alike`` connects, without all pairs: a search that compares each set with those not reached yet."""
+    sizes = np.array([len(x) for x in sets])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    rest, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        queue = [first] if rest[first] else []
+        rest[first] = False
+        while queue and rest.any():
+            at = queue.pop()
+            mark = np.zeros(len(known), bool)
+            mark[flat[starts[at] : starts[at + 1]]] = True
+            common = np.bincount(owner[mark[flat]], minlength=len(sets))
+            found = np.flatnonzero(rest & alike(common, sizes[at], sizes)).tolist()
+            out += [(at, x) for x in found]
+            rest[found] = False
+            queue += found
+    return out
+
+
+def distinct_hashes(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, NEAR_WORDS))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, node, n, parts): the text's MD5, a digest of its set of shingles, the set's size and parts. Whole texts; null counts as empty."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, found = [], [], []
+            for i in range(len(batch)):
+                own = distinct_hashes(batch.column(2)[i].as_py() or "")
+                nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                sizes.append(len(own))
+                found.append(parts(own) if len(own) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "node", "n", "parts"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(sketch, "id long, key binary, node binary, n long, parts array<long>")
+
+
+def near_links(docs: DataFrame, marked: DataFrame, at: str, text_col: str = "text") -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose shingle sets are alike. ``marked``: the written sketches of ``docs``.
+
+    Candidates have the same fingerprint for a part: pairs of similarity 0.8 draw the same four shingles with a
+    chance of 0.41, so one in 20 million has no part of 32 in common. Every candidate's similarity is then taken
+    from the whole sets: pairs of small buckets once for each pair, large buckets by tasks of two blocks each.
+    """
+    spark = docs.sparkSession
+    nodes = marked.dropDuplicates(["node"]).select("node", "key", "n", F.posexplode("parts").alias("part", "fp"))
+    nodes = written(nodes, f"{at}/parts")
+    buckets = written(nodes.groupBy("part", "fp").agg(F.count("*").alias("size")).where("size > 1"), f"{at}/buckets")
+    members = written(nodes.join(small(buckets), ["part", "fp"]), f"{at}/members")
+    wanted = written(members.select("node", "key").distinct(), f"{at}/wanted")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                own = distinct_hashes(batch.column(1)[i].as_py() or "")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.tobytes()], pa.binary())], names=["node", "hashes"])
+
+    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
+    sets = written(texts.join(small(wanted), "key").select("node", "text").dropDuplicates(["node"]).mapInArrow(whole, "node binary, hashes binary"), f"{at}/sets")
+
+    own = members.where(F.col("size") <= FEW).select("part", "fp", F.struct("node", "n").alias("x"))
+    listed = own.groupBy("part", "fp").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    pairs = listed.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a.node < b.node")
+    fitting = pairs.where(F.least("a.n", "b.n") * NEAR[1] >= F.greatest("a.n", "b.n") * NEAR[0])
+    fitting = written(fitting.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), f"{at}/pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
+                held.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(f"{k}s")) for k in ("a", "b"))
+    verified = fitting.join(right, "b").join(left, "a").select("a", "b", "as", "bs").mapInArrow(verify, "a binary, b binary")
+
+    blocks = F.ceil(F.col("size") / SETS).cast("int")
+    many = members.where(F.col("size") > FEW).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "part"), F.col("blocks")).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    tasks = many.select("part", "fp", "node", "own", F.explode(other).alias("x")).select("part", "fp", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "node")
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        names = group["node"].tolist()
+        found = near_forest([np.frombuffer(x, np.uint64) for x in group["hashes"]])
+        return pd.DataFrame({"a": [names[a] for a, _ in found], "b": [names[b] for _, b in found]}, dtype=object)
+
+    searched = tasks.join(sets, "node").groupBy("part", "fp", "i", "j").applyInPandas(search, "a binary, b binary")
+    return written(verified.unionByName(searched).distinct(), f"{at}/links")
 
 
-def near_copies(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): groups of near copies, for dropping all but one of each.
 
-    Shingles of words make 64-bit fingerprints of near copies differ widely: at a similarity of 0.8 between sets
-    of five-word shingles, 4 to 14 bits. Distinct words move less, as an edit touches five shingles but one word;
-    unrelated texts lie 20 bits or more apart. So this links texts whose fingerprints over distinct words differ
-    in ``radius`` bits or fewer, under either of two seeds; 97 of 100 pairs of similarity 0.8 or more then link,
-    and others below it that are edited copies too. Texts without words link with each other only.
+    Texts are linked where the Jaccard similarity of their sets of five-word shingles is 0.8 or more, taken from
+    the whole sets, and a group is what links connect. Words are split at ASCII white space, A-Z lower-cased;
+    fewer than five words are one shingle. Texts without words link with each other only. A 64-bit fingerprint
+    of all shingles differs by 4 to 14 bits at 0.8, so candidates come from fingerprints of parts (``near_links``).
+    Rows of null ids have a null component.
     """
     at = workspace(docs.sparkSession, "near")
-    marked = written(fingerprints(docs, [partial(word_hashes, seed=s) for s in NEAR_SEEDS], id_col, text_col), f"{at}/fingerprints")
-    found = [grouped(marked.select("id", F.col(f"fp{k}").alias("fp")), f"{at}/seed{k}", radius).where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")) for k in range(len(NEAR_SEEDS))]
-    both = written(reduce(DataFrame.unionByName, found), f"{at}/links")
-    roots = components(both, f"{at}/all")
-    return marked.select("id").join(small(written(roots, f"{at}/roots")), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component_id"))
+    marked = written(sketches(docs, id_col, text_col), f"{at}/sketches")
+    roots = components(near_links(docs, marked, at, text_col), f"{at}/all")
+    named = marked.select("id", "node").join(small(written(roots, f"{at}/roots")), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    named = named.join(small(written(names, f"{at}/names")), "root", "left")
+    return named.select("id", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
 def hex64(column: Column) -> Column:

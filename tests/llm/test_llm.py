@@ -181,6 +181,55 @@ def test_near_copies(spark, docs, none):
     assert simhash.near_copies(none).count() == 0
 
 
+def shingle_sets(texts, k=5):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return out
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_components(ids, texts):
+    """Each text's group by exact five-word Jaccard of 0.8 or more, over all pairs: the least id it connects to."""
+    sets, best = shingle_sets(texts), list(ids)
+    near = [(i, j) for i in range(len(ids)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            if best[i] != best[j]:
+                best[i] = best[j] = min(best[i], best[j])
+                changed = True
+    return best
+
+
+def edited_texts(groups, size=220):
+    """Of each group a text and its edits: tail cut off, words appended, words put in front, one word in many, and ones just below 0.8."""
+    rng, out = np.random.default_rng(11), []
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 50000, n)]
+    for _ in range(groups):
+        base = words(size)
+        out += [base, base[: int(size * 0.82)], base + words(int(size * 0.21)), words(int(size * 0.22)) + base]
+        spread = list(base)
+        for at in range(10, size, 60):
+            spread[at] = "other"
+        out += [spread, base[: int(size * 0.78)] + words(5), [*base[::2], *base[1::2]]]
+    return [" ".join(t) for t in out]
+
+
+def test_near_copies_of_block_edits(spark):
+    texts = edited_texts(30)
+    ids = [3 * k + 1 for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    want = dict(zip(ids, brute_components(ids, texts), strict=True))
+    assert sum(k != v for k, v in want.items()) >= 120 and got == want
+
+
 def test_fingerprints_and_groups(spark, docs, none):
     def plain(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
