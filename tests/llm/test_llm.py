@@ -230,6 +230,34 @@ def test_near_copies_of_block_edits(spark):
     assert sum(k != v for k, v in want.items()) >= 120 and got == want
 
 
+def test_near_copies_below_the_similarity_stay(spark):
+    """Repeated lines, other orders, punctuation alone and edits just below 0.8 are no near copies."""
+    line = [f"word{k}" for k in range(12)]
+    base = [f"term{k}" for k in range(120)]
+    texts = [" ".join(line), " ".join(line * 9), " ".join(reversed(line)), "! !", "... ?", "--", " ".join(base), " ".join(base[:96])]
+    texts += [" ".join([*base[:60], "other", *base[61:]]), " ".join([*base[:20], "x", *base[21:50], "y", *base[51:90], "z", *base[91:]])]
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert got == dict(zip(ids, brute_components(ids, texts), strict=True))
+    assert [got[k] for k in (0, 1, 2, 3, 4, 5, 7)] == [0, 1, 2, 3, 4, 5, 7]
+
+
+def test_near_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    base = [rng.choice(10000, 60, replace=False).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([b[rng.permutation(60)[: 60 - k]], rng.integers(20000, 90000, k).astype(np.uint64)])) for b in base for k in (0, 2, 4, 6, 8, 10)]
+    root = list(range(len(sets)))
+    for a, b in [*simhash.near_forest(sets), *simhash.near_forest(sets)]:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    want = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                want = [min(want[i], want[j]) if r in (want[i], want[j]) else r for r in want]
+    assert root == want and len(set(want)) < len(sets)
+
+
 def test_fingerprints_and_groups(spark, docs, none):
     def plain(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
