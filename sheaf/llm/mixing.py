@@ -56,7 +56,7 @@ def targets(facts: DataFrame, plan: MixPlan, at: str) -> DataFrame:
     return listed.withColumn("target", F.least(F.col("stop"), F.col("weight") * F.lit(rate)))
 
 
-def mixed(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Each row's share of the mix: id, source, size, source_size, target, taken, position, again_at.
 
     A source's documents are put in the order of a hash of their ids and read, over and over, until its target
@@ -65,23 +65,25 @@ def mixed(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", te
     (0 to 1) at which its first and second reading start, null where there is none. Sizes are words between
     ASCII white space; a null or empty text has none and takes no part, but has its row. Null sources are one
     source, the last. Null ids share one place in the order; rows repeated in full are read one after the other.
+    ``row_col`` names a key of the rows of a written table, which tells rows of one id apart: it is added as ``row``.
     """
     if plan.most > 2:
         raise ValueError("a document is read twice at most, so most is 2 at most")
     at = workspace(docs.sparkSession, "mix")
     draw = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"))
+    key = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"))
     n = slots(docs)
     deal = F.floor(F.conv(F.substring("draw", 1, 6), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 24)).cast("int")
     facts = written(rows.withColumn("deal", deal), f"{at}/facts")
     aims = written(targets(facts, plan, at).withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source"), f"{at}/targets")
     named = facts.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    placed = before(named, ["name"], "deal", [F.col("draw"), F.col("id"), F.col("size")], F.col("size"), "start").join(aims, "name")
+    placed = before(named, ["name"], "deal", [F.col("draw"), F.col("id"), F.col("size"), *(F.col("row") for _ in key)], F.col("size"), "start").join(aims, "name")
     goal = F.floor("target")
     read = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), goal - start))
     begins = lambda start: F.when((F.col("size") > 0) & (start < goal), time_of(start / F.col("target"), F.col("ramp")))
     second = F.col("start") + F.col("source_size")
-    return placed.select("id", "source", "size", "source_size", "target", (read(F.col("start")) + read(second)).cast("long").alias("taken"), begins(F.col("start")).alias("position"), begins(second).alias("again_at"))
+    return placed.select("id", "source", "size", "source_size", "target", (read(F.col("start")) + read(second)).cast("long").alias("taken"), begins(F.col("start")).alias("position"), begins(second).alias("again_at"), *(F.col("row") for _ in key))
 
 
 def curriculum(mix: DataFrame) -> DataFrame:

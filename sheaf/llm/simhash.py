@@ -218,21 +218,22 @@ def distinct_hashes(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, NEAR_WORDS))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, node, n, parts): the text's MD5, a digest of its set of shingles, the set's size and parts. Whole texts; null counts as empty."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(id, row, key, node, n, parts): the row's key or null, the text's MD5, a digest of its set of shingles, the set's size and parts. Whole texts; null counts as empty."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, found = [], [], []
             for i in range(len(batch)):
-                own = distinct_hashes(batch.column(2)[i].as_py() or "")
+                own = distinct_hashes(batch.column(3)[i].as_py() or "")
                 nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
                 found.append(parts(own) if len(own) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "node", "n", "parts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "row", "key", "node", "n", "parts"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sketch, "id long, key binary, node binary, n long, parts array<long>")
+    row = F.col(row_col) if row_col else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(sketch, "id long, row long, key binary, node binary, n long, parts array<long>")
 
 
 def near_links(docs: DataFrame, marked: DataFrame, at: str, text_col: str = "text") -> DataFrame:
@@ -289,6 +290,20 @@ def near_links(docs: DataFrame, marked: DataFrame, at: str, text_col: str = "tex
     return written(verified.unionByName(searched).distinct(), f"{at}/links")
 
 
+def near_rows(docs: DataFrame, row_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, component_id, kept_row): ``near_copies`` with the key that each row of a written table has in ``row_col``.
+
+    ``kept_row`` is the row of the component's smallest id, of several the least; null where no row of it has an id.
+    """
+    at = workspace(docs.sparkSession, "near")
+    marked = written(sketches(docs, id_col, text_col, row_col), f"{at}/sketches")
+    roots = components(near_links(docs, marked, at, text_col), f"{at}/all")
+    named = marked.select("id", "row", "node").join(small(written(roots, f"{at}/roots")), "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    named = named.join(small(written(names, f"{at}/names")), "root", "left")
+    return named.select("id", "row", F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id")).alias("component_id"), F.when(F.col("rows").isNull(), F.col("row")).otherwise(F.col("least.row")).alias("kept_row"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id): groups of near copies, for dropping all but one of each.
 
@@ -298,13 +313,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of all shingles differs by 4 to 14 bits at 0.8, so candidates come from fingerprints of parts (``near_links``).
     Rows of null ids have a null component.
     """
-    at = workspace(docs.sparkSession, "near")
-    marked = written(sketches(docs, id_col, text_col), f"{at}/sketches")
-    roots = components(near_links(docs, marked, at, text_col), f"{at}/all")
-    named = marked.select("id", "node").join(small(written(roots, f"{at}/roots")), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    named = named.join(small(written(names, f"{at}/names")), "root", "left")
-    return named.select("id", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
+    return near_rows(docs, None, id_col, text_col).select("id", "component_id")
 
 
 def hex64(column: Column) -> Column:

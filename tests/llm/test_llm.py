@@ -395,6 +395,25 @@ def test_pipeline_stages(spark, folder):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").isEmpty()
 
 
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Null and repeated ids: an unrelated text of a near copy's id stays, and the mix reads each row by itself."""
+    base, other = [f"word{k}" for k in range(150)], [f"term{k}" for k in range(90)]
+    near, near2 = [*base[:70], "x", *base[71:]], [*base[:30], "y", *base[31:]]
+    rows = [(1, base), (5, near), (5, other), (1, near2), (None, [f"own{k}" for k in range(40)]), (7, []), (8, other[:30] + base[:30])]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", f"s{len(t) % 2}", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stayed = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = sorted(((r["doc_id"], r["text"]) for r in stayed.collect()), key=repr)
+    assert len(got) == 5 and {(5, " ".join(other)), (None, " ".join(rows[4][1])), (7, ""), (8, " ".join(rows[6][1]))} <= set(got)
+    assert sum(i == 1 for i, _ in got) == 1
+    by_key = spark.createDataFrame([(k, i, " ".join(t), f"s{len(t) % 2}") for k, (i, t) in enumerate(rows)], "key long, doc_id long, text string, source string")
+    readings = {(rows[r["row"]][0], " ".join(rows[r["row"]][1])): (r["position"] is not None) + (r["again_at"] is not None) for r in mixing.mixed(by_key, row_col="key").collect()}
+    mixed = defaultdict(int)
+    for r in corpus_pipeline.mix(spark, docs, "").collect():
+        mixed[r["doc_id"], r["text"]] += 1
+    assert any(i is None for i, _ in mixed) and max(mixed.values()) <= 2
+    assert dict(mixed) == {k: v for k, v in readings.items() if v}
+
+
 def test_warc_query_with_revisits(spark, tmp_path):
     """One payload with most rows, copies below the least length, repeated ids, nulls: as the SQL says."""
     long, short = "<p>é</p>" * 200, "<p>é</p>"
