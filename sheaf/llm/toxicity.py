@@ -11,14 +11,15 @@ from sys import intern
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sheaf.llm.store import workspace, written
 from sheaf.sources.tables import table
 
 #: Labelled documents that the chain is fitted on at most: those of the smallest hashes of their ids.
 SAMPLE = 8000
-#: Words that a category's model sees at most; the documents that a word must be in, and the z-score it must have, to count.
+#: The model's size: words that a category's model sees at most; the documents that a word must be in, and the z-score it must have, to count.
 WORDS, LEAST_DOCS, LEAST_Z = 256, 3, 2.5
 FOLDS, PENALTY = 5, 1.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,21 +71,31 @@ def chance(score: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30)))
 
 
-def telling_words(sets: list[set[str]], y: np.ndarray, most: int = WORDS, least: int = LEAST_DOCS) -> tuple[str, ...]:
-    """The words whose presence goes most with the label or against it, by the z-score of their log odds."""
-    inside: dict[str, list[int]] = {}
-    for words, label in zip(sets, y.astype(int).tolist(), strict=True):
-        for w in words:
-            inside.setdefault(w, [0, 0])[label] += 1
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    scored = []
-    for w, (a0, a1) in inside.items():
-        if a0 + a1 >= least:
-            b0, b1 = n0 - a0, n1 - a1
-            z = np.log((a1 + 0.5) * (b0 + 0.5) / ((a0 + 0.5) * (b1 + 0.5))) / np.sqrt(1 / (a1 + 0.5) + 1 / (a0 + 0.5) + 1 / (b1 + 0.5) + 1 / (b0 + 0.5))
-            if abs(z) >= LEAST_Z:
-                scored.append((-abs(z), w))
-    return tuple(w for _, w in sorted(scored)[:most])
+def telling_words(sample: DataFrame, categories: list[str], folds: int = FOLDS, most: int = WORDS, least: int = LEAST_DOCS) -> dict[tuple[str, int], tuple[str, ...]]:
+    """By (category, fold left out): the words whose presence goes most with the label or against it, by the z-score of their log odds.
+
+    Fold -1 leaves none out. ``sample`` has fold, words and a column of 0 or 1 for each category. Words are
+    counted by an aggregation that combines in the map tasks; ``most`` words of each kind go to the driver.
+    """
+    keys = [(c, y, k) for c in categories for y in (0, 1) for k in range(folds)]
+    count = lambda c, y, k: F.count_if((F.col(c) == y) & (F.col("fold") == k)).cast("double")
+    seen = sample.select("fold", *categories, F.explode("words").alias("word")).groupBy("word").agg(*(count(*key).alias("_".join(map(str, ("n", categories.index(key[0]), *key[1:])))) for key in keys))
+    totals = dict(zip(keys, sample.agg(*(count(*key) for key in keys)).first(), strict=True))
+    scores = []
+    for c in categories:
+        for held in range(-1, folds):
+            others = [k for k in range(folds) if k != held]
+            a = [sum((F.col(f"n_{categories.index(c)}_{y}_{k}") for k in others), F.lit(0.0)) for y in (0, 1)]
+            n = [sum(totals[c, y, k] for k in others) for y in (0, 1)]
+            half = [x + 0.5 for x in (a[1], n[0] - a[0], a[0], n[1] - a[1])]
+            z = F.log(half[0] * half[1] / (half[2] * half[3])) / F.sqrt(sum((1 / x for x in half), F.lit(0.0)))
+            scores.append(F.struct(F.lit(c).alias("category"), F.lit(held).alias("held"), F.when(a[0] + a[1] >= least, F.abs(z)).alias("z")))
+    told = seen.select("word", F.explode(F.array(*scores)).alias("s")).select("word", "s.*").where(F.col("z") >= LEAST_Z)
+    first = F.row_number().over(Window.partitionBy("category", "held").orderBy(F.col("z").desc(), "word"))
+    out: dict[tuple[str, int], list[str]] = {(c, k): [] for c in categories for k in range(-1, folds)}
+    for r in told.withColumn("n", first).where(F.col("n") <= most).orderBy("n").select("category", "held", "word").collect():
+        out[r["category"], r["held"]].append(r["word"])
+    return {k: tuple(v) for k, v in out.items()}
 
 
 def matrix(sets: list[set[str]], styles: np.ndarray, words: tuple[str, ...], before: np.ndarray) -> np.ndarray:
@@ -108,33 +119,32 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((ranked[at] + (ranked[at + 1] if at + 1 < len(p) else 0.0)) / 2)
 
 
-def fitted(texts: list[str], labels: dict[str, np.ndarray], folds: int = FOLDS) -> list[Link]:
-    """The chain over ``labels``, in their order.
+def constant(name: str, earlier: int) -> Link:
+    """A category without documents of either kind: no words and a threshold that nothing exceeds."""
+    weights = np.zeros(1 + STYLE + earlier)
+    weights[0] = -30.0
+    return Link(name, (), weights, 1.0)
+
+
+def fitted(sets: list[set[str]], styles: np.ndarray, fold: np.ndarray, labels: dict[str, np.ndarray], told: dict[tuple[str, int], tuple[str, ...]], folds: int = FOLDS) -> list[Link]:
+    """The chain over ``labels``, in their order. ``sets``: each document's words, of which only those in ``told`` count.
 
     A later model is trained on out-of-fold probabilities of the earlier ones, so it sees them as good as they
-    will be on new documents. The words are chosen within each fold's training part, too. A category without
-    documents of either kind gets no words and a threshold that nothing exceeds.
+    will be on new documents. The words are those told within each fold's training part, too.
     """
-    sets = [set(map(intern, words_of(t))) for t in texts]  # one copy of each word
-    styles = np.array([style(t, s) for t, s in zip(texts, sets, strict=True)], np.float64).reshape(len(texts), STYLE)
-    before, chain = np.zeros((len(texts), 0)), []
-    fold = np.arange(len(texts)) % folds
+    before, chain = np.zeros((len(sets), 0)), []
     for name, y in labels.items():
         y = y.astype(np.float64)
         if min(y.sum(), len(y) - y.sum()) < folds:
-            constant = np.zeros(1 + STYLE + before.shape[1])
-            constant[0] = -30.0
-            chain.append(Link(name, (), constant, 1.0))
+            chain.append(constant(name, before.shape[1]))
             before = np.column_stack([before, np.zeros(len(y))])
             continue
         held = np.zeros(len(y))
         for k in range(folds):
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            own = [sets[i] for i in train]
-            words = telling_words(own, y[train])
-            w = logistic(matrix(own, styles[train], words, before[train]), y[train])
-            held[test] = chance(matrix([sets[i] for i in test], styles[test], words, before[test]) @ w)
-        words = telling_words(sets, y)
+            w = logistic(matrix([sets[i] for i in train], styles[train], told[name, k], before[train]), y[train])
+            held[test] = chance(matrix([sets[i] for i in test], styles[test], told[name, k], before[test]) @ w)
+        words = told[name, -1]
         chain.append(Link(name, words, logistic(matrix(sets, styles, words, before), y), best_threshold(held, y)))
         before = np.column_stack([before, held])
     return chain
@@ -157,16 +167,53 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
-    """A chain fitted on at most ``sample`` labelled documents, whole texts, on the driver.
+    """A chain fitted on at most ``sample`` labelled documents, whole texts. The driver sees the telling words and the weights only.
 
     ``categories``: by name, SQL over ``labels`` that is 1 or 0. Labels with a null anywhere are left out; of an
-    id labelled twice the greater values count, and of documents that share an id each one is used.
+    id labelled twice the greater values count, and of documents that share an id each one is used. Texts become
+    their shape and distinct words where they are read; one task, of a size that ``sample`` bounds, fits the chain.
     """
+    names, at = list(categories), workspace(docs.sparkSession, "toxicity")
     wanted = labels.select(F.col(id_col).alias("id"), *(F.expr(v).cast("int").alias(k) for k, v in categories.items())).dropna()
-    wanted = wanted.groupBy("id").agg(*(F.max(k).alias(k) for k in categories)).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
-    found = sorted(rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect(), key=lambda r: (r["id"], r["text"]))
-    return fitted([r["text"] for r in found], {k: np.array([r[k] for r in found], np.int64) for k in categories})
+    wanted = wanted.groupBy("id").agg(*(F.max(k).alias(k) for k in names)).orderBy(F.xxhash64("id"), "id").limit(sample)
+    wanted = wanted.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1, F.lit(FOLDS)).cast("int"))  # ``sample`` rows at most
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("mark")).join(F.broadcast(wanted), "id")
+    kinds = {"id": pa.int64(), "mark": pa.string(), "fold": pa.int32(), "style": pa.list_(pa.float64()), "words": pa.list_(pa.string()), **dict.fromkeys(names, pa.int32())}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, styles = [], []
+            for i in range(len(batch)):
+                text = batch.column(3)[i].as_py()
+                words = words_of(text)
+                own.append(sorted(words))
+                styles.append(style(text, words))
+            columns = [*(batch.column(k) for k in range(3)), pa.array(styles, kinds["style"]), pa.array(own, kinds["words"]), *(batch.column(4 + k) for k in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+    plain = rows.select(F.col("id").cast("long").alias("id"), "mark", "fold", "text", *names)
+    schema = ", ".join(["id long, mark string, fold int, style array<double>, words array<string>", *(f"`{n}` int" for n in names)])
+    taken = written(plain.mapInArrow(read, schema).orderBy(F.xxhash64("id"), "id", "mark").limit(sample), f"{at}/sample")
+    told = telling_words(taken, names)
+    known = frozenset(intern(w) for own in told.values() for w in own)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for batch in batches:
+            for i in range(len(batch)):
+                row = [c[i].as_py() for c in batch.columns]
+                found.append((*row[:4], {intern(w) for w in row[4] if w in known}, *row[5:]))
+        found.sort(key=lambda r: r[:2])
+        if found:
+            given = {n: np.array([r[5 + k] for r in found], np.int64) for k, n in enumerate(names)}
+            chain = fitted([r[4] for r in found], np.array([r[3] for r in found], np.float64), np.array([r[2] for r in found]), given, told)
+            columns = [[k.name for k in chain], [list(k.words) for k in chain], [k.weights.tolist() for k in chain], [k.threshold for k in chain]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["name", "words", "weights", "threshold"])
+
+    made = taken.coalesce(1).mapInArrow(fit, "name string, words array<string>, weights array<double>, threshold double").collect()
+    chain = {r["name"]: Link(r["name"], tuple(r["words"]), np.array(r["weights"]), r["threshold"]) for r in made}
+    return [chain.get(n) or constant(n, k) for k, n in enumerate(names)]
 
 
 def judged(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
