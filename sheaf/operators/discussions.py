@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import count_tokens
-from sheaf.operators.dom import BOILERPLATE, DROPPED, Node, Tree, content_scope, sections_of, squash
+from sheaf.operators.dom import BOILERPLATE, DROPPED, MOST_DIGITS, Node, Tree, content_scope, sections_of, squash
 from sheaf.operators.threads import CORE_LIMIT, capture_status
 
 #: Fixed value: the URLs of threads.
@@ -57,11 +57,13 @@ def chosen(root: Node, places: tuple[Test, ...]) -> Node | None:
 
 
 def score_of(text: str) -> int | None:
-    found = re.search(r"([-+]?\d[\d,.]*)([kKmM]?)", text)
+    """The first number in a text, thousands and millions by their letters; null where it is none or beyond ``MOST_DIGITS`` digits."""
+    found = re.search(r"([-+]?[0-9][0-9,.]*)([kKmM]?)", text)
     try:
-        return round(float(found[1].replace(",", "")) * {"": 1, "k": 1_000, "m": 1_000_000}[found[2].lower()]) if found else None
+        value = float(found[1].replace(",", "")) * {"": 1, "k": 1_000, "m": 1_000_000}[found[2].lower()] if found else None
     except ValueError:
         return None
+    return None if value is None or abs(value) >= 10**MOST_DIGITS else round(value)
 
 
 def comments_of(root: Node) -> Iterator[dict[str, Any]]:
@@ -74,14 +76,25 @@ def comments_of(root: Node) -> Iterator[dict[str, Any]]:
             yield {"id": node.get("id") or node.get("data-id") or f"captured-{place}", "body": text["body"], "score": score_of(text["score"]), "timestamp": stamp or None, "age": text["time"] or None, "author": text["author"] if at["author"] else None}
 
 
+NO_THREAD = dict.fromkeys(("title", "subreddit", "post_age", "reported", "deeper", "comments"))
+
+
 def thread(html: str | None, url: str | None) -> dict[str, Any]:
-    """A thread of one page. A URL that is not a thread's gives an error."""
+    """A thread of one page. A URL that is not a thread's gives an error, and so does a page that can't be read."""
     named = THREAD.search(url or "")
     if not named:
-        return {"title": None, "subreddit": None, "post_age": None, "reported": None, "deeper": None, "comments": None, "error": "the URL is not a thread's"}
-    root = Tree(html or "").root
-    shown = (content_scope(root) or next(root.all("body"), root)).text(DROPPED | BOILERPLATE, hide=True)
-    counts = [int(digits) for n in re.findall(r"\b([\d,]+)\s+comments?\b", shown, re.I) if (digits := n.replace(",", ""))]
+        return NO_THREAD | {"error": "the URL is not a thread's"}
+    try:
+        return parsed_thread(html, named)
+    except Exception as e:  # one page must not end a job over many
+        return NO_THREAD | {"error": f"the page can't be read: {type(e).__name__}"}
+
+
+def parsed_thread(html: str | None, named: re.Match) -> dict[str, Any]:
+    tree = Tree(html or "")
+    root = tree.root
+    shown = (content_scope(tree.nodes) or next(root.all("body"), root)).text(DROPPED | BOILERPLATE, hide=True)
+    counts = [int(digits) for n in re.findall(r"\b([0-9,]+)\s+comments?\b", shown, re.I) if 0 < len(digits := n.replace(",", "")) <= MOST_DIGITS]
     title, age = chosen(root, TITLE), chosen(root, POST_TIME)
     return {
         "title": re.sub(r"\s*[-|]\s*Redlib\s*$", "", squash(title.text()) if title else "", flags=re.I) or "Reddit thread",

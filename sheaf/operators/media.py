@@ -27,7 +27,7 @@ def listing_fields(html: str | None, item: str | None) -> str:
         if node.get("type") == "application/json" and MARK in text:
             try:
                 block = json.loads(text)
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             for part in walk_json(block):
                 if isinstance(part, dict) and item and str(part.get("id", "")) == item:

@@ -33,7 +33,7 @@ _H1 = _decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
 @queries(f"""SELECT page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) AS headings,
 len(regexp_extract_all({_PLAIN}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+(?:[’''-][\\p{{L}}\\p{{N}}\\p{{M}}_]+)*'))::INT AS words, contains(html, '<article') AS has_container FROM pages""")
 def dom_facts(spark, folder):
-    rows = D.with_facts(pages(spark, folder))
+    rows = D.with_facts(pages(spark, folder), names=("title", "headings", "words", "has_container"))
     return rows.select("page_id", "facts.title", F.array_join("facts.headings", "|").alias("headings"), "facts.words", "facts.has_container")
 
 
@@ -44,19 +44,19 @@ def script_shell(spark, folder):
 
 @queries()
 def block_signal(spark, folder):
-    rows = D.with_facts(pages(spark, folder))
+    rows = D.with_facts(pages(spark, folder), names=D.BLOCK_FACTS)
     return rows.select("page_id", D.block_signal(F.col("html"), F.col("facts"), F.lit(200), F.col("url")).alias("b")).select("page_id", "b.detected", F.array_join("b.reasons", "; ").alias("reasons"), "b.auth_required")
 
 
 @queries()
 def page_probe(spark, folder):
-    rows = D.with_facts(pages(spark, folder))
+    rows = D.with_facts(pages(spark, folder), names=("canonical", "json_ld", "feeds", "paginated", "declared", "redirect", "doi", "paper_title"))
     return rows.select("page_id", public_url(F.col("facts.canonical")).alias("canonical"), F.size("facts.json_ld").alias("json_ld"), F.size("facts.feeds").alias("feeds"), "facts.paginated", "facts.declared", "facts.redirect", "facts.doi", "facts.paper_title")
 
 
 @queries()
 def page_markdown(spark, folder):
-    return D.with_facts(pages(spark, folder)).select("page_id", "facts.markdown")
+    return D.with_facts(pages(spark, folder), names=("markdown",)).select("page_id", "facts.markdown")
 
 
 def captured(spark: SparkSession, folder: str) -> DataFrame:
