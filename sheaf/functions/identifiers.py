@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The forms of identifiers.
-ARXIV = r"(?:arxiv:\s*)?(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?"
-ARXIV_PATH = r"arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})"
-PMC = r"\b(PMC\d+)\b"
-PMID_LABEL = r"pmid\s*:?\s*(\d{4,10})"
-PMID_PATH = r"(?:pubmed\.ncbi\.nlm\.nih\.gov|ncbi\.nlm\.nih\.gov/pubmed)/(\d{4,10})"
-EUROPE_PATH = r"europepmc\.org/(?:article|abstract)/med/(\d{4,10})"
+ARXIV = r"(?:arxiv\.org/(?:abs|pdf|html)/|arxiv:)([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?(?:[/?#].*)?$"
+PMC = r"\bPMC(\d+)\b"
+PMID_LABEL = r"PMID\s*:?\s*(\d{4,10})"
+PMID_PATH = r"^[a-z]+://(?:[^/?#@]*@)?(?:www\.)?pubmed\.ncbi\.nlm\.nih\.gov\.?(?::\d+)?/[^?#]*?(?<=/)(\d{4,10})(?:/|$|[?#])"
+EUROPE_PATH = r"^[a-z]+://[^/?#]*europepmc\.org\.?(?::\d+)?[^?#]*/(?:article/MED|abstract/MED)/(\d+)"
 DOI = r"(10\.\d{4,9}/[^\s\"'<>?#]+)"
 
 
@@ -25,41 +26,52 @@ def metadata_doi(value: Column) -> Column:
     return F.lower(F.regexp_replace(F.nullif(F.regexp_extract(value, r"(10\.\d{4,9}/\S+)", 1), F.lit("")), r"[.,;]+$", ""))
 
 
-def identifier(value: Column, bare_digits: bool = True) -> Column:
-    """struct(kind, value) of the first form that fits: whole forms before forms found inside; null where none does."""
-    text = F.trim(F.coalesce(F.try_url_decode(value), value))
+def _prefixed(value: Column) -> Column:
+    return F.concat(F.lit("PMC"), value)
+
+
+def _form(text: Column, kind: str, pattern: str, clean: Callable[[Column], Column] = lambda c: c) -> Column:
+    found = F.regexp_extract(text, "(?i)" + pattern, 1)
+    return F.when(found != "", F.struct(F.lit(kind).alias("kind"), clean(found).alias("value")))
+
 
-    def form(kind: str, pattern: str, clean=lambda c: c) -> Column:  # noqa: ANN001
-        found = F.regexp_extract(text, "(?i)" + pattern, 1)
-        return F.when(found != "", F.struct(F.lit(kind).alias("kind"), clean(found).alias("value")))
+def decoded(value: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.replace(F.trim(value), F.lit("+"), F.lit("%2B"))), F.trim(value))
 
+
+def bare_identifier(value: Column, digits: bool = True) -> Column:
+    """struct(kind, value) where the whole text is an identifier; null where it isn't. ``digits``: whether digits alone are one."""
+    text = decoded(value)
     tries = [
-        form("arxiv", f"^{ARXIV}$", F.lower),
-        form("pmcid", f"^{PMC}$", F.upper),
-        form("pmid", f"^{PMID_LABEL}$"),
-        *([form("pmid", r"^(\d{4,10})$")] if bare_digits else []),
-        form("doi", rf"^(?:doi:\s*)?{DOI}$", clean_doi),
-        form("arxiv", ARXIV_PATH, F.lower),
-        form("pmcid", PMC, F.upper),
-        form("pmid", PMID_PATH),
-        form("pmid", EUROPE_PATH),
-        form("doi", DOI, clean_doi),
+        _form(text, "arxiv", f"^{ARXIV}"),
+        _form(text, "pmcid", f"^{PMC}$", _prefixed),
+        _form(text, "pmid", f"^{PMID_LABEL}$"),
+        *([_form(text, "pmid", r"^(\d{4,10})$")] if digits else []),
+        _form(text, "doi", f"^{DOI}$", clean_doi),
     ]
     return F.coalesce(*tries)
 
 
+def identifier(value: Column, bare_digits: bool = True, page_doi: Column | None = None) -> Column:
+    """struct(kind, value) of the first form that fits: whole forms, forms found inside, then the DOI that the page itself declares; null where none does."""
+    text = decoded(value)
+    inside = (_form(text, "arxiv", ARXIV), _form(text, "pmcid", PMC, _prefixed), _form(text, "pmid", PMID_PATH), _form(text, "pmid", EUROPE_PATH), _form(text, "doi", DOI, clean_doi))
+    declared = [] if page_doi is None else [F.when(page_doi != "", F.struct(F.lit("doi").alias("kind"), page_doi.alias("value")))]
+    return F.coalesce(bare_identifier(value, bare_digits), *inside, *declared)
+
+
 def resolver_url(kind: Column, value: Column) -> Column:
     """Where an identifier resolves."""
     return (
         F.when(kind == "doi", F.concat(F.lit("https://doi.org/"), value))
         .when(kind == "arxiv", F.concat(F.lit("https://arxiv.org/abs/"), value))
-        .when(kind == "pmcid", F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/"), value, F.lit("/")))
+        .when(kind == "pmcid", F.concat(F.lit("https://europepmc.org/articles/"), value))
         .when(kind == "pmid", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), value, F.lit("/")))
     )
 
 
 def arxiv_from_doi(doi: Column) -> Column:
-    return F.nullif(F.regexp_extract(doi, r"(?i)^10\.48550/arxiv\.(.+)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(doi, r"(?i)^10\.48550/arxiv\.(.*)$", 1), F.lit(""))
 
 
 def normalized_pmcid(value: Column) -> Column:

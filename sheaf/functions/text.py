@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lexical words, heading lines, fences and the markup that headings lose.
+#: Lexical words, heading lines and the markup that headings lose.
 WORD = r"(?U)[\w]+(?:[’'-][\w]+)*"
 HEADING = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
-FENCE = r"^\s*(`{3,}|~{3,})"
 MARKUP = r"[`*_~\[\]()]"
 #: Latin letters that compatibility decomposition turns into ASCII, and those it drops.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
@@ -45,7 +44,7 @@ def normalize_heading(text: Column) -> Column:
 
 def scholarly_heading(text: Column) -> Column:
     """A section title without its number, in lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, r"^\s*(?:\d+(?:\.\d+)*|[IVXLC]+)[.):]?\s+", "")))
+    return F.lower(F.trim(F.regexp_replace(F.trim(text), r"^\d+(?:\.\d+)*\s*", "")))
 
 
 def parse_positive_int(text: Column) -> Column:
@@ -82,13 +81,17 @@ def page_extent(first: Column, last: Column) -> Column:
 
 
 #: Words that say nothing about a title.
-TITLE_STOPWORDS = ("about", "after", "and", "are", "for", "from", "into", "its", "that", "the", "their", "this", "using", "via", "was", "were", "with")
+TITLE_STOPWORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "using", "via", "with")
+
+
+def plain_tokens(text: Column) -> Column:
+    """The distinct runs of ASCII letters and digits, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def title_tokens(text: Column) -> Column:
     """The distinct ASCII tokens of a title of over two letters, stopwords left out."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*TITLE_STOPWORDS)))
+    return F.filter(plain_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(*TITLE_STOPWORDS))
 
 
 #: The names of a paper's sections.
@@ -106,37 +109,33 @@ def promote_headings(text: Column) -> Column:
     return bare(F.array_join(lines, "\n"))
 
 
-def reference_count(text: Column) -> Column:
-    """The greatest index of a numbered reference at the start of a line."""
-    marks = F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:\[(\d{1,4})\]|(\d{1,4})\.)\s"), F.lit(0))
-    return F.coalesce(F.array_max(F.transform(marks, lambda m: F.regexp_replace(m, r"\D", "").cast("int"))), F.lit(0))
+#: A whole fenced block, to the closing fence of its kind or the text's end, and the place before a heading line.
+FENCED = "|".join(rf"^[^\S\n]*+{c}{{3}}(?s:.*?)(?:\n[^\S\n]*+{c}{{3}}[^\n]*+|\z)" for c in "`~")
+BEFORE_HEADING = r"(?=[^\S\n]{0,3}#{1,6}[^\S\n]+[^\n])"
+#: Stands between sections while a text is cut; nothing else writes it.
+BETWEEN = "\x01cut-b1946ac92492d2347c6235b4d2611184\x01"
 
 
-def fence_scan(lines: Column) -> Column:
-    """For each line: struct(line, fence, heading level, heading), with headings only outside fences.
+def cut_at_headings(markdown: Column) -> Column:
+    """array<string>: the text before the first heading, then each heading with what follows it; headings in fences are text.
 
-    One fold keeps the open fence's kind: a fence of the other kind inside it is text.
+    A fence of the other kind inside a fence is text, too. Patterns walk the text once, so the cost is in
+    proportion to its length, whatever the number of lines and sections.
     """
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.substring(F.regexp_extract(x, FENCE, 1), 1, 1).alias("mark"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level")))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("out"))
+    marked = F.regexp_replace(markdown, rf"(?md)({FENCED})|^{BEFORE_HEADING}", f"$1{BETWEEN}")
+    return F.split(F.regexp_replace(marked, f"{BETWEEN}(?!{BEFORE_HEADING})", ""), BETWEEN)
 
-    def step(s: Column, row: Column) -> Column:
-        mark = row["mark"]
-        state = F.when((mark != "") & (s["open"] == ""), mark).when((mark != "") & (s["open"] == mark), F.lit("")).otherwise(s["open"])
-        return F.struct(state.alias("open"), F.array_append(s["out"], (mark == "") & (s["open"] == "") & (row["level"] > 0)).alias("out"))
 
-    outside = F.aggregate(marked, start, step, lambda s: s["out"])
-    joined = F.arrays_zip(marked.alias("row"), outside.alias("on"))
-    return F.transform(
-        joined,
-        lambda z: F.struct(z["row"]["line"].alias("line"), (z["row"]["mark"] != "").alias("fence"), F.when(z["on"], z["row"]["level"]).alias("level"), F.when(z["on"], F.trim(F.regexp_extract(z["row"]["line"], HEADING, 2))).alias("heading")),
-    )
+def heading_of(section: Column) -> Column:
+    """struct(level, heading) of a section's first line."""
+    line = F.substring_index(section, "\n", 1)
+    return F.struct(F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), F.trim(F.regexp_extract(line, HEADING, 2)).alias("heading"))
 
 
 def markdown_headings(markdown: Column) -> Column:
     """The headings of a Markdown text, fenced lines left out."""
-    found = F.filter(fence_scan(F.split(markdown, "\r?\n")), lambda r: r["heading"].isNotNull())
-    return F.transform(found, lambda r: normalize_space(r["heading"]))
+    parts = cut_at_headings(markdown)
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: normalize_space(heading_of(s)["heading"]))
 
 
 def first_present(*values: Column) -> Column:

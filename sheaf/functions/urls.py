@@ -104,15 +104,27 @@ def same_resource_page(current: Column, candidate: Column) -> Column:
     return F.coalesce(site & (by_query | by_number | by_segment | by_stem), F.lit(False))
 
 
+#: The forms of a social network's URLs by class.
+LINKEDIN_FORMS = (
+    ("profile", r"(?i)/in/[^/?#]+(?:/|[?#]|$)"),
+    ("company", r"(?i)/company/[^/?#]+"),
+    ("pulse", r"(?i)/pulse/[^/?#]+"),
+    ("post", r"(?i)/posts/[^?#]*[-_]activity-[0-9]+"),
+    ("post", r"/feed/update/"),
+)
+
+
 def linkedin_class(url: Column) -> Column:
-    """profile, company, pulse, post or other, by the first path that fits."""
-    path = F.lower(url_parts(url)["path"])
-    return F.when(path.rlike("^/in/"), "profile").when(path.rlike("^/(company|school|showcase)/"), "company").when(path.rlike("^/pulse/"), "pulse").when(path.rlike("^/(posts|feed/update)/"), "post").otherwise("other")
+    """profile, company, pulse, post or other, by the first form that fits."""
+    found = F.lit("other")
+    for kind, form in reversed(LINKEDIN_FORMS):
+        found = F.when(url.rlike(form), kind).otherwise(found)
+    return found
 
 
 def video_id(url: Column) -> Column:
     """The 11-character id of a video URL; null where there is none."""
-    return F.nullif(F.regexp_extract(url, r"(?:[?&]v=|youtu\.be/|/shorts/|/embed/|/live/)([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"(?:[?&]v=|/shorts/|/live/|youtu\.be/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
 
 
 def listing_id(url: Column) -> Column:

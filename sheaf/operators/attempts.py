@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRANSIENT = (429, 500, 502, 503, 504)
@@ -50,13 +52,18 @@ def first_success(attempts: DataFrame, key: str, order: list[str], accepted: Col
 
 
 def replaced(registry: DataFrame, name: str = "name") -> DataFrame:
-    """One entry for each name: the highest priority, of equal ones the latest registered."""
-    order = Window.partitionBy(name).orderBy(F.col("priority").desc(), F.col("seq").desc())
-    return registry.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """One entry for each name: the highest priority, of equal ones the latest registered. One aggregation that combines in the map tasks."""
+    rest = [c for c in registry.columns if c != name]
+    best = registry.groupBy(name).agg(F.max_by(F.struct(*rest), F.struct("priority", "seq")).alias("_best"))
+    return best.select(*(F.col(name) if c == name else F.col(f"_best.`{c}`").alias(c) for c in registry.columns))
 
 
 def redirect_chain(starts: DataFrame, hops: DataFrame, most: int = 3) -> DataFrame:
-    """(url, final, hops, looped): follow (from_url, to_url) rows at most ``most`` times; a URL seen before ends the chain."""
+    """(url, final, hops, looped): follow (from_url, to_url) rows at most ``most`` times; a URL seen before ends the chain.
+
+    Of several hops from one URL the least ``to_url`` is followed, so rows never multiply.
+    """
+    hops = hops.groupBy("from_url").agg(F.min("to_url").alias("to_url"))
     at = starts.select("url", F.col("url").alias("final"), F.lit(0).alias("hops"), F.array("url").alias("seen"), F.lit(False).alias("looped"))
     for _ in range(most):
         nxt = at.join(hops, (F.col("final") == F.col("from_url")) & ~F.col("looped"), "left")
@@ -66,12 +73,12 @@ def redirect_chain(starts: DataFrame, hops: DataFrame, most: int = 3) -> DataFra
     return at.drop("seen")
 
 
-def route(urls: DataFrame, recipes: list[tuple[str, int, tuple[str, ...]]], url: str = "url", default: str = "generic") -> DataFrame:
-    """Add ``recipe``: the first by priority, ties in their order, one of whose patterns the URL contains. A CASE, so no join."""
+def route(urls: DataFrame, recipes: list[tuple[str, int, tuple[str | Callable[[Column], Column], ...]]], url: str = "url", default: str = "generic") -> DataFrame:
+    """Add ``recipe``: the first by priority, ties in their order, one of whose patterns or tests fits the URL. A CASE, so no join."""
     found = F.lit(default)
     for name, _, patterns in reversed(sorted(recipes, key=lambda r: -r[1])):
         match = F.lit(False)
         for p in patterns:
-            match = match | F.coalesce(F.col(url).rlike(f"(?i){p}"), F.lit(False))
+            match = match | F.coalesce(p(F.col(url)) if callable(p) else F.col(url).rlike(f"(?i){p}"), F.lit(False))
         found = F.when(match, name).otherwise(found)
     return urls.withColumn("recipe", found)

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import first_present, page_range, title_tokens
+from sheaf.functions.identifiers import normalized_pmcid
+from sheaf.functions.text import first_present, page_range, plain_tokens, title_tokens
 
 
 def merged(manifests: DataFrame, key: str, order: str, scalars: list[str], lists: list[str]) -> DataFrame:
-    """One row for each key: of every scalar the first that is not null by ``order``, of every list the ordered distinct union.
+    """One row for each key: of every scalar the first that is not null by ``order``, of every list, of texts or structs, the ordered distinct union.
 
     A full outer merge of any number of services as one aggregation, so a service that failed is a missing row.
     """
+    kinds = dict(manifests.dtypes)
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
 
     def union(name: str) -> Column:
         rows = F.sort_array(F.collect_list(F.struct(order, name)))
-        return F.array_distinct(F.flatten(F.transform(rows, lambda x: F.coalesce(x[name], F.array().cast("array<string>"))))).alias(name)
+        return F.array_distinct(F.flatten(F.transform(rows, lambda x: F.coalesce(x[name], F.array().cast(kinds[name]))))).alias(name)
 
     unions = [union(c) for c in lists]
     return manifests.groupBy(key).agg(*firsts, *unions)
 
 
 def deduplicated(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """The first row of each key by position."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(pos))).where("_n = 1").drop("_n")
+    """The first row of each key by position: an aggregation that combines in the map tasks."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), pos).alias("_first")).select(*keys, *(F.col(f"_first.`{c}`").alias(c) for c in rest)).select(*rows.columns)
 
 
 def inverted_text(rows: DataFrame, key: str, index: str) -> DataFrame:
-    """(key, text): the words of a map<word, positions> in the order of their positions, equal positions by word."""
-    words = rows.select(key, F.explode(index).alias("word", "positions")).select(key, "word", F.explode("positions").alias("at"))
-    return words.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+    """(key, text): the words of a map<word, positions> in the order of their positions, equal positions by word. Row-local."""
+    placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda at: F.struct(at.alias("at"), e["key"].alias("word")))))
+    return rows.select(key, F.array_join(F.transform(F.sort_array(placed), lambda x: x["word"]), " ").alias("text"))
 
 
 def identity(front: Column, title: Column, authors: Column, bound: Column) -> Column:
@@ -42,7 +45,8 @@ def identity(front: Column, title: Column, authors: Column, bound: Column) -> Co
     """
     tokens = title_tokens(F.substring(front, 1, 8000))
     wanted = title_tokens(title)
-    author_ok = F.coalesce(F.exists(authors, lambda a: (F.size(title_tokens(a)) > 0) & (F.size(F.array_except(title_tokens(a), tokens)) == 0)), F.lit(False))
+    names = plain_tokens(F.substring(front, 1, 8000))
+    author_ok = F.coalesce(F.exists(authors, lambda a: (F.size(plain_tokens(a)) > 0) & (F.size(F.array_except(plain_tokens(a), names)) == 0)), F.lit(False))
     overlap = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, tokens)) / F.size(wanted)).otherwise(0.0)
     named = F.coalesce(F.size(authors) > 0, F.lit(False))
     blank = F.coalesce(F.trim(front), F.lit("")) == ""
@@ -56,28 +60,49 @@ def missing_items(expected: Column, found: Column) -> Column:
 
 
 #: The items that a filing of each form must have.
-FILING_ITEMS = {"10-K": ("1", "1A", "2", "3", "5", "7", "8", "9A", "10", "15"), "10-Q": ("1", "2", "3", "4", "1A", "6")}
+FILING_ITEMS = {
+    "10-K": ("1", "1A", "2", "3", "4", "5", "7", "7A", "8", "9", "9A", "10", "11", "12", "13", "14"),
+    "10-Q": ("1", "2", "3", "4"),
+}
+
+
+def expected_items(form: Column) -> Column:
+    """The items that a filing of a form must have; null for other forms."""
+    known = F.create_map(*(x for k, v in FILING_ITEMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.try_element_at(known, form)
 
 
 def form_type(html: Column) -> Column:
     """The form that a filing declares, else that its cover names."""
-    declared = F.nullif(F.upper(F.regexp_extract(html, r"(?i)<TYPE>\s*([0-9A-Z-]+)", 1)), F.lit(""))
-    return F.coalesce(declared, F.nullif(F.upper(F.regexp_extract(html, r"(?i)FORM\s+(10-[KQ])\b", 1)), F.lit("")))
+    named = lambda before: F.nullif(F.upper(F.regexp_extract(html, before + r"\s*(10-K|10-Q)\b", 1)), F.lit(""))
+    return F.coalesce(named("(?i)<TYPE>"), named(r"(?i)\bFORM\s"))
 
 
 def filing_items(text: Column) -> Column:
-    """The distinct item numbers at the start of a filing's lines."""
-    found = F.regexp_extract_all(text, F.lit(r"(?im)^\W*item\s+(\d{1,2}[A-C]?)\b"), F.lit(1))
+    """The distinct item numbers at the start of lines of a filing's Markdown, headings or not."""
+    found = F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*(?:#+\s*)?item\s+([0-9]+[a-z]?)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.upper(x)))
 
 
 #: The codes of a listing's condition.
-CONDITIONS = {"PC_NEW": "New", "PC_USED_LIKE_NEW": "Used - like new", "PC_USED_GOOD": "Used - good", "PC_USED_FAIR": "Used - fair"}
+CONDITIONS = {
+    "NEW_ITEM": "New",
+    "NEW": "New",
+    "USED_LIKE_NEW": "Used - Like New",
+    "PC_USED_LIKE_NEW": "Used - Like New",
+    "USED_GOOD": "Used - Good",
+    "PC_USED_GOOD": "Used - Good",
+    "USED_FAIR": "Used - Fair",
+    "PC_USED_FAIR": "Used - Fair",
+    "USED": "Used",
+}
 
 
 def condition_label(code: Column) -> Column:
+    """A condition in words; an unknown code's own words, each with a capital. Null where there is no code."""
+    code = F.upper(code)
     known = F.create_map(*(F.lit(x) for kv in CONDITIONS.items() for x in kv))
-    return F.coalesce(F.try_element_at(known, code), F.initcap(F.lower(F.regexp_replace(F.regexp_replace(code, "^PC_", ""), "_", " "))))
+    return F.coalesce(F.try_element_at(known, code), F.nullif(F.initcap(F.lower(F.regexp_replace(F.regexp_replace(code, "^PC_", ""), "_", " "))), F.lit("")))
 
 
 def listing(fragment: Column) -> Column:
@@ -115,6 +140,9 @@ def openalex(document: Column) -> Column:
         get("$.referenced_works_count", "int").alias("reference_count"),
         F.try_variant_get(v, "$.abstract_inverted_index", "map<string,array<int>>").alias("abstract_index"),
         F.array_distinct(F.filter(F.transform(F.try_variant_get(v, "$.locations", "array<variant>"), lambda x: F.try_variant_get(x, "$.pdf_url", "string")), lambda u: u.isNotNull())).alias("pdf_urls"),
+        F.array_distinct(F.filter(F.transform(F.try_variant_get(v, "$.locations", "array<variant>"), lambda x: F.try_variant_get(x, "$.landing_page_url", "string")), lambda u: u.isNotNull())).alias("landing_urls"),
+        F.nullif(F.regexp_extract(get("$.ids.pmid"), r"(\d+)/*$", 1), F.lit("")).alias("pmid"),
+        normalized_pmcid(get("$.ids.pmcid")).alias("pmcid"),
     )
 
 
@@ -144,8 +172,17 @@ def unpaywall(document: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(of("$.url_for_pdf", "pdf"), of("$.url_for_landing_page", "landing")), lambda x: x["url"].isNotNull()))
 
 
-def biorxiv(document: Column) -> Column:
-    """The JATS URL of the latest version of a preprint."""
+def _collected(document: Column, field: str) -> Column:
+    """The first text of a field among the rows of an answer's collection."""
     rows = F.try_variant_get(F.try_parse_json(document), "$.collection", "array<variant>")
-    versions = F.transform(rows, lambda r: F.struct(F.try_variant_get(r, "$.version", "int").alias("version"), F.try_variant_get(r, "$.jatsxml", "string").alias("url")))
-    return F.element_at(F.filter(F.array_sort(versions), lambda r: r["url"].isNotNull()), -1)["url"]
+    return F.get(F.filter(F.transform(rows, lambda r: F.nullif(F.trim(F.try_variant_get(r, f"$.{field}", "string")), F.lit(""))), lambda v: v.isNotNull()), 0)
+
+
+def biorxiv(document: Column) -> Column:
+    """The JATS URL that a preprint server gives first."""
+    return _collected(document, "jatsxml")
+
+
+def preprint_doi(document: Column) -> Column:
+    """The preprint that a server maps a published work to."""
+    return F.lower(_collected(document, "preprint_doi"))

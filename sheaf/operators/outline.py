@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import count_tokens, fence_scan, slugify
+from sheaf.functions.text import count_tokens, cut_at_headings, heading_of, slugify
 
+#: The rule below a table's head, and the words of pages.
 TABLE_RULE = r"(?m)^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 PAGED = r"(?im)(?:\bpage\s+\d+\s+of\s+\d+\b|^\s*\[(?:next|older|more)\]\([^\n]+\)\s*$)"
 
@@ -26,25 +27,13 @@ def sections(docs: DataFrame, doc: str = "doc", markdown: str = "markdown") -> D
     """Cut each Markdown document at its headings outside fences.
 
     Text before the first heading is a section named Document of level 0 unless it is blank; a text without
-    headings is one such section, an empty or null one none. Row-local up to the anchors' window.
+    headings is one such section, an empty or null one none. ``pos`` numbers a document's cuts from 0, the text before
+    the first heading, and may leave it out. Row-local up to the anchors' window.
     """
-    lines = F.split(F.col(markdown), "(?<=\n)")
-    scanned = docs.where(F.length(markdown) > 0).select(F.col(doc).alias("doc"), fence_scan(lines).alias("lines"))
-    grown = F.aggregate(
-        "lines",
-        F.array().cast("array<struct<heading:string,level:int,markdown:string>>"),
-        lambda out, r: F.when(
-            r["heading"].isNotNull() | (F.size(out) == 0),
-            F.concat(out, F.array(F.struct(F.coalesce(r["heading"], F.lit("Document")).alias("heading"), F.coalesce(r["level"], F.lit(0)).alias("level"), r["line"].alias("markdown")))),
-        ).otherwise(
-            F.concat(
-                F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(out, -1)["heading"].alias("heading"), F.element_at(out, -1)["level"].alias("level"), F.concat(F.element_at(out, -1)["markdown"], r["line"]).alias("markdown"))),
-            )
-        ),
-    )
-    cut = F.filter(grown, lambda s: (s["level"] > 0) | (F.size(grown) == 1) | s["markdown"].rlike(r"(?U)\S"))
-    rows = scanned.select("doc", F.posexplode(cut).alias("pos", "s")).select("doc", "pos", "s.heading", "s.level", "s.markdown")
+    parts = docs.where(F.length(markdown) > 0).select(F.col(doc).alias("doc"), F.posexplode(cut_at_headings(F.col(markdown))).alias("pos", "markdown"), F.size(cut_at_headings(F.col(markdown))).alias("n"))
+    kept = parts.where((F.col("pos") > 0) | (F.col("n") == 1) | F.col("markdown").rlike(r"(?U)\S"))
+    head = heading_of(F.col("markdown"))
+    rows = kept.select("doc", "pos", F.when(F.col("pos") > 0, head["heading"]).otherwise("Document").alias("heading"), F.when(F.col("pos") > 0, head["level"]).otherwise(0).alias("level"), "markdown")
     return with_anchors(rows.withColumns({"token_count": count_tokens(F.col("markdown")), "char_count": F.length("markdown")}))
 
 

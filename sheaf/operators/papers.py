@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.identifiers import bare_identifier
 from sheaf.functions.text import page_extent
 from sheaf.functions.urls import hostname, is_http_url
 from sheaf.operators.dom import with_facts
@@ -17,72 +18,151 @@ from sheaf.operators.dom import with_facts
 MOST_JATS_BYTES = 16 << 20
 #: Characters that a page, and one of the article archive's own pages, must show to be a candidate.
 LEAST_CHARS, LEAST_ARCHIVE_CHARS = 1_000, 15_000
-#: The elements that are rendered as plain paragraphs.
-PARAGRAPHS = frozenset(("p", "disp-quote", "boxed-text", "statement", "caption"))
+#: The elements that are rendered as plain paragraphs, and those named by a label and a caption.
+PARAGRAPHS, LABELLED = frozenset(("p", "disp-quote", "boxed-text", "statement", "caption")), frozenset(("table-wrap", "fig"))
 
 
-def _name(node: ET.Element) -> str:
-    return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+class Article:
+    """Markdown of one JATS document, written while its tags go by.
 
+    Each element whose text is wanted opens a pocket; text goes to every open pocket's buffer by position, so
+    the document is walked once and no tree is kept. ``depth`` counts open sections of the body.
+    """
 
-def _text(node: ET.Element | None) -> str:
-    return "" if node is None else " ".join("".join(node.itertext()).split())
-
-
-def _find(root: ET.Element, name: str) -> ET.Element | None:
-    return next((n for n in root.iter() if _name(n) == name), None)
-
+    def __init__(self) -> None:
+        self.path: list[str] = []
+        self.text: list[str] = []
+        self.pockets: list[tuple[int, str, int]] = []
+        self.title = self.abstract = ""
+        self.body: list[tuple[int, str]] = []  # (heading level, or 0 for a block; text)
+        self.refs: list[str] = []
+        self.lists: list[list[str]] = []
+        self.label = self.caption = ""
+        self.seen: set[str] = set()
+        self.body_at = self.refs_at = self.depth = 0
+        self.has_body = False
+
+    def start(self, tag: str, _: dict[str, str]) -> None:
+        name = tag.rpartition("}")[2]
+        self.path.append(name)
+        at = len(self.path)
+        first = name not in self.seen
+        if name == "body" and first:
+            self.body_at = at
+            self.pocket("body")
+        elif name == "ref-list" and first:
+            self.refs_at = at
+        elif name in ("article-title", "abstract") and first:
+            self.pocket(name)
+        elif name == "ref" and self.refs_at:
+            self.pocket("ref")
+        elif self.inside():
+            self.in_body(name, at)
+        self.seen.add(name)
+
+    def inside(self) -> bool:
+        return bool(self.body_at) and len(self.path) > self.body_at
+
+    def pocket(self, kind: str) -> None:
+        self.pockets.append((len(self.path), kind, len(self.text)))
+
+    def in_body(self, name: str, at: int) -> None:
+        sections = self.body_at + self.depth
+        if name == "sec" and at == sections + 1:
+            self.depth += 1
+            self.body.append((min(self.depth + 1, 6), ""))
+        elif name == "title" and at == sections + 1 and self.depth:
+            self.pocket("section title")
+        elif at == sections + 1 and name in PARAGRAPHS:
+            self.pocket("block")
+        elif at == sections + 1 and name == "list":
+            self.lists.append([])
+            self.pocket("list")
+        elif at == sections + 1 and name in LABELLED:
+            self.label = self.caption = ""
+            self.pocket("labelled")
+        elif name == "list-item" and self.lists:
+            self.lists[-1].append("")
+            self.pocket(f"item {len(self.lists[-1]) - 1}")
+        elif name in ("label", "caption") and at == sections + 2 and self.path[-2] in LABELLED:
+            self.pocket(name)
+
+    def data(self, text: str) -> None:
+        if self.pockets:
+            self.text.append(text)
+
+    def end(self, _: str) -> None:
+        at = len(self.path)
+        while self.pockets and self.pockets[-1][0] == at:
+            _, kind, start = self.pockets.pop()
+            self.take(kind, " ".join("".join(self.text[start:]).split()))
+            if not self.pockets:
+                self.text.clear()
+        if self.depth and at == self.body_at + self.depth:
+            self.depth -= 1
+        if at == self.body_at:
+            self.body_at = 0
+        if at == self.refs_at:
+            self.refs_at = 0
+        self.path.pop()
+
+    def take(self, kind: str, text: str) -> None:
+        if kind == "article-title":
+            self.title = text
+        elif kind == "abstract":
+            self.abstract = text
+        elif kind == "body":
+            self.has_body = bool(text)
+        elif kind == "ref":
+            self.refs.append(text)
+        elif kind == "section title":
+            own = max(i for i, (level, _) in enumerate(self.body) if level)
+            if not self.body[own][1]:
+                self.body[own] = (self.body[own][0], text)
+        elif kind.startswith("item "):
+            self.lists[-1][int(kind[5:])] = text
+        elif kind == "list":
+            self.body.append((0, "\n".join(f"- {t}" for t in self.lists.pop() if t)))
+        elif kind == "labelled":
+            self.body.append((0, ": ".join(filter(None, (self.label, self.caption)))))
+        elif kind in ("label", "caption"):
+            setattr(self, kind, getattr(self, kind) or text)
+        else:
+            self.body.append((0, text))
 
-def _child(node: ET.Element, name: str) -> ET.Element | None:
-    return next((n for n in node if _name(n) == name), None)
+    def close(self) -> dict[str, Any]:
+        if not self.has_body:
+            return {"error": "there is no article body"}
+        parts, titles = [f"# {self.title or 'Academic paper'}"], []
+        if self.abstract:
+            parts.append(f"## Abstract\n\n{self.abstract}")
+            titles.append("Abstract")
+        for level, text in self.body:
+            if level:
+                titles.append(text or "Section")
+            parts.append(f"{'#' * level} {titles[-1]}" if level else text)
+        if any(self.refs):
+            parts.append("## References\n\n" + "\n".join(f"{i}. {t}" for i, t in enumerate(self.refs, 1) if t))
+            titles.append("References")
+        text = "\n\n".join(p.strip() for p in parts if p.strip())
+        return {"markdown": text, "section_titles": titles, "reference_count": len(self.refs), "references_resolved": bool(self.refs), "word_count": len(text.split())}
 
 
-def _block(node: ET.Element) -> str:
-    kind = _name(node)
-    if kind in PARAGRAPHS:
-        return _text(node)
-    if kind == "list":
-        return "\n".join(f"- {t}" for n in node.iter() if _name(n) == "list-item" and (t := _text(n)))
-    if kind in ("table-wrap", "fig"):
-        return ": ".join(filter(None, (_text(_child(node, "label")), _text(_child(node, "caption")))))
-    return ""
+NO_PAPER = dict.fromkeys(("markdown", "section_titles", "reference_count", "references_resolved", "word_count", "error"))
 
 
 def jats(payload: bytes | None) -> dict[str, Any]:
-    """Markdown of one JATS document with its sections and references, or an error. Sections are walked with a stack, so any depth will do."""
-    out: dict[str, Any] = {"markdown": None, "section_titles": None, "reference_count": None, "references_resolved": None, "word_count": None, "error": None}
+    """Markdown of one JATS document with its sections and references, or an error. Sections may be of any depth."""
     if payload is None or len(payload) > MOST_JATS_BYTES:
-        return out | {"error": "no document" if payload is None else "the document is over the limit in bytes"}
+        return NO_PAPER | {"error": "no document" if payload is None else "the document is over the limit in bytes"}
     if re.search(rb"<!ENTITY\b", payload, re.I):
-        return out | {"error": "entity declarations are not read"}
+        return NO_PAPER | {"error": "entity declarations are not read"}
     try:
-        root = ET.fromstring(payload)
+        parser = ET.XMLParser(target=Article())
+        parser.feed(payload)
+        return NO_PAPER | parser.close()
     except (ET.ParseError, ValueError, LookupError) as e:
-        return out | {"error": f"not XML: {e}"}
-    body = _find(root, "body")
-    if not _text(body):
-        return out | {"error": "there is no article body"}
-    parts, titles = [f"# {_text(_find(root, 'article-title')) or 'Academic paper'}"], []
-    if abstract := _text(_find(root, "abstract")):
-        parts.append(f"## Abstract\n\n{abstract}")
-        titles.append("Abstract")
-    stack = [(n, 2) for n in reversed(body)]
-    while stack:
-        node, level = stack.pop()
-        if _name(node) == "sec":
-            title = _child(node, "title")
-            titles.append(_text(title) or "Section")
-            parts.append(f"{'#' * min(level, 6)} {titles[-1]}")
-            stack += [(n, level + 1) for n in reversed(node) if _name(n) != "title"]
-        else:
-            parts.append(_block(node))
-    listed = _find(root, "ref-list")
-    refs = [_text(n) for n in listed.iter() if _name(n) == "ref"] if listed is not None else []
-    if any(refs):
-        parts.append("## References\n\n" + "\n".join(f"{i}. {t}" for i, t in enumerate(refs, 1) if t))
-        titles.append("References")
-    text = "\n\n".join(p.strip() for p in parts if p.strip())
-    return out | {"markdown": text, "section_titles": titles, "reference_count": len(refs), "references_resolved": bool(refs), "word_count": len(text.split())}
+        return NO_PAPER | {"error": f"not XML: {e}"}
 
 
 PAPER = "markdown string, section_titles array<string>, reference_count int, references_resolved boolean, word_count int, error string"
@@ -135,7 +215,7 @@ def papers(rows: DataFrame) -> DataFrame:
     """
     text = F.col("payload").cast("string")
     xml = with_jats(rows.where("kind = 'jats'"))
-    page = with_facts(rows.where("kind = 'html'").withColumn("_html", text), "_html").withColumn("paper", observed(F.col("facts.markdown")))
+    page = with_facts(rows.where("kind = 'html'").withColumn("_html", text), "_html", names=("markdown",)).withColumn("paper", observed(F.col("facts.markdown")))
     plain = rows.where("kind NOT IN ('jats', 'html')").withColumn("paper", observed(text))
     columns = [*rows.columns, "paper"]
     return xml.select(*columns).unionByName(page.select(*columns)).unionByName(plain.select(*columns))
@@ -233,6 +313,11 @@ def is_article_url(url: Column) -> Column:
     return F.coalesce((path != "") & F.regexp_like(path, F.concat(F.lit("(?i)"), pattern)), F.lit(False))
 
 
+def is_scholarly_input(value: Column) -> Column:
+    """Whether a text is an identifier of a work, digits alone left out, or a work's URL."""
+    return bare_identifier(value, digits=False).isNotNull() | is_article_url(value)
+
+
 def partial_markdown(title: Column, abstract: Column, ids: dict[str, Column]) -> Column:
     """What is known of a work whose text was not found: the abstract, else its identifiers by label."""
     given = lambda c: F.nullif(F.trim(c), F.lit(""))

@@ -6,19 +6,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.functions.urls import linkedin_class
 from sheaf.operators.attempts import route
-
-#: The built-in recipes' URL patterns and priorities.
-BUILT_IN = (
-    ("reddit", 130, (r"^https?://(?:[\w-]+\.)?reddit\.com/r/[^/]+/comments/",)),
-    ("linkedin", 120, (r"^https?://(?:[\w-]+\.)?linkedin\.com/(?:in|company|school|showcase|pulse|posts|feed/update)/",)),
-    ("facebook_marketplace", 120, (r"^https?://(?:[\w-]+\.)?facebook\.com/marketplace/item/\d+",)),
-    ("sec_filings", 100, (r"^https?://(?:www\.)?sec\.gov/Archives/edgar/data/",)),
-    ("youtube", 100, (r"^https?://(?:[\w-]+\.)?(?:youtube\.com/(?:watch|shorts|embed|live)|youtu\.be/)",)),
-    ("academic", 90, (r"^https?://(?:dx\.)?doi\.org/10\.", r"^https?://(?:[\w-]+\.)?arxiv\.org/(?:abs|pdf|html)/", r"ncbi\.nlm\.nih\.gov/(?:pmc|pubmed|articles)", r"^https?://pubmed\.", r"^https?://(?:www\.)?europepmc\.org/")),
+from sheaf.operators.papers import is_scholarly_input
+
+#: The built-in recipes' URL patterns and priorities. A test in place of a pattern decides by columns.
+BUILT_IN: tuple[tuple[str, int, tuple[str | Callable[[Column], Column], ...]], ...] = (
+    ("reddit", 130, (r"^https?://(?:(?:www|old|new|np)\.)?reddit\.com/r/[A-Za-z0-9_]+/comments/[a-z0-9]+",)),
+    ("linkedin", 120, (lambda url: url.rlike(r"(?i)^https?://(?:[a-z]{2,3}\.)?linkedin\.com/") & (linkedin_class(url) != "other"),)),
+    ("facebook_marketplace", 120, (r"^https?://(?:[a-z0-9-]+\.)?facebook\.com/marketplace/item/\d+",)),
+    ("sec_filings", 100, (r"^https?://(?:www\.)?sec\.gov/Archives/edgar/data/\d+/\d+/[^/?#]+\.html?(?:[?#]|$)",)),
+    ("youtube", 100, (r"^https?://(?:www\.)?youtube\.com/(?:watch\?.*\bv=|shorts/|live/)", r"^https?://youtu\.be/")),
+    ("academic", 90, (is_scholarly_input,)),
 )
 
 
@@ -28,7 +30,7 @@ class Recipe:
 
     name: str
     priority: int
-    patterns: tuple[str, ...]
+    patterns: tuple[str | Callable[[Column], Column], ...]
     transform: Callable[[DataFrame], DataFrame] | None = None
     requires_auth: bool = False
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sheaf.functions.text import scholarly_heading
+
 #: The bounds of each signal, as (complete from, incomplete up to).
 HEADINGS, COVERAGE, LENGTH = (0.90, 0.60), (0.80, 0.60), (0.85, 0.70)
 LEAST_DOM_WORDS = 100
@@ -76,33 +78,36 @@ def listing_status(title: Column, price: Column, description: Column, condition:
     return F.when(none, "unknown").when(everything, "complete").otherwise("incomplete")
 
 
-#: Words a page of a paper has, and the bounds of the scholarly signals.
+#: Words a page of a paper has, and the headings of a paper's Markdown.
 PAGE_WORDS = 450
+PAPER_HEADING = r"(?m)^#{2,6}\s+(.+?)\s*$"
 
 
 def scholarly_signals(f: dict[str, Column]) -> dict[str, Column]:
     """section, abstract, extent and reference signals from facts.
 
-    ``f``: has_paper, is_pdf, sections, body_words, abstract_words, pages, references, crossref, openalex.
+    ``f``: has_paper, is_pdf, sections, body_words, abstract_words, pages, references, resolved, crossref, openalex,
+    and ``all_words`` where PDFs are among them: their body is all their text, as headings may not show in it.
     """
     some = is_true(f["has_paper"])
-    body, abstract = f["body_words"], f["abstract_words"]
-    beyond = abstract.isNull() | (abstract == 0) | ((body >= abstract + 300) & (body >= abstract * 2.5))
-    section = some & (f["sections"] >= 2) & (body >= 500) & beyond
+    abstract = f["abstract_words"]
+    beyond = abstract.isNull() | (abstract == 0) | ((f["body_words"] >= abstract + 300) & (f["body_words"] >= abstract * 2.5))
+    section = some & (f["sections"] >= 2) & (f["body_words"] >= 500) & beyond
+    body = F.when(is_true(f["is_pdf"]), f["all_words"]).otherwise(f["body_words"]) if "all_words" in f else f["body_words"]
     contained = F.when(some & (abstract > 0) & ((body <= abstract + 100) | (body <= abstract * 1.5)), False)
     share = body / (f["pages"] * PAGE_WORDS)
     extent = F.when(some & (f["pages"] > 0), F.when(share >= 0.5, True).when(share < 0.2, False))
     least = F.when((f["crossref"] > 0) & (f["openalex"] > 0), F.least(f["crossref"], f["openalex"]))
-    found = f["references"]
+    found = F.when(some, f["references"]).otherwise(0)
     refs = F.when(least.isNotNull(), F.when(found >= least * 0.7, True).when(found < least * 0.4, False)).otherwise(F.when(found >= 5, True))
-    return {"full_text_acquisition": some, "section_manifest": is_true(section), "abstract_containment": contained, "page_extent": extent, "reference_manifest": F.when(some, refs)}
+    return {"full_text_acquisition": some, "section_manifest": is_true(section), "abstract_containment": contained, "page_extent": extent, "reference_manifest": refs}
 
 
 def scholarly_verdict(f: dict[str, Column], s: dict[str, Column]) -> Column:
     """struct(content_level, status): an abstract alone is never complete."""
     pdf = is_true(f["is_pdf"])
     has_body = s["full_text_acquisition"] & ~is_false(s["abstract_containment"]) & (s["section_manifest"] | (pdf & is_true(s["page_extent"])))
-    resolved = is_true(s["reference_manifest"]) & (f["references"] > 0)
+    resolved = is_true(f["resolved"]) & (f["references"] > 0)
     level = F.when(~has_body, F.when(f["abstract_words"] > 0, "abstract_only").otherwise("metadata_only")).when(resolved, "full_text_with_references").otherwise("full_text")
     lost_refs = is_false(s["reference_manifest"])
     veto = is_false(s["abstract_containment"]) | is_false(s["page_extent"]) | F.when(pdf, lost_refs & (f["references"] == 0)).otherwise(lost_refs | ~s["section_manifest"])
@@ -111,35 +116,73 @@ def scholarly_verdict(f: dict[str, Column], s: dict[str, Column]) -> Column:
     return F.struct(level.alias("content_level"), status.alias("status"))
 
 
-#: Section titles that are not a paper's substance.
-NOT_SUBSTANTIVE = ("abstract", "references", "bibliography", "acknowledgements", "acknowledgments", "keywords", "funding", "appendix", "supplementary material", "author contributions", "conflict of interest", "data availability")
-BACK_MATTER = ("references", "bibliography", "acknowledgements", "acknowledgments", "funding", "appendix", "supplementary")
+#: Section titles that are not a paper's substance, how such titles begin, and how back matter does.
+NOT_SUBSTANTIVE = (
+    "abstract",
+    "access options",
+    "references",
+    "bibliography",
+    "acknowledgements",
+    "acknowledgments",
+    "author information",
+    "authors and affiliations",
+    "corresponding author",
+    "ethics declarations",
+    "competing interests",
+    "additional information",
+    "rights and permissions",
+    "about this article",
+    "cite this article",
+    "comments",
+    "supplementary information",
+    "editorial summary",
+    "similar content being viewed by others",
+)
+PAGE_MATTER = ("access ", "author ", "similar content", "rights ", "ethics ", "competing ", "about this ", "cite this ")
+BACK_MATTER = (
+    "references",
+    "bibliography",
+    "acknowledgement",
+    "acknowledgment",
+    "appendix",
+    "appendices",
+    "supplementary information",
+    "author information",
+    "ethics declaration",
+    "competing interest",
+    "rights and permissions",
+    "about this article",
+    "cite this article",
+)
+
+
+def begins(text: Column, starts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for start in starts:
+        found = found | text.startswith(start)
+    return found
 
 
 def is_substantive(title: Column) -> Column:
-    """Whether a normalised section title is of the paper's substance."""
-    prefixed = F.lit(False)
-    for p in BACK_MATTER:
-        prefixed = prefixed | title.startswith(p)
-    return ~title.isin(*NOT_SUBSTANTIVE) & ~prefixed & (title != "")
+    """Whether a section title is of the paper's substance."""
+    plain = scholarly_heading(title)
+    return ~plain.isin(*NOT_SUBSTANTIVE) & ~begins(plain, PAGE_MATTER) & (plain != "")
 
 
 def body_profile(sections: Column) -> Column:
-    """struct(sections, words) of array<struct<title, words>>: substantive titles, and words until the back matter begins."""
-    start = F.struct(F.array().cast("array<string>").alias("sections"), F.lit(0).cast("bigint").alias("words"), F.lit(False).alias("stop"))
-
-    def back(t: Column) -> Column:
-        out = F.lit(False)
-        for p in BACK_MATTER:
-            out = out | t.startswith(p)
-        return out
-
-    def step(s: Column, x: Column) -> Column:
-        stop = s["stop"] | back(x["title"])
-        counts = ~stop & (x["title"] != "abstract")
-        return F.struct(F.when(~stop & is_substantive(x["title"]), F.array_append(s["sections"], x["title"])).otherwise(s["sections"]).alias("sections"), (s["words"] + F.when(counts, x["words"]).otherwise(0)).cast("bigint").alias("words"), stop.alias("stop"))
-
-    return F.aggregate(sections, start, step, lambda s: F.struct(s["sections"].alias("sections"), s["words"].alias("words")))
+    """struct(sections, words) of array<struct<title, words>>: the substantive titles that have words, and their words, until the back matter begins."""
+    back = F.array_position(F.transform(sections, lambda x: begins(scholarly_heading(x["title"]), BACK_MATTER)), True)
+    whole = F.struct(sections.alias("all"), back.alias("back"))
+    main = lambda w: F.filter(w["all"], lambda x, i: ((w["back"] == 0) | (i < w["back"] - 1)) & is_substantive(x["title"]) & (x["words"] > 0))
+    told = lambda m: F.struct(F.transform(m, lambda x: x["title"]).alias("sections"), F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x["words"]).alias("words"))
+    return F.transform(F.transform(F.array(whole), main), told)[0]  # one element each, so that nothing is worked out twice
+
+
+def paper_sections(markdown: Column) -> Column:
+    """array<struct<title, words>> of a paper's Markdown, cut at headings of level two or more."""
+    titles = F.regexp_extract_all(markdown, F.lit(PAPER_HEADING), F.lit(1))
+    bodies = F.slice(F.split(markdown, PAPER_HEADING), 2, F.size(titles))
+    return F.zip_with(titles, bodies, lambda t, b: F.struct(F.trim(t).alias("title"), F.regexp_count(F.coalesce(b, F.lit("")), F.lit(r"\S+")).cast("bigint").alias("words")))
 
 
 def missing_headings(dom: Column, markdown_headings: Column, lines: Column) -> Column:

@@ -70,12 +70,12 @@ def item_manifest(spark, folder):
     return rows.select("user_id", F.array_join(M.missing_items(F.col("expected"), F.col("found")), ",").alias("missing"), F.size("found").cast("long").alias("found"))
 
 
-@queries("""WITH c AS (SELECT c_nationkey AS nation, min(c_name) AS name, max(c_acctbal) AS balance FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
+@queries("""WITH c AS (SELECT c_nationkey AS nation, min(c_name) AS name, max(c_acctbal) AS balance FROM customer GROUP BY 1),
 s AS (SELECT s_nationkey AS nation, min(s_name) AS name, max(s_acctbal) AS balance FROM supplier GROUP BY 1)
 SELECT coalesce(c.nation, s.nation) AS nation, coalesce(c.name, s.name) AS name, coalesce(CASE WHEN c.balance > 9000 THEN NULL ELSE c.balance END, s.balance) AS balance,
 array_to_string(list_distinct(list_filter([c.name, s.name], lambda x: x IS NOT NULL)).list_sort(), ',') AS sources FROM c FULL JOIN s ON c.nation = s.nation""")
 def metadata_merge(spark, folder):
-    c = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("nation")).agg(F.min("c_name").alias("name"), F.max("c_acctbal").alias("balance"))
+    c = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.min("c_name").alias("name"), F.max("c_acctbal").alias("balance"))
     c = c.withColumn("balance", F.when(F.col("balance") <= 9000, F.col("balance"))).withColumn("seq", F.lit(1))
     s = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_name").alias("name"), F.max("s_acctbal").alias("balance")).withColumn("seq", F.lit(2))
     both = c.unionByName(s).withColumn("names", F.array("name"))
@@ -125,18 +125,18 @@ def redirect_chain(spark, folder):
     return A.redirect_chain(nation.select(F.concat(F.lit("u"), k.cast("string")).alias("url")), hops)
 
 
-@queries("""WITH b AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND t NOT IN ('about','after','and','are','for','from','into','its','that','the','their','this','using','via','was','were','with')) AS wanted, text FROM benchmark),
-o AS (SELECT item_id, wanted, list_filter(wanted, lambda t: list_contains(list_distinct(regexp_extract_all(lower(substr(text, 1, length(text) // 2)), '[a-z0-9]+')), t)) AS shared FROM b)
+@queries("""WITH b AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND t NOT IN ('a','an','and','as','at','by','for','from','in','is','of','on','or','the','to','using','via','with')) AS wanted, text FROM benchmark),
+o AS (SELECT item_id, wanted, list_filter(wanted, lambda t: list_contains(list_distinct(regexp_extract_all(lower(substr('Li Zyx ' || array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) % 2 = 0), ' '), 1, 8000)), '[a-z0-9]+')), t)) AS shared FROM b)
 SELECT item_id, CASE WHEN len(wanted) > 0 THEN len(shared) / len(wanted) ELSE 0.0 END AS overlap, len(wanted) > 0 AND len(shared) / len(wanted) >= 0.6 AS accepted FROM o""")
 def title_identity(spark, folder):
-    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    front = F.concat(half, F.lit(" zyxauthor"))
-    rows = table(spark, folder, "benchmark").select("item_id", M.identity(front, F.col("text"), F.array(F.lit("Zyxauthor")), F.lit(False)).alias("i"))
+    """Each item's text as a title, against a text of its words of even length by an author of a short name."""
+    front = F.concat(F.lit("Li Zyx "), F.array_join(F.filter(F.split("text", " "), lambda w: F.length(w) % 2 == 0), " "))
+    rows = table(spark, folder, "benchmark").select("item_id", M.identity(front, F.col("text"), F.array(F.lit("Nobody"), F.lit("Li")), F.lit(False)).alias("i"))
     return rows.select("item_id", "i.overlap", "i.accepted")
 
 
 @queries("""SELECT c_custkey, 'Lot ' || c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN '$' || c_custkey ELSE c_custkey || ' USD' END AS price, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS description,
-CASE WHEN c_custkey % 4 = 0 THEN 'Used - good' ELSE 'Odd Thing' END AS condition, CASE WHEN c_custkey % 3 > 0 THEN 'complete' ELSE 'incomplete' END AS status FROM customer""")
+CASE WHEN c_custkey % 4 = 0 THEN 'Used - Good' ELSE 'Odd Thing' END AS condition, CASE WHEN c_custkey % 3 > 0 THEN 'complete' ELSE 'incomplete' END AS status FROM customer""")
 def listing_record(spark, folder):
     from sheaf.operators.verdict import listing_status
 
@@ -148,12 +148,23 @@ def listing_record(spark, folder):
     return found.select("c_custkey", "title", "price", "description", "condition", listing_status(F.col("title"), F.col("price"), F.col("description"), F.col("condition")).alias("status"))
 
 
-@queries("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '10-K' ELSE '10-Q' END AS form, CASE WHEN o_orderkey % 2 = 0 THEN '1A,2,3,5,8,9A,10,15' ELSE '2,3,4,1A,6' END AS missing FROM orders""")
+LABELS = ("1", "1A", "1B", "2", "3", "4", "5", "6", "7", "7A", "8", "9", "9A", "10", "11", "12", "13", "14", "15", "16")
+
+
+@queries("""WITH l AS (SELECT l_orderkey, list(['1','1A','1B','2','3','4','5','6','7','7A','8','9','9A','10','11','12','13','14','15','16'][1 + (l_partkey % 20)::INT]) AS found FROM lineitem GROUP BY l_orderkey),
+f AS (SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN '10-K' WHEN '2' THEN '10-K' WHEN '3' THEN '10-Q' WHEN '4' THEN '10-Q' END AS form, found FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
+SELECT o_orderkey, form, CASE form WHEN '10-K' THEN array_to_string(list_filter(['1','1A','2','3','4','5','7','7A','8','9','9A','10','11','12','13','14'], lambda x: NOT coalesce(list_contains(found, x), false)), ',')
+WHEN '10-Q' THEN array_to_string(list_filter(['1','2','3','4'], lambda x: NOT coalesce(list_contains(found, x), false)), ',') END AS missing FROM f""")
 def filing_manifest(spark, folder):
-    html = F.when(F.col("o_orderkey") % 2 == 0, "<TYPE>10-K\nItem 1. Business\nsee item 2\nITEM 7. Results").otherwise("FORM 10-q\nItem 1. Statements\n")
-    rows = table(spark, folder, "orders").select("o_orderkey", M.form_type(html).alias("form"), M.filing_items(html).alias("found"))
-    expected = F.try_element_at(F.create_map(*(x for k, v in M.FILING_ITEMS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("form"))
-    return rows.select("o_orderkey", "form", F.array_join(M.missing_items(expected, F.col("found")), ",").alias("missing"))
+    """Each order as a filing whose lines are items: some as headings, some as plain lines, in either case."""
+    label = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("l_partkey") % 20 + 1).cast("int"))
+    line = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "## Item ").otherwise("ITEM "), F.when(F.col("l_returnflag") == "R", F.lower(label)).otherwise(label), F.lit(". See item 99"))
+    texts = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    kind = F.substring("o_orderpriority", 1, 1)
+    cover = F.when(kind.isin("1", "2"), "<type>10-k\n").when(kind.isin("3", "4"), "UNITED STATES\nForm 10-Q\n").otherwise("Form 8-K\n")
+    rows = table(spark, folder, "orders").join(texts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = rows.select("o_orderkey", M.form_type(cover).alias("form"), M.filing_items(F.coalesce("text", F.lit(""))).alias("found"))
+    return rows.select("o_orderkey", "form", F.array_join(M.missing_items(M.expected_items(F.col("form")), F.col("found")), ",").alias("missing"))
 
 
 @queries("SELECT c_custkey, n_name, r_name IS NULL AS unknown FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +10,41 @@ from sheaf.functions.text import count_tokens
 from sheaf.functions.urls import is_http_url, public_url
 from sheaf.operators import verdict as V
 from sheaf.operators.attempts import failure
-from sheaf.operators.dom import block_signal, with_facts
+from sheaf.operators.dom import block_signal, sections_of, with_facts
+
+
+#: Headers by which a browser tells how it captured a page.
+TRUNCATED, POLICY, RENDER_MS = "x-capture-truncated", "x-capture-policy", "x-render-ms"
+SECTIONS = "array<struct<heading:string,level:int,anchor:string,token_count:long,char_count:int,markdown:string>>"
+OUTLINE = "array<struct<heading:string,level:int,anchor:string,token_count:long,char_count:int>>"
+EVIDENCE = "array<struct<name:string,passed:boolean>>"
+COST = "struct<remaining_items:int,estimated_extra_tokens:bigint>"
+DATA = "struct<json_ld:array<string>,feeds:array<string>,oembed:array<string>>"
+ERROR = "struct<kind:string,message:string>"
+
+
+def header(have: set[str], name: str) -> Column:
+    """A capture's header, whatever the case of its name; null where there is none."""
+    if "headers" not in have:
+        return F.lit(None).cast("string")
+    return F.get(F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name), 0)["value"]
+
+
+def error(kind: str, message: Column | str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
 def verified(captures: DataFrame, covered: bool = False) -> DataFrame:
     """Add ``facts``, ``block``, ``evidence``, ``status``, ``reason``, ``failure`` and ``error`` to captures.
 
-    Needs url and html; http_status and final_url are used where they are there. A URL that is not absolute
-    HTTP(S) gives an error and an unknown status, never a failed job.
+    Needs url and html; http_status, final_url and headers are used where they are there. A URL that is not
+    absolute HTTP(S) gives an error and an unknown status, and so does a page that can't be parsed, never a
+    failed job. A capture that its browser cut short is incomplete.
     """
     have = set(captures.columns)
-    rows = with_facts(captures.withColumns({"http_status": F.col("http_status") if "http_status" in have else F.lit(None).cast("int"), "final_url": F.col("final_url") if "final_url" in have else F.col("url")}))
-    rows = rows.withColumn("block", block_signal(F.col("html"), F.col("facts"), F.col("http_status"), F.col("final_url")))
+    rows = captures.withColumns({"http_status": F.col("http_status") if "http_status" in have else F.lit(None).cast("int"), "final_url": F.col("final_url") if "final_url" in have else F.col("url")})
+    rows = with_facts(rows, url="final_url")
+    rows = rows.withColumns({"block": block_signal(F.col("html"), F.col("facts"), F.col("http_status"), F.col("final_url")), "_cut": F.coalesce(header(have, TRUNCATED) == "true", F.lit(False))})
     rows = rows.withColumns(
         {
             "_heading": V.heading_signal(F.size("facts.headings"), F.col("facts.represented")),
@@ -31,16 +55,26 @@ def verified(captures: DataFrame, covered: bool = False) -> DataFrame:
     )
     own = [F.col(c) for c in ("_heading", "_coverage", "_length")] + [F.col("block.detected"), F.col("_pagination")]
     signals = {"heading_presence": own[0], "dom_vs_output_coverage": own[1], "blockpage_check": ~own[3], "length_sanity": own[2], "pagination_coverage": own[4]}
-    valid = is_http_url(F.col("url"))
-    rows = rows.withColumns({"evidence": V.evidence(**signals), "status": F.when(valid, V.generic_status(*own)).otherwise("unknown")}).drop("_heading", "_coverage", "_length", "_pagination")
+    valid, unread, cut = is_http_url(F.col("url")), F.col("facts.error"), F.col("_cut") & ~F.col("block.detected")
+    sound = valid & unread.isNull()
+    evidence = V.evidence(**signals)
+    rows = rows.withColumns(
+        {
+            "evidence": F.when(cut, F.concat(evidence, V.evidence(capture_truncation=F.lit(False)))).otherwise(evidence),
+            "status": F.when(sound, V.truncated_capture(V.generic_status(*own), F.col("_cut"), own[3])).otherwise("unknown"),
+        }
+    )
     failed = F.array_join(F.transform(F.filter("evidence", lambda e: V.is_false(e["passed"])), lambda e: e["name"]), ", ")
     reason = (
         F.when(F.col("block.detected"), "A block page may have replaced the requested page")
+        .when(cut, "The browser cut its capture short")
         .when(F.col("status") == "incomplete", F.concat(F.lit("Independent evidence shows a gap: "), failed))
         .when(F.col("status") == "complete", "Independent signals agree")
         .otherwise("There is too little independent evidence")
     )
-    return rows.withColumns({"reason": reason, "failure": failure(F.col("block.auth_required"), F.col("block.detected"), F.col("facts.paginated"), F.col("status")), "error": F.when(~valid, F.struct(F.lit("policy").alias("kind"), F.lit("only absolute HTTP(S) URLs are read").alias("message")))})
+    gap = failure(F.col("block.auth_required"), F.col("block.detected"), V.is_false(F.col("_pagination")), F.col("status"))
+    wrong = F.when(~valid, error("policy", "only absolute HTTP(S) URLs are read")).when(unread.isNotNull(), error("extraction", unread))
+    return rows.withColumns({"reason": reason, "failure": F.when(sound, gap).when(valid, "extraction").otherwise(gap), "error": wrong.cast(ERROR)}).drop("_heading", "_coverage", "_length", "_pagination", "_cut")
 
 
 def read_captures(captures: DataFrame, budget: int | None = None, covered: bool = False) -> DataFrame:
@@ -51,12 +85,17 @@ def read_captures(captures: DataFrame, budget: int | None = None, covered: bool
     The budget cut is row-local: each document's sections stay in one array, so nothing is shuffled.
     """
     check_budget(budget)
+    return results_of(verified(captures, covered), captures, budget, F.lit(1))
+
+
+def results_of(judged: DataFrame, captures: DataFrame, budget: int | None, tier: Column, latency: Column | None = None) -> DataFrame:
+    """Verified captures as results. ``captures``: the table they come from, for its columns; ``latency``: what rendering took."""
     auth = F.col("block.auth_required")
-    rows = verified(captures, covered).withColumns({"shown": F.when(auth, "").otherwise(F.col("facts.markdown")), "sections": F.when(auth, F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections"))})
+    rows = judged.withColumns({"shown": F.when(auth, "").otherwise(F.col("facts.markdown")), "sections": F.when(auth, F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections"))})
     rows, shape = shaped(rows, budget)
-    provenance = provenance_of(set(captures.columns), F.lit(1), F.col("facts.canonical"))
+    provenance = provenance_of(set(captures.columns), tier, F.col("facts.canonical"))
     data = F.when(~auth, F.struct("facts.json_ld", "facts.feeds", "facts.oembed"))
-    return rows.select(
+    found = rows.select(
         *kept_columns(captures),
         public_url(F.col("url")).alias("url"),
         shape["content"],
@@ -69,7 +108,51 @@ def read_captures(captures: DataFrame, budget: int | None = None, covered: bool
         *(shape[c] for c in ("coverage", "truncated", "omitted", "cost_to_complete")),
         "failure",
         "error",
+        *([] if latency is None else [tier.alias("_tier"), latency.alias("_latency")]),
     )
+    if latency is None:
+        return found
+    known = F.col("cost_to_complete").isNotNull() & (F.col("_tier") >= 2)
+    return found.withColumn("completion", F.when(known, F.struct(F.col("_tier").alias("required_tier"), F.col("_latency").alias("estimated_latency_ms")))).drop("_tier", "_latency")
+
+
+def as_results(rows: DataFrame, captures: DataFrame, **given: Column) -> DataFrame:
+    """Rows in the columns of ``read_captures``: those given, and for the others what a result without content has."""
+    empty = lambda kind: F.lit(None).cast(kind)
+    status = given.get("status", F.lit("unknown"))
+    own = {
+        "url": public_url(F.col("url")),
+        "content": F.lit(""),
+        "outline": F.array().cast(OUTLINE),
+        "status": status,
+        "reason": empty("string"),
+        "evidence": F.array().cast(EVIDENCE),
+        "provenance": provenance_of(set(captures.columns), empty("int"), F.col("url")),
+        "structured_data": empty(DATA),
+        "coverage": F.lit("full"),
+        "truncated": F.lit(False),
+        "omitted": F.array().cast("array<string>"),
+        "cost_to_complete": empty(COST),
+        "failure": F.when(status != "complete", "verification"),
+        "error": empty(ERROR),
+    } | given
+    return rows.select(*kept_columns(captures), *(c.alias(k) for k, c in own.items()))
+
+
+def data_of(record: Column) -> Column:
+    """A recipe's record as the structured data of a result: one JSON text."""
+    none = F.array().cast("array<string>")
+    return F.when(record.isNotNull(), F.struct(F.array(F.to_json(record)).alias("json_ld"), none.alias("feeds"), none.alias("oembed")))
+
+
+def sections_column(markdown: Column) -> Column:
+    """The sections of rendered Markdown, as those of a page."""
+
+    @F.pandas_udf(SECTIONS)
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([sections_of(t or "") for t in texts])
+
+    return cut(markdown)
 
 
 def check_budget(budget: int | None) -> None:
@@ -92,9 +175,14 @@ def provenance_of(have: set[str], tier: Column, canonical: Column) -> Column:
 
 def shaped(rows: DataFrame, budget: int | None) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with ``shown`` and its ``sections`` cut to a budget, and the columns that say how: whole sections only, in one row's arrays."""
-    rows = rows.withColumn("spent", F.aggregate("sections", F.array().cast("array<bigint>"), lambda a, s: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")) + s["token_count"])))
+    none = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("kept"))
+
+    def fit(s: Column, section: Column) -> Column:
+        used = s["used"] + section["token_count"]
+        return F.struct(used.alias("used"), F.when(used <= F.lit(budget), s["kept"] + 1).otherwise(s["kept"]).alias("kept"))
+
     whole = count_tokens(F.col("shown"))
-    rows = rows.withColumn("kept", F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(F.size(F.filter("spent", lambda t: t <= budget))))
+    rows = rows.withColumn("kept", F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(F.aggregate("sections", none, fit, lambda s: s["kept"])))
     left = F.filter("sections", lambda s, i: i >= F.col("kept"))
     content = F.regexp_replace(F.array_join(F.transform(F.slice("sections", 1, F.greatest("kept", F.lit(0))), lambda s: s["markdown"]), ""), r"\s+$", "")
     cost = F.when(F.size(left) > 0, F.struct(F.size(left).alias("remaining_items"), F.aggregate(left, F.lit(0).cast("bigint"), lambda a, s: a + s["token_count"]).alias("estimated_extra_tokens")))
@@ -112,8 +200,8 @@ def shaped(rows: DataFrame, budget: int | None) -> tuple[DataFrame, dict[str, Co
 
 def read_section(captures: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """(key, anchor, markdown) for wanted (key, anchor) of stored captures; a null markdown is an unknown handle or anchor."""
-    rows = verified(captures).select(key, F.explode("facts.sections").alias("s")).select(key, "s.anchor", "s.markdown")
-    first = rows.groupBy(key, "anchor").agg(F.first("markdown", ignorenulls=True).alias("markdown"))
+    rows = with_facts(captures, names=("sections",)).select(key, F.posexplode("facts.sections").alias("pos", "s")).select(key, "pos", "s.anchor", "s.markdown")
+    first = rows.groupBy(key, "anchor").agg(F.min_by("markdown", "pos").alias("markdown"))
     return wanted.join(first, [key, "anchor"], "left")
 
 

@@ -66,7 +66,7 @@ def thread_page(spark, folder):
     return T.thread_results(rows, limit=2).select("c_custkey", "content", "status", F.array_join("omitted", ",").alias("omitted"), "cost_to_complete.remaining_items", "cost_to_complete.estimated_extra_tokens")
 
 
-@queries("""SELECT c_custkey, '# Lot ' || c_name || chr(10) || chr(10) || '- **Price:** ' || CASE WHEN c_custkey % 2 = 0 THEN '$' || c_custkey ELSE c_custkey || ' USD' END || chr(10) || '- **Condition:** Used - good' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '- **Status:** Sold' ELSE '' END
+@queries("""SELECT c_custkey, '# Lot ' || c_name || chr(10) || chr(10) || '- **Price:** ' || CASE WHEN c_custkey % 2 = 0 THEN '$' || c_custkey ELSE c_custkey || ' USD' END || chr(10) || '- **Condition:** Used - Good' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '- **Status:** Sold' ELSE '' END
 || CASE WHEN c_custkey % 5 > 0 THEN chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || c_mktsegment ELSE '' END AS content, CASE WHEN c_custkey % 5 > 0 THEN 'complete' ELSE 'incomplete' END AS status FROM customer""")
 def listing_page(spark, folder):
     """A page of an item's two objects and another item's."""

@@ -24,7 +24,11 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Each conversation as one Markdown text."""
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), F.concat_ws(" ", "role", F.col("turn").cast("string")), F.lit("\n\n"), F.col("text"), F.lit("\n\n")).alias("part"))
+    return joined_turns(table(spark, folder, "conversations"))
+
+
+def joined_turns(talk: DataFrame) -> DataFrame:
+    rows = talk.select("conv_id", "turn", F.concat(F.lit("## "), F.concat_ws(" ", "role", F.col("turn").cast("string")), F.lit("\n\n"), F.col("text"), F.lit("\n\n")).alias("part"))
     parts = F.sort_array(F.collect_list(F.struct("turn", "part")))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("markdown"))
 
@@ -74,18 +78,27 @@ def omitted_cost(spark, folder):
     return found.select("doc", "remaining_items", "estimated_extra_tokens", F.size("unknown").cast("long").alias("unknown"))
 
 
-@queries(f"WITH {SECTIONS} SELECT doc, anchor, rtrim(markdown, ' ' || chr(10)) AS markdown FROM s WHERE anchor = 'assistant-1'")
+@queries(f"""WITH {SECTIONS}, w AS (SELECT doc, anchor FROM s UNION SELECT doc, 'no-such-anchor' FROM s)
+SELECT doc, anchor, rtrim(markdown, ' ' || chr(10)) AS markdown FROM w LEFT JOIN s USING (doc, anchor)""")
 def section_lookup(spark, folder):
     rows = turns(spark, folder)
-    return O.section_by_anchor(rows, rows.select("doc", F.lit("assistant-1").alias("anchor")).distinct()).where("markdown is not null")
+    wanted = rows.select("doc", F.explode(F.array(F.col("anchor"), F.lit("no-such-anchor"))).alias("anchor")).distinct()
+    return O.section_by_anchor(rows, wanted)
 
 
-@queries("""WITH t AS (SELECT conv_id AS doc, turn, '## ' || role || ' ' || turn AS line, text FROM conversations),
-l AS (SELECT doc, turn, 0 AS i, line FROM t UNION ALL SELECT doc, turn, unnest(range(1, len(x) + 1)), unnest(x) FROM (SELECT doc, turn, string_split(text, chr(10)) AS x FROM t))
-SELECT doc, count(*) AS headings FROM l WHERE regexp_matches(line, '^\\s{0,3}#{1,6}\\s+.+$') GROUP BY doc""")
+@queries("""WITH RECURSIVE t AS (SELECT conv_id AS doc, string_agg('## ' || role || ' ' || turn || chr(10) || chr(10) || CASE WHEN contains(text, 'e') THEN '```' || chr(10) || '# ' || text || chr(10) || '~~~' || chr(10) || CASE WHEN length(text) % 2 = 0 THEN '```' ELSE '' END ELSE text END || chr(10) || chr(10), '' ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id),
+x AS (SELECT doc, string_split(markdown, chr(10)) AS lines FROM t),
+m AS (SELECT doc, i, lines[i] AS line, substr(regexp_extract(lines[i], '^\\s*(```|~~~)', 1), 1, 1) AS mark FROM x, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+f AS (SELECT doc, i, line, mark, row_number() OVER (PARTITION BY doc ORDER BY i) AS k FROM m WHERE mark <> ''),
+w AS (SELECT doc, 0::BIGINT AS k, '' AS fence FROM t UNION ALL SELECT w.doc, f.k, CASE WHEN w.fence = '' THEN f.mark WHEN w.fence = f.mark THEN '' ELSE w.fence END FROM w JOIN f ON f.doc = w.doc AND f.k = w.k + 1),
+h AS (SELECT m.doc, m.i, m.line, coalesce(max(f.k), 0) AS k FROM m LEFT JOIN f ON f.doc = m.doc AND f.i < m.i WHERE m.mark = '' AND regexp_matches(m.line, '^\\s{0,3}#{1,6}\\s+.+$') GROUP BY ALL)
+SELECT h.doc, count(*) AS headings, string_agg(length(regexp_extract(line, '^\\s*(#+)', 1)), ',' ORDER BY i) AS levels FROM h JOIN w ON w.doc = h.doc AND w.k = h.k WHERE w.fence = '' GROUP BY h.doc""")
 def markdown_sections(spark, folder):
-    rows = O.sections(markdown_documents(spark, folder), "conv_id")
-    return rows.groupBy("doc").agg(F.count_if(F.col("level") > 0).alias("headings"))
+    fenced = F.concat(F.lit("```\n# "), F.col("text"), F.lit("\n~~~\n"), F.when(F.length("text") % 2 == 0, "```").otherwise(""))
+    talk = table(spark, folder, "conversations").withColumn("text", F.when(F.col("text").contains("e"), fenced).otherwise(F.col("text")))
+    rows = O.sections(joined_turns(talk), "conv_id").where("level > 0")
+    levels = F.transform(F.sort_array(F.collect_list(F.struct("pos", "level"))), lambda s: s["level"].cast("string"))
+    return rows.groupBy("doc").agg(F.count("*").alias("headings"), F.array_join(levels, ",").alias("levels"))
 
 
 @queries("""SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id))::INT AS rank FROM events""")

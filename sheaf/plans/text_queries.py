@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import identifiers as I
 from sheaf.functions import text as X
 from sheaf.functions import urls as U
+from sheaf.operators.papers import bibliography_count
 from sheaf.plans.book import Book
 from sheaf.sources.tables import table
 
@@ -81,7 +82,7 @@ def page_resource(spark, folder):
 
 @queries("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmcid' WHEN 3 THEN 'pmid' ELSE NULL END AS kind,
 CASE page_id % 5 WHEN 0 THEN '10.1234/abc.' || page_id WHEN 1 THEN '2101.' || (10000 + page_id) WHEN 2 THEN 'PMC' || (10000 + page_id) WHEN 3 THEN '' || (10000 + page_id) ELSE NULL END AS value,
-CASE page_id % 5 WHEN 0 THEN 'https://doi.org/10.1234/abc.' || page_id WHEN 1 THEN 'https://arxiv.org/abs/2101.' || (10000 + page_id) WHEN 2 THEN 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || (10000 + page_id) || '/' WHEN 3 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + page_id) || '/' ELSE NULL END AS resolver FROM pages""")
+CASE page_id % 5 WHEN 0 THEN 'https://doi.org/10.1234/abc.' || page_id WHEN 1 THEN 'https://arxiv.org/abs/2101.' || (10000 + page_id) WHEN 2 THEN 'https://europepmc.org/articles/PMC' || (10000 + page_id) WHEN 3 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + page_id) || '/' ELSE NULL END AS resolver FROM pages""")
 def identifier(spark, folder):
     p, n = F.col("page_id"), (F.col("page_id") + 10000).cast("string")
     given = F.when(p % 5 == 0, F.concat(F.lit("see DOI: 10.1234/ABC."), p.cast("string"), F.lit(")."))).when(p % 5 == 1, F.concat(F.lit("https://arxiv.org/abs/2101."), n, F.lit("v3"))).when(p % 5 == 2, F.concat(F.lit("pmc"), n)).when(p % 5 == 3, F.concat(F.lit("PMID: "), n)).otherwise("nothing here")
@@ -98,7 +99,7 @@ def page_range(spark, folder):
 
 
 @queries("""SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND t NOT IN
-('about','after','and','are','for','from','into','its','that','the','their','this','using','via','was','were','with')).len() AS tokens FROM benchmark""")
+('a','an','and','as','at','by','for','from','in','is','of','on','or','the','to','using','via','with')).len() AS tokens FROM benchmark""")
 def title_tokens(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", F.size(X.title_tokens(F.col("text"))).cast("long").alias("tokens"))
 
@@ -109,18 +110,22 @@ def error_status(spark, folder):
     return table(spark, folder, "events").select("event_id", X.status_from_error(text).alias("status"))
 
 
-@queries("""SELECT doc_id, 5 + doc_id % 20 AS references_found FROM documents""")
+@queries("""SELECT l_orderkey, max(l_partkey % 2000)::BIGINT AS references_found FROM lineitem GROUP BY l_orderkey""")
 def reference_count(spark, folder):
-    n = (5 + F.col("doc_id") % 20).cast("int")
-    text = F.concat(F.lit("References\n"), F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("] Someone, a title of 1999."))), "\n"))
-    return table(spark, folder, "documents").select("doc_id", X.reference_count(text).cast("long").alias("references_found"))
+    """Each order's lines as the numbered references of a paper."""
+    line = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "[").otherwise(""), (F.col("l_partkey") % 2000).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "] ").otherwise(". "), F.lit("Someone, a title of 1999"))
+    texts = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("# Paper\n\n99. Not one\n\n## References\n\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n\n## Notes\n\n9999. Not one")).alias("text"))
+    return texts.select("l_orderkey", bibliography_count(F.col("text")).cast("long").alias("references_found"))
 
 
-@queries("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'profile' WHEN page_id % 4 = 1 THEN 'company' WHEN page_id % 4 = 2 THEN 'pulse' ELSE 'other' END AS kind FROM pages""")
+@queries("""WITH u AS (SELECT page_id, unnest(['/IN', '/company', '/pulse', '/school', '/posts/a-activity', '/posts/a-activity-12', '/feed/update', '/Feed/Update', '/jobs/in']) || regexp_extract(url, '^https?://[^/]*(.*)$', 1) AS path FROM pages)
+SELECT page_id, path, CASE WHEN regexp_matches(lower(path), '/in/[^/?#]+([/?#]|$)') THEN 'profile' WHEN regexp_matches(lower(path), '/company/[^/?#]') THEN 'company' WHEN regexp_matches(lower(path), '/pulse/[^/?#]') THEN 'pulse'
+WHEN regexp_matches(lower(path), '/posts/[^?#]*[-_]activity-[0-9]') OR contains(path, '/feed/update/') THEN 'post' ELSE 'other' END AS kind FROM u""")
 def social_class(spark, folder):
-    p = F.col("page_id")
-    path = F.when(p % 4 == 0, "/in/").when(p % 4 == 1, "/company/").when(p % 4 == 2, "/pulse/").otherwise("/jobs/")
-    return table(spark, folder, "pages").select("page_id", U.linkedin_class(F.concat(F.lit("https://www.example.com"), path, p.cast("string"))).alias("kind"))
+    starts = ("/IN", "/company", "/pulse", "/school", "/posts/a-activity", "/posts/a-activity-12", "/feed/update", "/Feed/Update", "/jobs/in")
+    rest = F.regexp_extract("url", r"^https?://[^/]*(.*)$", 1)
+    rows = table(spark, folder, "pages").select("page_id", F.explode(F.array(*(F.concat(F.lit(s), rest) for s in starts))).alias("path"))
+    return rows.select("page_id", "path", U.linkedin_class(F.concat(F.lit("https://www.example.com"), F.col("path"))).alias("kind"))
 
 
 @queries("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'https://example.com/' WHEN 1 THEN 'http://host' || s_suppkey || '.example/a' ELSE NULL END AS site FROM supplier""")

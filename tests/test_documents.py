@@ -128,7 +128,7 @@ def test_listings_merge_their_own_objects(spark):
     page = f'<script type="application/json">{json.dumps([noise, *own])}</script><script type="application/json">marketplace_listing_title {{</script>'
     rows = spark.createDataFrame([(1, "https://www.facebook.com/marketplace/item/7/", page), (2, "https://www.facebook.com/marketplace/item/9/", page), (3, "https://example.com", None)], "id int, url string, html string")
     got = {r["id"]: r for r in M.listing_results(rows).collect()}
-    assert got[1]["content"] == "# Wheels\n\n- **Price:** $9\n- **Condition:** Used - good\n- **Status:** Sold\n\n## Description\n\nFour." and got[1]["status"] == "complete"
+    assert got[1]["content"] == "# Wheels\n\n- **Price:** $9\n- **Condition:** Used - Good\n- **Status:** Sold\n\n## Description\n\nFour." and got[1]["status"] == "complete"
     assert got[2]["status"] == got[3]["status"] == "unknown" and got[2]["content"] == "# Facebook Marketplace listing"
 
 

@@ -100,9 +100,9 @@ def test_verdict_precedence(spark):
 
 def test_an_abstract_is_never_complete(spark):
     grid = itertools.product((True, False), (True, False), (0, 2), (90, 600), (None, 80, 500), (None, 1, 9), (0, 9), (None, 10))
-    rows = [(p, f, s, w, a, g, r, c, c) for p, f, s, w, a, g, r, c in grid]
-    names = ("has_paper", "is_pdf", "sections", "body_words", "abstract_words", "pages", "references", "crossref", "openalex")
-    df = spark.createDataFrame(rows, "has_paper boolean, is_pdf boolean, sections int, body_words int, abstract_words int, pages int, references int, crossref int, openalex int")
+    rows = [(p, f, s, w, a, g, r, r > 1, c, c) for p, f, s, w, a, g, r, c in grid]
+    names = ("has_paper", "is_pdf", "sections", "body_words", "abstract_words", "pages", "references", "resolved", "crossref", "openalex")
+    df = spark.createDataFrame(rows, "has_paper boolean, is_pdf boolean, sections int, body_words int, abstract_words int, pages int, references int, resolved boolean, crossref int, openalex int")
     own = {n: F.col(n) for n in names}
     out = df.select(V.scholarly_verdict(own, V.scholarly_signals(own)).alias("v")).select("v.*")
     assert out.where("content_level in ('abstract_only', 'metadata_only') and status = 'complete'").count() == 0
