@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.rows import small, without
+from sheaf.llm.rows import matched, small, unused, without
 from sheaf.llm.store import remove, workspace, written
 from sheaf.sources.tables import table
 
@@ -34,7 +34,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Groups are counted with map-side aggregation, so a group of any size is one row for each task. Bytes are
     compared the same way: in groups of two rows or more, the least and greatest text must be the same. Only
-    hashes where they differ are grouped again by their full text.
+    hashes where they differ are grouped again by their full text. Rows of a large group never meet in one task:
+    groups are broadcast where they are few, and else the large ones are, of which there are few.
     """
     spark = docs.sparkSession
     at = workspace(spark, "exact")
@@ -46,11 +47,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), "id", "row_key")).alias("best")
     groups = written(facts.groupBy("hash").agg(F.count("*").alias("group_size"), best).where("group_size > 1"), f"{at}/groups")
     hashed = text.select("norm", digest(F.col("norm")).alias("hash"))
-    several = hashed.join(small(groups.select("hash")), "hash", "left_semi")
+    several = matched(hashed, groups.select("hash", "group_size"), ["hash"], "group_size", "left_semi")
     clashes = written(several.groupBy("hash").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("hash"), f"{at}/clashes")
     if clashes.isEmpty():
         remove(spark, f"{at}/clashes")
-        judged = facts.join(small(groups), "hash", "left")
+        judged = matched(facts, groups, ["hash"], "group_size", "left")
     else:  # two texts share a hash: the SHA-256 tells them apart there, after the bytes have shown which hashes need it
         shared = facts.join(clashes, "hash", "left_semi")
         plain = facts.join(clashes, "hash", "left_anti").join(groups, "hash", "left")
@@ -73,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns. Ids tell rows apart; rows that repeat an id or have none are told apart by content, and full repeats stay once."""
+    """The rows of ``docs`` that stay, with its columns, whatever their names. Ids tell rows apart; rows that repeat an id or have none are told apart by content, and full repeats stay once."""
     at = workspace(docs.sparkSession, "exact-kept")
     found = written(exact_groups(docs, id_col, text_col), f"{at}/groups")
     repeats = written(found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("any")).where("n > 1 or id is null"), f"{at}/repeats")
@@ -81,11 +82,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if repeats.isEmpty():
         return without(docs, lost, id_col)
     # rows of such ids are told apart by content, and full repeats fall together
-    same = F.col(id_col).eqNullSafe(F.col("id"))
-    once = docs.join(small(repeats.select("id")), same, "left_anti")
-    again = docs.join(small(repeats.select("id")), same, "left_semi").withColumn("_sha", F.unhex(F.sha2(normal(F.col(text_col)).cast("binary"), 256))).withColumn("_chars", F.length(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = found.where("kept").join(repeats.select(F.col("id").alias("again")), F.col("id").eqNullSafe(F.col("again")), "left_semi").select("id", F.col("sha256").alias("s"), F.col("chars").alias("c"))
-    chosen = again.join(kept, same & (F.col("_sha") == F.col("s")) & (F.col("_chars") == F.col("c")), "left_semi").dropDuplicates([id_col, "_sha", "_chars"])
+    own, sha, chars, own_sha, own_chars = unused(docs, "own_id", "sha", "chars", "own_sha", "own_chars")
+    same = F.col(id_col).eqNullSafe(F.col(own))
+    repeated = small(repeats).select(F.col("id").alias(own))
+    once = docs.join(repeated, same, "left_anti")
+    again = docs.join(repeated, same, "left_semi").withColumns({sha: F.unhex(F.sha2(normal(F.col(text_col)).cast("binary"), 256)), chars: F.length(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = found.where("kept").join(repeated, F.col("id").eqNullSafe(F.col(own)), "left_semi").select(F.col("id").alias(own), F.col("sha256").alias(own_sha), F.col("chars").alias(own_chars))
+    chosen = again.join(kept, same & (F.col(sha) == F.col(own_sha)) & (F.col(chars) == F.col(own_chars)), "left_semi").dropDuplicates([id_col, sha, chars])
     return without(once, lost, id_col).unionByName(chosen.select(*docs.columns))
 
 

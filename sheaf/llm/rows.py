@@ -1,4 +1,4 @@
-"""Dropping listed documents from a table whose texts should not be shuffled needlessly."""
+"""Joining a large table to facts about its keys, where no key's rows may meet in one task."""
 
 from __future__ import annotations
 
@@ -7,13 +7,46 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes of texts in them, that are sent to every executor at most; longer lists are joined by a shuffle.
 BROADCAST_KEYS, BROADCAST_BYTES = 400_000, 32 << 20
+#: A key of one in so many rows or more is hot, so there are at most as many hot keys.
+HOT = 1000
 
 
-def small(df: DataFrame, limit: int = BROADCAST_KEYS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, a written table, marked for broadcast where it has at most ``limit`` rows and ``most`` bytes of texts."""
+def fits(df: DataFrame) -> bool:
+    """Whether the written table ``df`` is within the bounds of a broadcast."""
     texts = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))
     rows, size = df.agg(F.count("*"), F.sum(texts)).first()
-    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df
+    return rows <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast where it is within the bounds."""
+    return F.broadcast(df) if fits(df) else df
+
+
+def matched(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to the written table ``right``, of one row a key, which says in ``rows`` how many rows of ``left`` have the key.
+
+    ``how``: inner, left or left_semi. Within the bounds ``right`` is broadcast. Beyond them the hot keys are, of
+    which there are at most ``HOT``, and only rows of other keys are shuffled; the rows are the same either way.
+    """
+    if fits(right):
+        return left.join(F.broadcast(right), on, how)
+    total = right.agg(F.sum(rows)).first()[0]
+    hot = F.broadcast(right.where(F.col(rows) * HOT >= total))
+    tagged = left.join(hot.select(*on, F.lit(True).alias("_hot")), on, "left")
+    often = tagged.where("_hot").drop("_hot").join(hot, on, "left_semi" if how == "left_semi" else "inner")
+    return often.unionByName(tagged.where("_hot IS NULL").drop("_hot").join(right.where(F.col(rows) * HOT < total), on, how))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sheaf.llm.components import components
-from sheaf.llm.rows import small
+from sheaf.llm.rows import matched, small
 from sheaf.llm.store import workspace, written
 from sheaf.sources.tables import table
 
@@ -23,6 +24,8 @@ BITS, WORDS, RADIUS, SEED = 64, 4, 4, 42
 BLOCK = 8192
 #: Hashes that are counted at a time.
 PART = 1 << 16
+#: Bytes of a text that are cut into words at a time, and what ends a word.
+STRETCH, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: Near copies: words of a shingle; the least Jaccard similarity, as a fraction; parts, and shingles drawn for each.
 NEAR_WORDS, NEAR, PARTS, DRAWN = 5, (4, 5), 32, 4
 #: Hashes that are drawn from at a time.
@@ -33,15 +36,36 @@ _RANDOM = np.random.default_rng(SEED)
 FLIPS, FACTORS = _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64), _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """XXH64 (seed 42) of each run of ``words`` words, A-Z lower-cased; of all words where there are fewer, none where there are none."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: ASCII letters and ASCII white space only
-    if not found:
+def shingle_hashes(text: str, words: int, stretch: int = STRETCH) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``words`` words, A-Z lower-cased; of all words where there are fewer, none where there are none.
+
+    A long text is taken in stretches, each with the last words of the one before, so of a text only its bytes
+    and its hashes are held whole.
+    """
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) <= stretch:
+        return _run_hashes(data.lower().split(), words, True)  # on bytes: ASCII letters and ASCII white space only
+    out, before, start = [], [], 0
+    while start < len(data):
+        blank = BLANK.search(data, start + stretch)
+        end = blank.start() if blank else len(data)
+        found = before + data[start:end].lower().split()
+        start = end
+        last = start >= len(data)
+        out.append(_run_hashes(found, words, last and not out))
+        before = found if len(found) < words else found[len(found) - words + 1 :]
+    hashes = np.concatenate(out)
+    return hashes if len(hashes) or not before else _run_hashes(before, words, True)
+
+
+def _run_hashes(found: list[bytes], words: int, short: bool) -> np.ndarray:
+    """Hashes of the runs of words; fewer words are one run if ``short``."""
+    k = min(words, len(found)) if short else words
+    if not found or len(found) < k:
         return np.empty(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
-    k = min(words, len(found))
     view = memoryview(joined)
     return np.fromiter((xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)), np.uint64, len(found) - k + 1)
 
@@ -149,9 +173,9 @@ def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK
     sizes = written(sizes, f"{at}/buckets")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = sizes.where("n = 2").where(within).select("a", "b")
-    large = sizes.where("n > 2").select("table", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    large = sizes.where("n > 2").select("table", "key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp", "table"), F.col("blocks")).cast("int")
-    many = keyed.join(small(large), ["table", "key"]).withColumn("own", own)
+    many = matched(keyed, large, ["table", "key"], "n").withColumn("own", own)
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
     tasks = many.select("table", "key", "fp", "own", F.explode(every).alias("t")).select("table", "key", "fp", "own", "t.i", "t.j")
 
@@ -167,12 +191,12 @@ def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK
 
 def grouped(marked: DataFrame, at: str, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for a written table of (id, fp): rows linked at ``radius`` bits or fewer, and the smallest id that each can reach."""
-    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), f"{at}/distinct")
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), f"{at}/distinct")
     roots = components(links(distinct.select("fp"), at, radius), f"{at}/components")
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(named.join(names, "root").select("fp", "component_id"), f"{at}/classes")
-    return marked.join(small(classes), "fp")
+    named = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), f"{at}/named")
+    names = written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), f"{at}/names")
+    classes = written(matched(named, names, ["root"], "fps").select("fp", "component_id", "rows"), f"{at}/classes")
+    return matched(marked, classes, ["fp"], "rows").drop("rows")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,37 +242,37 @@ def distinct_hashes(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, NEAR_WORDS))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """(id, row, key, node, n, parts): the row's key or null, the text's MD5, a digest of its set of shingles, the set's size and parts. Whole texts; null counts as empty."""
+def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, node, n, parts): the row's key, a digest of its text's set of shingles, the set's size and parts. Whole texts; null counts as empty."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, found = [], [], []
             for i in range(len(batch)):
-                own = distinct_hashes(batch.column(3)[i].as_py() or "")
+                own = distinct_hashes(batch.column(2)[i].as_py() or "")
                 nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
                 found.append(parts(own) if len(own) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "row", "key", "node", "n", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "row", "node", "n", "parts"])
 
-    row = F.col(row_col) if row_col else F.lit(None)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.cast("long").alias("row"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sketch, "id long, row long, key binary, node binary, n long, parts array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(sketch, "id long, row long, node binary, n long, parts array<long>")
 
 
-def near_links(docs: DataFrame, marked: DataFrame, at: str, text_col: str = "text") -> DataFrame:
-    """Pairs (a, b) of nodes that connect all whose shingle sets are alike. ``marked``: the written sketches of ``docs``.
+def near_links(docs: DataFrame, marked: DataFrame, at: str, row_col: str, text_col: str = "text") -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose shingle sets are alike. ``marked``: the written sketches of ``docs``. A set is taken from one row of those that have it.
 
     Candidates have the same fingerprint for a part: pairs of similarity 0.8 draw the same four shingles with a
     chance of 0.41, so one in 20 million has no part of 32 in common. Every candidate's similarity is then taken
     from the whole sets: pairs of small buckets once for each pair, large buckets by tasks of two blocks each.
     """
     spark = docs.sparkSession
-    nodes = marked.dropDuplicates(["node"]).select("node", "key", "n", F.posexplode("parts").alias("part", "fp"))
+    at = f"{at}/search"
+    nodes = marked.dropDuplicates(["node"]).select("node", "row", "n", F.posexplode("parts").alias("part", "fp"))
     nodes = written(nodes, f"{at}/parts")
     buckets = written(nodes.groupBy("part", "fp").agg(F.count("*").alias("size")).where("size > 1"), f"{at}/buckets")
-    members = written(nodes.join(small(buckets), ["part", "fp"]), f"{at}/members")
-    wanted = written(members.select("node", "key").distinct(), f"{at}/wanted")
+    members = written(matched(nodes, buckets, ["part", "fp"], "size"), f"{at}/members")
+    wanted = written(members.select("node", "row").distinct(), f"{at}/wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +280,8 @@ def near_links(docs: DataFrame, marked: DataFrame, at: str, text_col: str = "tex
                 own = distinct_hashes(batch.column(1)[i].as_py() or "")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.tobytes()], pa.binary())], names=["node", "hashes"])
 
-    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.col(text_col).alias("text"))
-    sets = written(texts.join(small(wanted), "key").select("node", "text").dropDuplicates(["node"]).mapInArrow(whole, "node binary, hashes binary"), f"{at}/sets")
+    texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    sets = written(texts.join(small(wanted), "row").select("node", "text").mapInArrow(whole, "node binary, hashes binary"), f"{at}/sets")
 
     own = members.where(F.col("size") <= FEW).select("part", "fp", F.struct("node", "n").alias("x"))
     listed = own.groupBy("part", "fp").agg(F.sort_array(F.collect_list("x")).alias("xs"))
@@ -290,17 +314,18 @@ def near_links(docs: DataFrame, marked: DataFrame, at: str, text_col: str = "tex
     return written(verified.unionByName(searched).distinct(), f"{at}/links")
 
 
-def near_rows(docs: DataFrame, row_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, component_id, kept_row): ``near_copies`` with the key that each row of a written table has in ``row_col``.
+def near_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, component_id, kept_row): ``near_copies`` of a written table whose rows have a key, whole numbers, in ``row_col``.
 
     ``kept_row`` is the row of the component's smallest id, of several the least; null where no row of it has an id.
     """
     at = workspace(docs.sparkSession, "near")
-    marked = written(sketches(docs, id_col, text_col, row_col), f"{at}/sketches")
-    roots = components(near_links(docs, marked, at, text_col), f"{at}/all")
-    named = marked.select("id", "row", "node").join(small(written(roots, f"{at}/roots")), "node", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
+    marked = written(sketches(docs, row_col, id_col, text_col), f"{at}/sketches")
+    linked = components(near_links(docs, marked, at, row_col, text_col), f"{at}/all")
+    roots = written(linked.join(marked.groupBy("node").agg(F.count("*").alias("copies")), "node"), f"{at}/roots")
+    named = matched(marked.select("id", "row", "node"), roots, ["node"], "copies", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    named = named.join(small(written(names, f"{at}/names")), "root", "left")
+    named = matched(named, written(names, f"{at}/names"), ["root"], "rows", "left")
     return named.select("id", "row", F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id")).alias("component_id"), F.when(F.col("rows").isNull(), F.col("row")).otherwise(F.col("least.row")).alias("kept_row"))
 
 
@@ -313,7 +338,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of all shingles differs by 4 to 14 bits at 0.8, so candidates come from fingerprints of parts (``near_links``).
     Rows of null ids have a null component.
     """
-    return near_rows(docs, None, id_col, text_col).select("id", "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows, f"{workspace(docs.sparkSession, 'near')}/rows")
+    return near_rows(rows, "row", "id", "text").select("id", "component_id")
 
 
 def hex64(column: Column) -> Column:
