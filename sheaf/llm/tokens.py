@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 
-#: Distinct words that a Python worker keeps the ids of, about 200 MB; they are forgotten together when there are more.
-CACHED_WORDS = 1_000_000
+#: Bytes of words and their ids that a Python worker keeps, with what Python adds to each; beyond that all are forgotten together.
+CACHED_BYTES, ENTRY_BYTES = 200 << 20, 200
+#: Characters of the longest word that is kept; a longer one, such as a text without white space, is encoded each time.
+LONGEST = 64
 #: The white space of the tokenizers' patterns (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 WHITE = frozenset("\t\n\v\f\r" + SPACE[3:])
@@ -30,23 +32,23 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts as little-endian ids of ``width`` bytes each.
+    """Encodes texts as little-endian ids of ``width`` bytes each, as the tokenizer's plain call does.
 
     The vocabularies' pre-tokenizers never join across white space but for one leading space, so a text is
     cut there into words, and a word's ids don't depend on its neighbours. Each distinct word is encoded once.
     Words of plain Latin letters, with one closing full stop or comma perhaps, are single pieces to the
-    pre-tokenizer and go to the file's BPE model at once; all others go through the whole tokenizer. A file
-    whose pre-tokenizer is of neither known kind has its texts encoded whole.
+    pre-tokenizer and go to the file's BPE model at once; all others go through the whole tokenizer. Where a text
+    holds an added token as it is written, that is its id, and the text is cut there. A file whose pre-tokenizer is
+    of neither known kind, or whose added tokens take more than their own letters, has its texts encoded whole.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"  # executors are little-endian machines
@@ -58,17 +60,17 @@ class WordEncoder:
             self.cut = re.compile(f"[^{SPACE}]+").findall
         else:
             self.cut = None
+        self.added = {t["content"]: array(self.code, [t["id"]]).tobytes() for t in spec.get("added_tokens", [])}
+        if any(t[k] for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            self.cut = None
+        self.apart = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split
         self.plain = self.letters = None
         if self.cut and model["type"] == "BPE" and not model.get("byte_fallback") and not model.get("ignore_merges"):
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
             extra = {k: model[k] for k in ("end_of_word_suffix", "continuing_subword_prefix") if model.get(k)}
             self.plain = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **extra)
             self.letters = byte_alphabet()
-        self.limit, self.known = cached, Known(self._ids)
-
-    def _model_ids(self, word: str) -> list[int]:
-        text = word.lower() if self.lowers else word
-        return [t.id for t in self.plain.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        self.known = Known(self._ids, cached)
 
     def _ids(self, word: str) -> bytes:
         stem = word[1:] if word[0] == " " else word
@@ -88,11 +90,15 @@ class WordEncoder:
         last = array(self.code, [end]).tobytes()
         if not self.cut:
             return array(self.code, self.whole.encode(text, add_special_tokens=False).ids).tobytes() + last
-        if len(self.known) > self.limit:
-            self.known.clear()
+        if any(token in text for token in self.added):
+            found = self.apart(text)
+            return b"".join([self.added[x] if k % 2 else self._words(x) for k, x in enumerate(found)] + [last])
+        return self._words(text) + last
+
+    def _words(self, text: str) -> bytes:
         if len(text) <= PART:
-            return b"".join(map(self.known.__getitem__, self.cut(text))) + last
-        return b"".join([b"".join(map(self.known.__getitem__, self.cut(part))) for part in parts(text)] + [last])
+            return b"".join(map(self.known.__getitem__, self.cut(text)))
+        return b"".join([b"".join(map(self.known.__getitem__, self.cut(part))) for part in parts(text)])
 
 
 def parts(text: str) -> Iterator[str]:
@@ -110,13 +116,19 @@ def parts(text: str) -> Iterator[str]:
 
 
 class Known(dict):
-    """Words' ids; an unknown word is learned as it is asked for."""
+    """Words' ids; an unknown word is learned as it is asked for. Long words are not kept, and what is kept is bounded in bytes."""
 
-    def __init__(self, learn: Callable[[str], bytes]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        self.learn, self.most, self.held = learn, most, 0
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.learn(word)
+        found = self.learn(word)
+        if len(word) <= LONGEST:
+            self.held += ENTRY_BYTES + 4 * len(word) + len(found)
+            if self.held > self.most:
+                self.clear()
+                self.held = ENTRY_BYTES + 4 * len(word) + len(found)
+            self[word] = found
         return found
 
 

@@ -41,7 +41,6 @@ def order(i):
 
 def encoded(name, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -51,8 +50,9 @@ def crc(ids):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_encode_as_whole_texts(name):
-    own, plain = tokens.WordEncoder(public_tokenizers.path(name), cached=3), encoded(name, 7)
+    own, plain = tokens.WordEncoder(public_tokenizers.path(name), cached=700), encoded(name, 7)
     texts = ["", " ", "a  b \n\n c", "it's we'll <|endoftext|> x", "café café İ 　 z", "end. of, all,,", "\x1c\x85q", *(t for _, t in ROWS if t)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|startoftext|>x<|endoftext|", "  <|endoftext|>\n ", "日本語のテキスト" * 40, "QUJD" * 3000]
     for text in texts:
         assert np.frombuffer(own.encode(text, 7), "<u2").tolist() == plain(text)
     text = "  a b  c   d. e\n f " * 9
@@ -307,7 +307,7 @@ def test_block_search(spark):
     rows = [(i, x.tolist(), 0) for i, x in enumerate(v)] + [(900, None, 0), (901, [0.0] * 8, 0), (902, [None] * 8, 0), (903, [float("nan")] * 8, 0), (904, [float("inf")] * 8, 0), (None, [1.0] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = defaultdict(list)
-    for r in block_search.search(df, df.where("vec_id % 20 = 0"), nearest=7, query_block=4, row_block=60).orderBy("query_id", "rank").collect():
+    for r in block_search.search(df, F.col("vec_id") % 20 == 0, nearest=7, query_block=4, row_block=60).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     d = v.astype(np.float64)
     for q in range(0, 300, 20):
@@ -318,8 +318,8 @@ def test_block_search(spark):
                 score[i] += a * b
         assert got[q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:7]
     few = df.where("vec_id < 3")
-    assert block_search.search(few, few.where("vec_id = 0")).count() == 2
-    assert block_search.search(few.limit(0), few.limit(0)).count() == 0
+    assert block_search.search(few, F.col("vec_id") == 0).count() == 2
+    assert block_search.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
 def test_warc(spark):
@@ -360,6 +360,9 @@ def test_url_filter(spark):
         ("x.org", "", None, "allow"),
         ("b.net", "/ads/pads", None, "allow"),
     ]
+    own = url_filter.vocabulary(spark.createDataFrame([(" Pads", 1.0), ("ads", 1.0), ("ads", 0.5), ("", 9.0), (None, 1.0)], "term string, weight double"))
+    assert own == {"pads": 1.0, "ads": 1.0}
+    assert url_filter.judged(df.where("page_id = 12"), url_filter.UrlRules(weights=own)).first()["verdict"] == "block"
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
