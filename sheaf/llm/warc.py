@@ -116,7 +116,8 @@ def records(index: DataFrame, folder: str) -> DataFrame:
 
     Rows are dealt by file and stretch of ``SPAN`` bytes and sorted by offset; neighbours are read together in
     one range. A record whose type, id or digest is not the index's raises. A revisit's payload is null: it is
-    that of the record it refers to.
+    that of the record it refers to. Payloads go on once ``SPAN`` bytes of them are unpacked, however small their
+    members are.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +129,11 @@ def records(index: DataFrame, folder: str) -> DataFrame:
                     for run in runs(list(own)):
                         start = run[0]["offset"]
                         data = source.read_at(max(r["offset"] + r["length"] for r in run) - start, start)
-                        made = []
+                        made, size = [], 0
                         for r in run:
+                            if size >= SPAN:  # members may hold far more than their own bytes
+                                yield _read_rows(made)
+                                made, size = [], 0
                             fields, payload = parsed(data[r["offset"] - start : r["offset"] - start + r["length"]])
                             kind, page = fields["warc-type"], int(fields["x-page-id"]) if fields["x-page-id"] else None
                             digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
@@ -137,13 +141,18 @@ def records(index: DataFrame, folder: str) -> DataFrame:
                             if (kind, page, digest) != (r["record_type"], r["page_id"], r["digest"]) or not whole:
                                 raise ValueError(f"{name} at {r['offset']} is not the record of the index")
                             made.append((page, kind, int(fields["x-refers-to-page"]) if kind == "revisit" else None, digest, None if kind == "revisit" else payload))
-                        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["page_id", "record_type", "refers_to", "digest", "payload"])
+                            size += len(payload)
+                        yield _read_rows(made)
 
     dealt = index.repartition("file", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, "page_id long, record_type string, refers_to long, digest string, payload binary")
 
 
+def _read_rows(made: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["page_id", "record_type", "refers_to", "digest", "payload"])
+
+
 def runs(rows: list[dict]) -> Iterator[list[dict]]:
     """Index rows of one file, sorted by offset, as ranges to read at once."""
     run: list[dict] = []
