@@ -16,7 +16,7 @@ from xxhash import xxh64_intdigest
 
 from sheaf.llm.components import components
 from sheaf.llm.rows import matched, small
-from sheaf.llm.store import workspace, written
+from sheaf.llm.store import remove, workspace, written
 from sheaf.sources.tables import table
 
 BITS, WORDS, RADIUS, SEED = 64, 4, 4, 42
@@ -323,6 +323,8 @@ def near_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: s
     marked = written(sketches(docs, row_col, id_col, text_col), f"{at}/sketches")
     linked = components(near_links(docs, marked, at, row_col, text_col), f"{at}/all")
     roots = written(linked.join(marked.groupBy("node").agg(F.count("*").alias("copies")), "node"), f"{at}/roots")
+    for done in ("search", "all"):  # sets of hashes take more room than texts
+        remove(docs.sparkSession, f"{at}/{done}")
     named = matched(marked.select("id", "row", "node"), roots, ["node"], "copies", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("least"), F.count("*").alias("rows")).where("rows > 1")
     named = matched(named, written(names, f"{at}/names"), ["root"], "rows", "left")
