@@ -131,7 +131,7 @@ def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: st
     right = spread(rows, down, "rb", "qb", across).select("n", "qb", "rb", "row", "id", "v")
 
     def matrix(table: pd.DataFrame) -> np.ndarray:
-        return np.array(table["v"].tolist(), np.float64).reshape(len(table), -1)
+        return np.array(table["v"].tolist(), np.float64).reshape(len(table), -1) if len(table) else np.zeros((0, 1))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = tile_nearest(a["row"].to_numpy(np.int64), matrix(a), b["row"].to_numpy(np.int64), b["id"].to_numpy(np.int64), matrix(b), nearest)
@@ -155,6 +155,7 @@ def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: st
                 if q != query:
                     made += finished()
                     query, query_id, heap = q, own_id, []
+                score = math.nan if score is None else score  # pandas has no other null
                 kept(heap, ranked(score, vector, row), score, nearest)
             if made:
                 yield batch_of(made)

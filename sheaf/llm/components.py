@@ -10,7 +10,7 @@ from sheaf.llm.store import remove, written
 
 
 def components(links: DataFrame, at: str) -> DataFrame:
-    """(node, root): the smallest node that each node of the links (a, b) reaches, itself included.
+    """(node, root): the smallest node that each node of the links (a, b) reaches; nodes that are their own are left out.
 
     The links stay a table. Each round points every node's neighbours at the smallest of them, first the larger
     neighbours, then the smaller ones, and is written, so the lineage stays short; rounds grow with the

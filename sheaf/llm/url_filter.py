@@ -152,7 +152,7 @@ r(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('exampl
 m AS (SELECT row, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
       FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row),
 t(term, weight) AS (VALUES {_sql_values(STRICT, LIMIT)}, {_sql_values(SOFT, SOFT_WEIGHT)}),
-n AS (SELECT row, term, weight, len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '', 'g'), '(^|[^a-z0-9])' || replace(term, '-', '--') || '($|[^a-z0-9])')) AS hits FROM h JOIN t ON contains(low, term)),
+n AS (SELECT row, term, weight, len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\1\1', 'g'), '(^|[^a-z0-9])' || replace(term, '-', '--') || '($|[^a-z0-9])')) AS hits FROM h JOIN t ON contains(low, term)),
 w AS (SELECT row, sum(CASE WHEN weight >= {LIMIT} THEN hits ELSE 0 END)::INT AS strict_hits, count(*) FILTER (weight < {LIMIT})::INT AS soft_terms, sum(weight)::DOUBLE AS weight FROM n WHERE hits > 0 GROUP BY row)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN coalesce(weight, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_terms, 0) AS soft_terms, coalesce(weight, 0) AS weight
 FROM h LEFT JOIN m USING (row) LEFT JOIN w USING (row)
