@@ -97,18 +97,14 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = END, capacity: int = CAP
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
-            rows: list[tuple] = []
-            size = 0
-            for i in range(len(batch)):
-                ids = np.frombuffer(coder.encode(batch.column(1)[i].as_py() or "", end), f"<u{coder.width}").astype("<u4")
-                doc, row = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((row, doc, piece, at, len(part), part.tobytes()))
-                size += len(ids)
-                if size > 1 << 20 or i == len(batch) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
-                    rows, size = [], 0
+            docs, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, last, ids, starts in coder.batches(batch.column(1), end):
+                data, rows = ids.astype("<u4").tobytes(), []
+                for doc, row, a, b in zip(docs[first:last], keys[first:last], starts.tolist(), starts[1:].tolist(), strict=False):
+                    for piece, at in enumerate(range(a, b, capacity)):
+                        to = min(at + capacity, b)
+                        rows.append((row, doc, piece, at - a, to - at, data[4 * at : 4 * to]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     return written(rows.mapInArrow(encode, PIECES), f"{workspace(docs.sparkSession, 'packing')}/pieces")

@@ -11,16 +11,17 @@ BROADCAST_KEYS, BROADCAST_BYTES = 400_000, 32 << 20
 HOT = 1000
 
 
-def fits(df: DataFrame) -> bool:
-    """Whether the written table ``df`` is within the bounds of a broadcast."""
+def extent(df: DataFrame, rows: str | None = None) -> tuple[bool, int, int]:
+    """Of the written table ``df``: whether it is within the bounds of a broadcast, and the sum and the greatest of ``rows``."""
     texts = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))
-    rows, size = df.agg(F.count("*"), F.sum(texts)).first()
-    return rows <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES
+    weight = F.col(rows) if rows else F.lit(1)
+    count, size, total, most = df.agg(F.count("*"), F.sum(texts), F.sum(weight), F.max(weight)).first()
+    return count <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES, total or 0, most or 0
 
 
 def small(df: DataFrame) -> DataFrame:
     """``df``, a written table, marked for broadcast where it is within the bounds."""
-    return F.broadcast(df) if fits(df) else df
+    return F.broadcast(df) if extent(df)[0] else df
 
 
 def matched(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
@@ -29,9 +30,11 @@ def matched(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: st
     ``how``: inner, left or left_semi. Within the bounds ``right`` is broadcast. Beyond them the hot keys are, of
     which there are at most ``HOT``, and only rows of other keys are shuffled; the rows are the same either way.
     """
-    if fits(right):
+    within, total, most = extent(right, rows)
+    if within:
         return left.join(F.broadcast(right), on, how)
-    total = right.agg(F.sum(rows)).first()[0]
+    if most * HOT < total:
+        return left.join(right, on, how)
     hot = F.broadcast(right.where(F.col(rows) * HOT >= total))
     tagged = left.join(hot.select(*on, F.lit(True).alias("_hot")), on, "left")
     often = tagged.where("_hot").drop("_hot").join(hot, on, "left_semi" if how == "left_semi" else "inner")

@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,6 @@ from sheaf.sources.tables import table
 
 END = 2
 WINDOW, LEAST, MASK, MOST = 16, 256, 1023, 4096
-#: Tokens of whole documents that are cut into chunks together in memory.
-GROUP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,10 +62,11 @@ def cut_points(ids: np.ndarray, starts: list[int], table64: np.ndarray) -> list[
     after the cut before. No cut comes before a window lies wholly in its document, so equal passages cut alike
     wherever they stand.
     """
-    mixed = table64[ids & np.uint32(0xFFFF)]
-    rolled = mixed.copy()
-    for back in range(1, WINDOW):
-        rolled[back:] += mixed[:-back] << np.uint64(back)
+    rolled, back = table64[ids & np.uint32(0xFFFF)], 1
+    while back < WINDOW:  # sums over windows of twice the length each time
+        longer = rolled.copy()
+        longer[back:] += rolled[:-back] << np.uint64(back)
+        rolled, back = longer, 2 * back
     marks = np.flatnonzero((rolled >> np.uint64(20)) & np.uint64(MASK) == 0) + 1
     out = []
     for a, b in zip(starts, starts[1:], strict=False):
@@ -134,34 +134,24 @@ def stored(docs: DataFrame, vocabulary: str, end: int = END, id_col: str = "doc_
         coder, table64 = encoder(vocabulary), gear()
         schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("width", pa.int32()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("ids", pa.binary()), ("uses", pa.int64())])
 
-        def flush(held: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
-            whole = np.frombuffer(b"".join(x[2] for x in held), f"<u{coder.width}").astype(np.uint32)
-            starts = [0]
-            for _, _, ids in held:
-                starts.append(starts[-1] + len(ids) // coder.width)
+        def taken(docs: list[int | None], keys: list[int], ids: np.ndarray, starts: list[int]) -> pa.RecordBatch:
             rows: list[tuple] = []
             seen: dict[bytes, bytes] = {}
             uses: Counter = Counter()
-            for (doc, row, ids), ends in zip(held, cut_points(whole, starts, table64), strict=True):
-                chunks = [ids[a * coder.width : b * coder.width] for a, b in zip([0, *ends], ends, strict=False)]
+            data, width = ids.tobytes(), coder.width
+            for doc, row, start, end, ends in zip(docs, keys, starts, starts[1:], cut_points(ids, starts, table64), strict=False):
+                chunks = [data[(start + a) * width : (start + b) * width] for a, b in zip([0, *ends], ends, strict=False)]
                 digests = [_digest(c) for c in chunks]
-                rows.append(("recipe", row.to_bytes(8, "big"), doc, coder.width, len(ids) // coder.width, merkle(digests), digests, None, None))
+                rows.append(("recipe", row.to_bytes(8, "big"), doc, width, end - start, merkle(digests), digests, None, None))
                 seen.update(zip(digests, chunks, strict=True))
                 uses.update(digests)
-            rows += [("chunk", d, None, coder.width, len(c) // coder.width, None, None, c, uses[d]) for d, c in seen.items()]
+            rows += [("chunk", d, None, width, len(c) // width, None, None, c, uses[d]) for d, c in seen.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            held, size = [], 0
-            for i, doc, row in zip(range(len(batch)), batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = coder.encode(batch.column(1)[i].as_py() or "", end)
-                held.append((doc, row, ids))
-                size += len(ids) // coder.width
-                if size >= GROUP:
-                    yield flush(held)
-                    held, size = [], 0
-            if held:
-                yield flush(held)
+            docs, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, last, ids, starts in coder.batches(batch.column(1), end):
+                yield taken(docs[first:last], keys[first:last], ids, starts.tolist())
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
     if rows.isEmpty():
@@ -244,14 +234,15 @@ def read_back(store: Store, spark: SparkSession) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, widths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, widths, ids = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
+            ends = np.cumsum([0, *pc.binary_length(ids).to_pylist()])
+            whole = memoryview(pc.binary_join(pa.array([ids.to_pylist()], pa.list_(pa.binary())), b"")[0].as_buffer())
             n, crc = [], []
-            for i, (key, width) in enumerate(zip(keys, widths, strict=True)):
-                ids = batch.column(2)[i].as_py()
-                if _digest(ids) != key:
+            for key, width, a, b in zip(keys, widths.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                if _digest(whole[a:b]) != key:
                     raise ValueError(f"chunk {key.hex()} is damaged")
-                n.append(len(ids) // width)
-                crc.append(zlib.crc32(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()))
+                n.append((b - a) // width)
+                crc.append(zlib.crc32(np.frombuffer(whole[a:b], f"<u{width}").astype("<u4")))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), batch.column(3)], names=["digest", "n", "crc", "uses"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -6,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -53,8 +55,14 @@ def test_words_encode_as_whole_texts(name):
     own, plain = tokens.WordEncoder(public_tokenizers.path(name), cached=700), encoded(name, 7)
     texts = ["", " ", "a  b \n\n c", "it's we'll <|endoftext|> x", "café café İ 　 z", "end. of, all,,", "\x1c\x85q", *(t for _, t in ROWS if t)]
     texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|startoftext|>x<|endoftext|", "  <|endoftext|>\n ", "日本語のテキスト" * 40, "QUJD" * 3000]
+    texts += ["a\nb\n\nc", "a\n\n\nb", "\n", "\n\n", " a", "a ", "a \n b", "a\n b", "\n\n b", "a\n\n b c", "\t a", "a \tb", "x\u00a0y \u2003z", "Éa. ÀB,, ñ!? ÿ ß µ ª", "don't can't's", "a_b -- ... '", "a\r\nb"]
+    texts += ["".join(random.Random(k).choices("ab é\n\t.,'<ñ1 \u00a0", k=60)) for k in range(400)]
     for text in texts:
         assert np.frombuffer(own.encode(text, 7), "<u2").tolist() == plain(text)
+    for most in (1, 300, 1 << 20):
+        got = [ids[a:b].tolist() for _, _, ids, starts in own.batches(pa.array([*texts, None]), 7, most) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+        assert got == [plain(text) for text in (*texts, "")]
+    assert list(own.batches(pa.array([], pa.string()), 7)) == []
     text = "  a b  c   d. e\n f " * 9
     kept, tokens.PART = tokens.PART, 11
     assert np.frombuffer(own.encode(text, 7), "<u2").tolist() == plain(text)
