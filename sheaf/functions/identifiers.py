@@ -55,7 +55,10 @@ def bare_identifier(value: Column, digits: bool = True) -> Column:
 def identifier(value: Column, bare_digits: bool = True, page_doi: Column | None = None) -> Column:
     """struct(kind, value) of the first form that fits: whole forms, forms found inside, then the DOI that the page itself declares; null where none does."""
     text = decoded(value)
-    inside = (_form(text, "arxiv", ARXIV), _form(text, "pmcid", PMC, _prefixed), _form(text, "pmid", PMID_PATH), _form(text, "pmid", EUROPE_PATH), _form(text, "doi", DOI, clean_doi))
+    inside = (
+        _form(text, "arxiv", ARXIV), _form(text, "pmcid", PMC, _prefixed), _form(text, "pmid", PMID_PATH), _form(text, "pmid", EUROPE_PATH),
+        _form(text, "doi", DOI, clean_doi)
+    )
     declared = [] if page_doi is None else [F.when(page_doi != "", F.struct(F.lit("doi").alias("kind"), page_doi.alias("value")))]
     return F.coalesce(bare_identifier(value, bare_digits), *inside, *declared)
 

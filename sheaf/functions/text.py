@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,19 @@ from pyspark.sql import functions as F
 WORD = r"(?U)[\w]+(?:[’'-][\w]+)*"
 HEADING = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
 MARKUP = r"[`*_~\[\]()]"
-#: Latin letters that compatibility decomposition turns into ASCII, and those it drops.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYYaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def _folded() -> dict[str, str]:
+    """What compatibility decomposition leaves in ASCII of each character of the basic plane that it leaves something of."""
+    letters = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000)))
+    plain = ((c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in letters)
+    return {c: p for c, p in plain if p}
+
+
+FOLDED = _folded()
+ONE = {c: p for c, p in FOLDED.items() if len(p) == 1}
+#: Characters that become several: ligatures, fractions, numerals and signs of the Latin script.
+SEVERAL = {c: p for c, p in FOLDED.items() if len(p) > 1 and (c < "Ā" or "‐" <= c <= "↋" or "ﬀ" <= c <= "ﬆ")}
 
 
 def normalize_space(text: Column) -> Column:
@@ -29,9 +41,19 @@ def count_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("int")
 
 
+def tokenizer_backend() -> str:
+    """How ``count_tokens`` counts: by bytes, as no vocabulary is at hand in every executor."""
+    return "utf8-bytes/4"
+
+
 def slugify(text: Column) -> Column:
-    """An anchor: ASCII letters and digits joined by hyphens, ``section`` where nothing is left. Latin accents are removed, other scripts dropped."""
-    ascii_only = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """An anchor: ASCII letters and digits joined by hyphens, ``section`` where nothing is left. Accents and styles are removed, other scripts dropped."""
+    wide = text
+    for c, plain in SEVERAL.items():
+        wide = F.replace(wide, F.lit(c), F.lit(plain))
+    wide = F.when(text.rlike(f"[{''.join(SEVERAL)}]"), wide).otherwise(text)
+    ascii_only = F.regexp_replace(F.translate(wide, "".join(ONE), "".join(ONE.values())), r"[^\x00-\x7F]", "")
+    ascii_only = F.when(text.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(text)
     plain = F.lower(F.regexp_replace(ascii_only, MARKUP, ""))
     slug = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(slug == "", "section").otherwise(slug)
@@ -105,7 +127,10 @@ def promote_headings(text: Column) -> Column:
     """Lines of extracted text that are a section's name alone, with a number before it perhaps, become level-two headings."""
     bare = lambda line: F.regexp_replace(line, r"^\s+|\s+$", "")
     name = lambda line: F.lower(F.regexp_replace(bare(line), r"^\d+(?:\.\d+)*[.)]?\s+", ""))
-    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.when((F.length(bare(x)) <= 120) & name(x).isin(*SECTION_NAMES), F.concat(F.lit("## "), bare(x))).otherwise(x))
+    lines = F.transform(
+        F.split(text, "\r?\n"),
+        lambda x: F.when((F.length(bare(x)) <= 120) & name(x).isin(*SECTION_NAMES), F.concat(F.lit("## "), bare(x))).otherwise(x)
+    )
     return bare(F.array_join(lines, "\n"))
 
 

@@ -53,11 +53,17 @@ def normalize_site(value: Column) -> Column:
     full = F.when(value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), value).otherwise(F.concat(F.lit("https://"), value))
     p = url_parts(F.trim(full))
     path = F.when(p["path"] == "", "/").otherwise(p["path"])
-    return F.when(p["scheme"].isin("http", "https") & (p["netloc"] != "") & ~p["netloc"].contains("@"), F.concat(p["scheme"], F.lit("://"), F.lower(p["netloc"]), path))
+    return F.when(
+        p["scheme"].isin("http", "https") & (p["netloc"] != "") & ~p["netloc"].contains("@"),
+        F.concat(p["scheme"], F.lit("://"), F.lower(p["netloc"]), path)
+    )
 
 
 #: Public suffixes of two labels that the approximate rule knows; all others have one label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "edu.au", "gov.au", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
+TWO_LABEL_SUFFIXES = (
+    "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "edu.au", "gov.au", "gov.uk",
+    "net.au", "or.jp", "org.au", "org.uk"
+)
 
 
 def registrable_domain(url: Column) -> Column:
@@ -96,11 +102,17 @@ def same_resource_page(current: Column, candidate: Column) -> Column:
     pages, same_rest = page_values(b["query"]), other_pairs(a["query"]) == other_pairs(b["query"])
     by_query = (a["path"] == b["path"]) & (F.size(pages) > 0) & F.forall(pages, lambda v: v.rlike(r"^\d+$") & v.rlike("[1-9]")) & same_rest
     by_number = (base(here) != "") & (base(there) == base(here)) & (base(there) != there) & same_rest
-    by_segment = F.startswith(F.lower(there), F.lower(F.concat(here, F.lit("/page/")))) & F.substr(there, F.length(here) + 7).rlike(r"^[1-9]\d*$") & same_rest
+    by_segment = F.startswith(
+        F.lower(there), F.lower(F.concat(here, F.lit("/page/")))
+    ) & F.substr(there, F.length(here) + 7).rlike(r"^[1-9]\d*$") & same_rest
     stem = r"^(.+)(\.[A-Za-z0-9]+)$"
     numbered = r"^(.+)-([2-9]\d*)(\.[A-Za-z0-9]+)$"
-    by_stem = here.rlike(stem) & there.rlike(numbered) & (F.regexp_extract(here, stem, 1) == F.regexp_extract(there, numbered, 1)) & (F.lower(F.regexp_extract(here, stem, 2)) == F.lower(F.regexp_extract(there, numbered, 3))) & same_rest
-    site = b["scheme"].isin("http", "https") & (b["netloc"] != "") & (a["scheme"] == b["scheme"]) & (a["netloc"] == b["netloc"]) & (current != candidate)
+    by_stem = here.rlike(stem) & there.rlike(numbered) & (F.regexp_extract(here, stem, 1) == F.regexp_extract(there, numbered, 1)) & (
+        F.lower(F.regexp_extract(here, stem, 2)) == F.lower(F.regexp_extract(there, numbered, 3))
+    ) & same_rest
+    site = b["scheme"].isin("http", "https") & (b["netloc"] != "") & (
+        a["scheme"] == b["scheme"]
+    ) & (a["netloc"] == b["netloc"]) & (current != candidate)
     return F.coalesce(site & (by_query | by_number | by_segment | by_stem), F.lit(False))
 
 

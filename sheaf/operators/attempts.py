@@ -28,7 +28,12 @@ def failure(auth: Column, blocked: Column, paginated: Column, status: Column) ->
 
 def should_render(failed: Column, status: Column, shell: Column) -> Column:
     """Whether a rendered capture may do better: never after auth or pagination, always after a block, and for script shells that gave nothing certain."""
-    return F.coalesce(F.when(failed.isin("auth", "pagination"), False).when(failed == "block", True).otherwise(shell & ((failed == "extraction") | ((failed == "verification") & (status == "unknown")))), F.lit(False))
+    return F.coalesce(
+        F.when(failed.isin("auth", "pagination"), False).when(failed == "block", True).otherwise(
+            shell & ((failed == "extraction") | ((failed == "verification") & (status == "unknown")))
+        ),
+        F.lit(False)
+    )
 
 
 def should_authenticate(tier: Column, error: Column, status: Column, failed: Column) -> Column:
@@ -43,7 +48,9 @@ def render_improved(old: Column, new: Column) -> Column:
 
 def choose_authenticated(auth: Column) -> Column:
     """``auth`` or ``anonymous``, by the authenticated attempt: struct(error, status, policy, fetched, blocked, blank). Length is no reason."""
-    return F.when(auth["error"].isNotNull(), "anonymous").when(auth["status"] == "complete", "auth").when(auth["policy"] | ~auth["fetched"] | auth["blocked"] | auth["blank"], "anonymous").otherwise("auth")
+    return F.when(auth["error"].isNotNull(), "anonymous").when(auth["status"] == "complete", "auth").when(
+        auth["policy"] | ~auth["fetched"] | auth["blocked"] | auth["blank"], "anonymous"
+    ).otherwise("auth")
 
 
 def first_success(attempts: DataFrame, key: str, order: list[str], accepted: Column, columns: list[str]) -> DataFrame:
@@ -69,11 +76,17 @@ def redirect_chain(starts: DataFrame, hops: DataFrame, most: int = 3) -> DataFra
         nxt = at.join(hops, (F.col("final") == F.col("from_url")) & ~F.col("looped"), "left")
         again = F.array_contains("seen", F.col("to_url"))
         go = F.col("to_url").isNotNull() & ~again
-        at = nxt.select("url", F.when(go, F.col("to_url")).otherwise(F.col("final")).alias("final"), (F.col("hops") + F.when(go, 1).otherwise(0)).alias("hops"), F.when(go, F.array_append("seen", F.col("to_url"))).otherwise(F.col("seen")).alias("seen"), (F.col("looped") | F.coalesce(again, F.lit(False))).alias("looped"))
+        at = nxt.select(
+            "url", F.when(go, F.col("to_url")).otherwise(F.col("final")).alias("final"), (F.col("hops") + F.when(go, 1).otherwise(0)).alias("hops"),
+            F.when(go, F.array_append("seen", F.col("to_url"))).otherwise(F.col("seen")).alias("seen"),
+            (F.col("looped") | F.coalesce(again, F.lit(False))).alias("looped")
+        )
     return at.drop("seen")
 
 
-def route(urls: DataFrame, recipes: list[tuple[str, int, tuple[str | Callable[[Column], Column], ...]]], url: str = "url", default: str = "generic") -> DataFrame:
+def route(
+    urls: DataFrame, recipes: list[tuple[str, int, tuple[str | Callable[[Column], Column], ...]]], url: str = "url", default: str = "generic"
+) -> DataFrame:
     """Add ``recipe``: the first by priority, ties in their order, one of whose patterns or tests fits the URL. A CASE, so no join."""
     found = F.lit(default)
     for name, _, patterns in reversed(sorted(recipes, key=lambda r: -r[1])):

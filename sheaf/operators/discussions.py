@@ -43,7 +43,10 @@ def within(outer: Test, inner: Test) -> Test:
 
 #: Where each field stands, the first place that is there first.
 TITLE = (classed("post_title"), classed("post-title"), tagged("h1"), tagged("title"))
-POST_TIME = (classed("post_time"), classed("post-time"), within(classed("post"), classed("created")), within(classed("post"), class_has("time")), within(tagged("article"), tagged("time")))
+POST_TIME = (
+    classed("post_time"), classed("post-time"), within(classed("post"), classed("created")), within(classed("post"), class_has("time")),
+    within(tagged("article"), tagged("time"))
+)
 BODY = (classed("comment_body"), classed("comment-body"), classed("comment_content"), classed("comment-content"), classed("md"))
 SCORE = (classed("comment_score"), classed("comment-score"), class_has("score"))
 TIME = (tagged("time"), classed("comment_time"), classed("comment-time"), classed("created"), class_has("timestamp"))
@@ -73,7 +76,10 @@ def comments_of(root: Node) -> Iterator[dict[str, Any]]:
         text = {k: squash(n.text()) if n else "" for k, n in at.items()}
         if text["body"]:
             stamp = at["time"] and (at["time"].get("datetime") or at["time"].get("title"))
-            yield {"id": node.get("id") or node.get("data-id") or f"captured-{place}", "body": text["body"], "score": score_of(text["score"]), "timestamp": stamp or None, "age": text["time"] or None, "author": text["author"] if at["author"] else None}
+            yield {
+                "id": node.get("id") or node.get("data-id") or f"captured-{place}", "body": text["body"], "score": score_of(text["score"]),
+                "timestamp": stamp or None, "age": text["time"] or None, "author": text["author"] if at["author"] else None
+            }
 
 
 NO_THREAD = dict.fromkeys(("title", "subreddit", "post_age", "reported", "deeper", "comments"))
@@ -123,7 +129,9 @@ def with_threads(captures: DataFrame, html: str = "html", url: str = "url") -> D
 
 
 def _outlines(markdown: pd.Series) -> pd.Series:
-    return pd.Series([[{k: c[k] for k in ("heading", "level", "anchor", "token_count", "char_count")} for c in sections_of(m or "")] for m in markdown])
+    return pd.Series(
+        [[{k: c[k] for k in ("heading", "level", "anchor", "token_count", "char_count")} for c in sections_of(m or "")] for m in markdown]
+    )
 
 
 def header_markdown(t: Column) -> Column:
@@ -141,7 +149,12 @@ def header_markdown(t: Column) -> Column:
 def comment_markdown(c: Column) -> Column:
     """A comment under its own heading, its facts in one line and its body quoted."""
     label = lambda name, value: F.concat(F.lit(f"{name}: "), F.nullif(value, F.lit("")))
-    facts = F.array_compact(F.array(F.concat(F.lit("Score: "), F.coalesce(c["score"].cast("string"), F.lit("unknown"))), label("Author", c["author"]), label("Timestamp", c["timestamp"]), label("Age", c["age"])))
+    facts = F.array_compact(
+        F.array(
+            F.concat(F.lit("Score: "), F.coalesce(c["score"].cast("string"), F.lit("unknown"))), label("Author", c["author"]),
+            label("Timestamp", c["timestamp"]), label("Age", c["age"])
+        )
+    )
     return F.concat(F.lit("## Comment "), c["id"], F.lit("\n\n"), F.array_join(facts, " | "), F.lit("\n\n> "), c["body"])
 
 
@@ -164,7 +177,10 @@ def thread_results(captures: DataFrame, budget: int | None = None, limit: int =
         raise ValueError("the budget must be a non-negative integer")
     t = F.col("thread")
     rows = with_threads(captures)
-    order = F.transform("thread.comments", lambda c, i: F.struct(c["score"].isNull().alias("none"), (-c["score"]).alias("less"), i.alias("i"), c.alias("c"), comment_markdown(c).alias("block")))
+    order = F.transform(
+        "thread.comments", lambda c,
+        i: F.struct(c["score"].isNull().alias("none"), (-c["score"]).alias("less"), i.alias("i"), c.alias("c"), comment_markdown(c).alias("block"))
+    )
     rows = rows.withColumns({"header": header_markdown(t), "ranked": F.sort_array(order)})
     most = F.size("ranked") if full else F.least(F.lit(limit), F.size("ranked"))
     head = count_tokens(F.col("header")).cast("long")
@@ -173,10 +189,18 @@ def thread_results(captures: DataFrame, budget: int | None = None, limit: int =
     def fit(s: Column, r: Column) -> Column:
         used = s["used"] + count_tokens(r["block"])
         on = s["on"] & (used <= F.lit(budget))
-        return F.struct(F.when(on, used).otherwise(s["used"]).cast("long").alias("used"), F.when(on, s["kept"] + 1).otherwise(s["kept"]).alias("kept"), on.alias("on"))
+        return F.struct(
+            F.when(on, used).otherwise(s["used"]).cast("long").alias("used"), F.when(on, s["kept"] + 1).otherwise(s["kept"]).alias("kept"),
+            on.alias("on")
+        )
 
     free = full or budget is None
-    rows = rows.withColumns({"shown": F.lit(True) if free else head <= budget, "kept": most if free else F.aggregate(F.slice("ranked", F.lit(1), most), state, fit, lambda s: s["kept"])})
+    rows = rows.withColumns(
+        {
+            "shown": F.lit(True) if free else head <= budget,
+            "kept": most if free else F.aggregate(F.slice("ranked", F.lit(1), most), state, fit, lambda s: s["kept"])
+        }
+    )
     rows = rows.withColumn("kept", F.when(F.col("shown"), F.col("kept")).otherwise(0))
     blocks = lambda part: F.array_join(F.concat(F.array("header"), F.transform(part, lambda r: r["block"])), "\n\n")
     some, left = F.slice("ranked", F.lit(1), F.col("kept")), F.filter("ranked", lambda _, i: i >= F.col("kept"))
@@ -191,7 +215,10 @@ def thread_results(captures: DataFrame, budget: int | None = None, limit: int =
         .otherwise("All declared comments were captured")
     )
     extra = F.aggregate(left, F.lit(0).cast("long"), lambda a, r: a + count_tokens(r["block"]))
-    data = F.struct("thread.subreddit", "thread.post_age", F.col("thread.reported").alias("reported_comment_count"), captured.alias("captured_comment_count"), deeper.alias("deeper_reply_count"), F.transform(some, lambda r: r["c"].dropFields("body")).alias("comments"))
+    data = F.struct(
+        "thread.subreddit", "thread.post_age", F.col("thread.reported").alias("reported_comment_count"), captured.alias("captured_comment_count"),
+        deeper.alias("deeper_reply_count"), F.transform(some, lambda r: r["c"].dropFields("body")).alias("comments")
+    )
     ids = [c for c in captures.columns if c not in ("html", "url")]
     return rows.select(
         *ids,
@@ -203,6 +230,9 @@ def thread_results(captures: DataFrame, budget: int | None = None, limit: int =
         F.when(F.size(left) > 0, "core").otherwise("full").alias("coverage"),
         (F.size(left) > 0).alias("truncated"),
         F.coalesce(F.transform(left, lambda r: comment_anchor(r["c"]["id"])), F.array().cast("array<string>")).alias("omitted"),
-        F.when(~bad & ((F.size(left) > 0) | (deeper > 0)), F.struct((F.size(left) + deeper).alias("remaining_items"), extra.alias("estimated_extra_tokens"), F.lit(2).alias("required_tier"))).alias("cost_to_complete"),
+        F.when(
+            ~bad & ((F.size(left) > 0) | (deeper > 0)),
+            F.struct((F.size(left) + deeper).alias("remaining_items"), extra.alias("estimated_extra_tokens"), F.lit(2).alias("required_tier"))
+        ).alias("cost_to_complete"),
         F.when(~bad, data).alias("structured_data"),
     )

@@ -28,12 +28,16 @@ def merged(manifests: DataFrame, key: str, order: str, scalars: list[str], lists
 def deduplicated(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """The first row of each key by position: an aggregation that combines in the map tasks."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), pos).alias("_first")).select(*keys, *(F.col(f"_first.`{c}`").alias(c) for c in rest)).select(*rows.columns)
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), pos).alias("_first")).select(
+        *keys, *(F.col(f"_first.`{c}`").alias(c) for c in rest)
+    ).select(*rows.columns)
 
 
 def inverted_text(rows: DataFrame, key: str, index: str) -> DataFrame:
     """(key, text): the words of a map<word, positions> in the order of their positions, equal positions by word. Row-local."""
-    placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda at: F.struct(at.alias("at"), e["key"].alias("word")))))
+    placed = F.flatten(
+        F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda at: F.struct(at.alias("at"), e["key"].alias("word"))))
+    )
     return rows.select(key, F.array_join(F.transform(F.sort_array(placed), lambda x: x["word"]), " ").alias("text"))
 
 
@@ -46,11 +50,15 @@ def identity(front: Column, title: Column, authors: Column, bound: Column) -> Co
     tokens = title_tokens(F.substring(front, 1, 8000))
     wanted = title_tokens(title)
     names = plain_tokens(F.substring(front, 1, 8000))
-    author_ok = F.coalesce(F.exists(authors, lambda a: (F.size(plain_tokens(a)) > 0) & (F.size(F.array_except(plain_tokens(a), names)) == 0)), F.lit(False))
+    author_ok = F.coalesce(
+        F.exists(authors, lambda a: (F.size(plain_tokens(a)) > 0) & (F.size(F.array_except(plain_tokens(a), names)) == 0)), F.lit(False)
+    )
     overlap = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, tokens)) / F.size(wanted)).otherwise(0.0)
     named = F.coalesce(F.size(authors) > 0, F.lit(False))
     blank = F.coalesce(F.trim(front), F.lit("")) == ""
-    accepted = F.when(blank, bound).when(bound, ~(named & ~author_ok & (overlap < 0.4))).otherwise(named & author_ok & (F.size(wanted) > 0) & (overlap >= 0.6))
+    accepted = F.when(blank, bound).when(bound, ~(named & ~author_ok & (overlap < 0.4))).otherwise(
+        named & author_ok & (F.size(wanted) > 0) & (overlap >= 0.6)
+    )
     return F.struct(author_ok.alias("author_ok"), overlap.alias("overlap"), accepted.alias("accepted"))
 
 
@@ -102,7 +110,9 @@ def condition_label(code: Column) -> Column:
     """A condition in words; an unknown code's own words, each with a capital. Null where there is no code."""
     code = F.upper(code)
     known = F.create_map(*(F.lit(x) for kv in CONDITIONS.items() for x in kv))
-    return F.coalesce(F.try_element_at(known, code), F.nullif(F.initcap(F.lower(F.regexp_replace(F.regexp_replace(code, "^PC_", ""), "_", " "))), F.lit("")))
+    return F.coalesce(
+        F.try_element_at(known, code), F.nullif(F.initcap(F.lower(F.regexp_replace(F.regexp_replace(code, "^PC_", ""), "_", " "))), F.lit(""))
+    )
 
 
 def listing(fragment: Column) -> Column:
@@ -110,7 +120,9 @@ def listing(fragment: Column) -> Column:
     v = F.try_parse_json(fragment)
     get = lambda path: F.try_variant_get(v, path, "string")
     amount = first_present(get("$.listing_price.amount"))
-    price = F.coalesce(first_present(get("$.formatted_price.text")), F.when(amount.isNotNull(), F.concat_ws(" ", amount, get("$.listing_price.currency"))))
+    price = F.coalesce(
+        first_present(get("$.formatted_price.text")), F.when(amount.isNotNull(), F.concat_ws(" ", amount, get("$.listing_price.currency")))
+    )
     return F.struct(
         first_present(get("$.marketplace_listing_title"), get("$.base_marketplace_listing_title"), get("$.custom_title")).alias("title"),
         F.nullif(F.trim(price), F.lit("")).alias("price"),
@@ -130,7 +142,10 @@ def openalex(document: Column) -> Column:
     """Manifest fields of a work's JSON."""
     v = F.try_parse_json(document)
     get = lambda path, kind="string": F.try_variant_get(v, path, kind)
-    names = F.transform(F.try_variant_get(v, "$.authorships", "array<variant>"), lambda a: F.element_at(F.split(F.trim(F.try_variant_get(a, "$.author.display_name", "string")), r"\s+"), -1))
+    names = F.transform(
+        F.try_variant_get(v, "$.authorships", "array<variant>"),
+        lambda a: F.element_at(F.split(F.trim(F.try_variant_get(a, "$.author.display_name", "string")), r"\s+"), -1)
+    )
     return F.struct(
         F.lower(F.regexp_replace(get("$.doi"), "^https?://doi.org/", "")).alias("doi"),
         F.coalesce(get("$.title"), get("$.display_name")).alias("title"),
@@ -139,8 +154,18 @@ def openalex(document: Column) -> Column:
         get("$.biblio.last_page").alias("last_page"),
         get("$.referenced_works_count", "int").alias("reference_count"),
         F.try_variant_get(v, "$.abstract_inverted_index", "map<string,array<int>>").alias("abstract_index"),
-        F.array_distinct(F.filter(F.transform(F.try_variant_get(v, "$.locations", "array<variant>"), lambda x: F.try_variant_get(x, "$.pdf_url", "string")), lambda u: u.isNotNull())).alias("pdf_urls"),
-        F.array_distinct(F.filter(F.transform(F.try_variant_get(v, "$.locations", "array<variant>"), lambda x: F.try_variant_get(x, "$.landing_page_url", "string")), lambda u: u.isNotNull())).alias("landing_urls"),
+        F.array_distinct(
+            F.filter(
+                F.transform(F.try_variant_get(v, "$.locations", "array<variant>"), lambda x: F.try_variant_get(x, "$.pdf_url", "string")),
+                lambda u: u.isNotNull()
+            )
+        ).alias("pdf_urls"),
+        F.array_distinct(
+            F.filter(
+                F.transform(F.try_variant_get(v, "$.locations", "array<variant>"), lambda x: F.try_variant_get(x, "$.landing_page_url", "string")),
+                lambda u: u.isNotNull()
+            )
+        ).alias("landing_urls"),
         F.nullif(F.regexp_extract(get("$.ids.pmid"), r"(\d+)/*$", 1), F.lit("")).alias("pmid"),
         normalized_pmcid(get("$.ids.pmcid")).alias("pmcid"),
     )
@@ -151,23 +176,46 @@ def crossref(document: Column) -> Column:
     v = F.try_parse_json(document)
     get = lambda path, kind="string": F.try_variant_get(v, path, kind)
     pages = page_range(get("$.message.page"))
-    people = F.transform(F.try_variant_get(v, "$.message.author", "array<variant>"), lambda a: F.coalesce(F.try_variant_get(a, "$.family", "string"), F.try_variant_get(a, "$.name", "string")))
-    return F.struct(F.lower(get("$.message.DOI")).alias("doi"), get("$.message.title[0]").alias("title"), F.array_distinct(F.filter(people, lambda n: n.isNotNull())).alias("authors"), pages["first"].alias("first_page"), pages["last"].alias("last_page"), get("$.message.reference-count", "int").alias("reference_count"), F.trim(F.regexp_replace(get("$.message.abstract"), "<[^>]*>", " ")).alias("abstract"))
+    people = F.transform(
+        F.try_variant_get(v, "$.message.author", "array<variant>"),
+        lambda a: F.coalesce(F.try_variant_get(a, "$.family", "string"), F.try_variant_get(a, "$.name", "string"))
+    )
+    return F.struct(
+        F.lower(get("$.message.DOI")).alias("doi"), get("$.message.title[0]").alias("title"),
+        F.array_distinct(F.filter(people, lambda n: n.isNotNull())).alias("authors"), pages["first"].alias("first_page"),
+        pages["last"].alias("last_page"), get("$.message.reference-count", "int").alias("reference_count"),
+        F.trim(F.regexp_replace(get("$.message.abstract"), "<[^>]*>", " ")).alias("abstract")
+    )
 
 
 def europe_pmc(document: Column, wanted: Column) -> Column:
     """Manifest fields of the first result with the wanted DOI, PubMed or PMC id."""
     rows = F.try_variant_get(F.try_parse_json(document), "$.resultList.result", "array<variant>")
     get = lambda r, path: F.try_variant_get(r, path, "string")
-    hit = F.get(F.filter(rows, lambda r: F.coalesce(F.lower(get(r, "$.doi")) == F.lower(wanted), F.lit(False)) | F.coalesce(get(r, "$.pmid") == wanted, F.lit(False)) | F.coalesce(F.upper(get(r, "$.pmcid")) == F.upper(wanted), F.lit(False))), 0)
+    hit = F.get(
+        F.filter(
+            rows,
+            lambda r: F.coalesce(F.lower(get(r, "$.doi")) == F.lower(wanted), F.lit(False)) | F.coalesce(get(r, "$.pmid") == wanted, F.lit(False)) | F.coalesce(
+                F.upper(get(r, "$.pmcid")) == F.upper(wanted), F.lit(False)
+            )
+        ),
+        0
+    )
     pages = page_range(get(hit, "$.pageInfo"))
-    return F.struct(F.lower(get(hit, "$.doi")).alias("doi"), get(hit, "$.title").alias("title"), get(hit, "$.pmid").alias("pmid"), get(hit, "$.pmcid").alias("pmcid"), get(hit, "$.abstractText").alias("abstract"), pages["first"].alias("first_page"), pages["last"].alias("last_page"))
+    return F.struct(
+        F.lower(get(hit, "$.doi")).alias("doi"), get(hit, "$.title").alias("title"), get(hit, "$.pmid").alias("pmid"),
+        get(hit, "$.pmcid").alias("pmcid"), get(hit, "$.abstractText").alias("abstract"), pages["first"].alias("first_page"),
+        pages["last"].alias("last_page")
+    )
 
 
 def unpaywall(document: Column) -> Column:
     """array<struct<url, kind>> of open locations: the best first, PDFs before landing pages, each once."""
     v = F.try_parse_json(document)
-    rows = F.concat(F.array_compact(F.array(F.try_variant_get(v, "$.best_oa_location", "variant"))), F.coalesce(F.try_variant_get(v, "$.oa_locations", "array<variant>"), F.array().cast("array<variant>")))
+    rows = F.concat(
+        F.array_compact(F.array(F.try_variant_get(v, "$.best_oa_location", "variant"))),
+        F.coalesce(F.try_variant_get(v, "$.oa_locations", "array<variant>"), F.array().cast("array<variant>"))
+    )
     of = lambda path, kind: F.transform(rows, lambda r: F.struct(F.try_variant_get(r, path, "string").alias("url"), F.lit(kind).alias("kind")))
     return F.array_distinct(F.filter(F.concat(of("$.url_for_pdf", "pdf"), of("$.url_for_landing_page", "landing")), lambda x: x["url"].isNotNull()))
 
@@ -175,7 +223,9 @@ def unpaywall(document: Column) -> Column:
 def _collected(document: Column, field: str) -> Column:
     """The first text of a field among the rows of an answer's collection."""
     rows = F.try_variant_get(F.try_parse_json(document), "$.collection", "array<variant>")
-    return F.get(F.filter(F.transform(rows, lambda r: F.nullif(F.trim(F.try_variant_get(r, f"$.{field}", "string")), F.lit(""))), lambda v: v.isNotNull()), 0)
+    return F.get(
+        F.filter(F.transform(rows, lambda r: F.nullif(F.trim(F.try_variant_get(r, f"$.{field}", "string")), F.lit(""))), lambda v: v.isNotNull()), 0
+    )
 
 
 def biorxiv(document: Column) -> Column:

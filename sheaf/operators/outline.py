@@ -30,17 +30,26 @@ def sections(docs: DataFrame, doc: str = "doc", markdown: str = "markdown") -> D
     headings is one such section, an empty or null one none. ``pos`` numbers a document's cuts from 0, the text before
     the first heading, and may leave it out. Row-local up to the anchors' window.
     """
-    parts = docs.where(F.length(markdown) > 0).select(F.col(doc).alias("doc"), F.posexplode(cut_at_headings(F.col(markdown))).alias("pos", "markdown"), F.size(cut_at_headings(F.col(markdown))).alias("n"))
+    parts = docs.where(F.length(markdown) > 0).select(
+        F.col(doc).alias("doc"), F.posexplode(cut_at_headings(F.col(markdown))).alias("pos", "markdown"),
+        F.size(cut_at_headings(F.col(markdown))).alias("n")
+    )
     kept = parts.where((F.col("pos") > 0) | (F.col("n") == 1) | F.col("markdown").rlike(r"(?U)\S"))
     head = heading_of(F.col("markdown"))
-    rows = kept.select("doc", "pos", F.when(F.col("pos") > 0, head["heading"]).otherwise("Document").alias("heading"), F.when(F.col("pos") > 0, head["level"]).otherwise(0).alias("level"), "markdown")
+    rows = kept.select(
+        "doc", "pos", F.when(F.col("pos") > 0, head["heading"]).otherwise("Document").alias("heading"),
+        F.when(F.col("pos") > 0, head["level"]).otherwise(0).alias("level"), "markdown"
+    )
     return with_anchors(rows.withColumns({"token_count": count_tokens(F.col("markdown")), "char_count": F.length("markdown")}))
 
 
 def flags(markdown: Column, paginated: Column | None = None) -> Column:
     """struct(has_tables, has_code, has_pagination) of a whole document."""
     paged = markdown.rlike(PAGED)
-    return F.struct(markdown.rlike(TABLE_RULE).alias("has_tables"), markdown.rlike(r"(?m)^\s*(`{3,}|~{3,})").alias("has_code"), (paged if paginated is None else paginated | paged).alias("has_pagination"))
+    return F.struct(
+        markdown.rlike(TABLE_RULE).alias("has_tables"), markdown.rlike(r"(?m)^\s*(`{3,}|~{3,})").alias("has_code"),
+        (paged if paginated is None else paginated | paged).alias("has_pagination")
+    )
 
 
 def outline(rows: DataFrame) -> DataFrame:
@@ -83,7 +92,10 @@ def cost_of(omitted: DataFrame, rows: DataFrame) -> DataFrame:
     """
     last = rows.groupBy("doc", "anchor").agg(F.max_by("token_count", "pos").alias("tokens"))
     found = omitted.join(last, ["doc", "anchor"], "left")
-    return found.groupBy("doc").agg(F.count("*").alias("remaining_items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("estimated_extra_tokens"), F.sort_array(F.collect_list(F.when(F.col("tokens").isNull(), F.col("anchor")))).alias("unknown"))
+    return found.groupBy("doc").agg(
+        F.count("*").alias("remaining_items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("estimated_extra_tokens"),
+        F.sort_array(F.collect_list(F.when(F.col("tokens").isNull(), F.col("anchor")))).alias("unknown")
+    )
 
 
 def section_by_anchor(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -96,7 +108,13 @@ def rendered_head(sections_column: Column, total: Column, flag: Column) -> Colum
     """The outline as text: tokens, flags, and an indented line for each section."""
     names = F.array_compact(F.array(*(F.when(flag[f"has_{n}"], F.lit(n)) for n in ("tables", "code", "pagination"))))
     shown = F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise("none")
-    line = lambda s: F.concat(F.repeat(F.lit("  "), F.greatest(s["level"] - 1, F.lit(0))), F.lit("- "), s["heading"], F.lit(" [#"), s["anchor"], F.lit("] ("), s["token_count"].cast("string"), F.lit(" approx. tokens, "), s["char_count"].cast("string"), F.lit(" chars)"))
+    line = lambda s: F.concat(
+        F.repeat(F.lit("  "), F.greatest(s["level"] - 1, F.lit(0))), F.lit("- "), s["heading"], F.lit(" [#"), s["anchor"], F.lit("] ("),
+        s["token_count"].cast("string"), F.lit(" approx. tokens, "), s["char_count"].cast("string"), F.lit(" chars)")
+    )
     body = F.when(F.size(sections_column) == 0, F.array(F.lit("(No sections extracted)"))).otherwise(F.transform(sections_column, line))
-    head = F.array(F.lit("# Outline"), F.lit(""), F.concat(F.lit("Approximate tokens: "), total.cast("string")), F.concat(F.lit("Content flags: "), shown), F.lit(""))
+    head = F.array(
+        F.lit("# Outline"), F.lit(""), F.concat(F.lit("Approximate tokens: "), total.cast("string")), F.concat(F.lit("Content flags: "), shown),
+        F.lit("")
+    )
     return F.array_join(F.concat(head, body), "\n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from importlib.metadata import entry_points
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,15 @@ class Registry:
             return self
         return replace(self, recipes=(*(r for r in self.recipes if r.name != recipe.name), recipe))
 
+    def discovered(self, group: str = "sheaf.recipes") -> Registry:
+        """With the recipes that installed packages name under ``group``: a recipe or a list of them each. Only this call loads them."""
+        found = self
+        for point in entry_points(group=group):
+            loaded = point.load()
+            for recipe in loaded if isinstance(loaded, (list, tuple)) else (loaded,):
+                found = found.added(recipe)
+        return found
+
     def routed(self, captures: DataFrame, url: str = "url") -> DataFrame:
         return route(captures, [(r.name, r.priority, r.patterns) for r in self.recipes], url)
 

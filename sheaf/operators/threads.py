@@ -25,12 +25,16 @@ def core(rows: DataFrame, budget: int, limit: int = CORE_LIMIT, head: int = 0, t
 def completion_cost(rows: DataFrame, thread: str = "thread") -> DataFrame:
     """Each thread's comments that were not kept, and their tokens."""
     gone = ~F.col("kept")
-    return rows.groupBy(thread).agg(F.count_if(gone).alias("remaining_items"), F.coalesce(F.sum(F.when(gone, F.col("token_count"))), F.lit(0)).alias("estimated_extra_tokens"))
+    return rows.groupBy(thread).agg(
+        F.count_if(gone).alias("remaining_items"), F.coalesce(F.sum(F.when(gone, F.col("token_count"))), F.lit(0)).alias("estimated_extra_tokens")
+    )
 
 
 def capture_status(captured: Column, reported: Column, deeper: Column) -> Column:
     """unknown without comments; incomplete with unloaded replies or fewer than were reported; else complete."""
-    return F.when(captured == 0, "unknown").when(deeper > 0, "incomplete").when(F.coalesce(captured < reported, F.lit(False)), "incomplete").otherwise("complete")
+    return F.when(captured == 0, "unknown").when(deeper > 0, "incomplete").when(
+        F.coalesce(captured < reported, F.lit(False)), "incomplete"
+    ).otherwise("complete")
 
 
 def best_candidate(attempts: DataFrame, key: str, value: Column) -> DataFrame:
@@ -49,7 +53,13 @@ def quoted(body: Column) -> Column:
 
 def thread_markdown(threads: DataFrame, comments: DataFrame, thread: str = "thread") -> DataFrame:
     """(thread, markdown): title, then each ranked comment under a heading with its author and score."""
-    heading = F.concat(F.lit("## "), F.coalesce("author", F.lit("unknown")), F.coalesce(F.concat(F.lit(" ("), F.col("score").cast("string"), F.lit(")")), F.lit("")))
-    blocks = comments.groupBy(thread).agg(F.sort_array(F.collect_list(F.struct("rank", F.concat(heading, F.lit("\n\n"), quoted(F.col("body"))).alias("block")))).alias("blocks"))
+    heading = F.concat(
+        F.lit("## "), F.coalesce("author", F.lit("unknown")), F.coalesce(F.concat(F.lit(" ("), F.col("score").cast("string"), F.lit(")")), F.lit(""))
+    )
+    blocks = comments.groupBy(thread).agg(
+        F.sort_array(F.collect_list(F.struct("rank", F.concat(heading, F.lit("\n\n"), quoted(F.col("body"))).alias("block")))).alias("blocks")
+    )
     body = F.transform(F.coalesce("blocks", F.array().cast("array<struct<rank:int,block:string>>")), lambda b: b["block"])
-    return threads.join(blocks, thread, "left").select(thread, F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.col("title"))), body), "\n\n").alias("markdown"))
+    return threads.join(blocks, thread, "left").select(
+        thread, F.array_join(F.concat(F.array(F.concat(F.lit("# "), F.col("title"))), body), "\n\n").alias("markdown")
+    )

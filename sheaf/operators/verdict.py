@@ -26,11 +26,17 @@ def heading_signal(total: Column, represented: Column) -> Column:
 
 
 def coverage_signal(dom_words: Column, output_words: Column) -> Column:
-    return F.when(dom_words >= LEAST_DOM_WORDS, F.when(output_words >= F.ceil(dom_words * F.lit(COVERAGE[0])), True).when(output_words <= F.floor(dom_words * F.lit(COVERAGE[1])), False))
+    return F.when(
+        dom_words >= LEAST_DOM_WORDS,
+        F.when(output_words >= F.ceil(dom_words * F.lit(COVERAGE[0])), True).when(output_words <= F.floor(dom_words * F.lit(COVERAGE[1])), False)
+    )
 
 
 def length_signal(declared: Column, output_words: Column) -> Column:
-    return F.when(declared.isNotNull(), F.when(output_words >= F.ceil(declared * F.lit(LENGTH[0])), True).when(output_words <= F.floor(declared * F.lit(LENGTH[1])), False))
+    return F.when(
+        declared.isNotNull(),
+        F.when(output_words >= F.ceil(declared * F.lit(LENGTH[0])), True).when(output_words <= F.floor(declared * F.lit(LENGTH[1])), False)
+    )
 
 
 def pagination_signal(paginated: Column, covered: Column) -> Column:
@@ -42,7 +48,9 @@ def generic_status(heading: Column, coverage: Column, length: Column, blocked: C
     content = (heading, coverage, length)
     failed = is_false(heading) | is_false(coverage) | is_false(length)
     passed = sum((is_true(s).cast("int") for s in content), F.lit(0))
-    return F.when(is_true(blocked), "unknown").when(is_false(pagination), "incomplete").when(failed, "incomplete").when(passed >= 2, "complete").otherwise("unknown")
+    return F.when(is_true(blocked), "unknown").when(
+        is_false(pagination), "incomplete"
+    ).when(failed, "incomplete").when(passed >= 2, "complete").otherwise("unknown")
 
 
 def evidence(**signals: Column) -> Column:
@@ -100,7 +108,10 @@ def scholarly_signals(f: dict[str, Column]) -> dict[str, Column]:
     least = F.when((f["crossref"] > 0) & (f["openalex"] > 0), F.least(f["crossref"], f["openalex"]))
     found = F.when(some, f["references"]).otherwise(0)
     refs = F.when(least.isNotNull(), F.when(found >= least * 0.7, True).when(found < least * 0.4, False)).otherwise(F.when(found >= 5, True))
-    return {"full_text_acquisition": some, "section_manifest": is_true(section), "abstract_containment": contained, "page_extent": extent, "reference_manifest": refs}
+    return {
+        "full_text_acquisition": some, "section_manifest": is_true(section), "abstract_containment": contained, "page_extent": extent,
+        "reference_manifest": refs
+    }
 
 
 def scholarly_verdict(f: dict[str, Column], s: dict[str, Column]) -> Column:
@@ -108,11 +119,17 @@ def scholarly_verdict(f: dict[str, Column], s: dict[str, Column]) -> Column:
     pdf = is_true(f["is_pdf"])
     has_body = s["full_text_acquisition"] & ~is_false(s["abstract_containment"]) & (s["section_manifest"] | (pdf & is_true(s["page_extent"])))
     resolved = is_true(f["resolved"]) & (f["references"] > 0)
-    level = F.when(~has_body, F.when(f["abstract_words"] > 0, "abstract_only").otherwise("metadata_only")).when(resolved, "full_text_with_references").otherwise("full_text")
+    level = F.when(
+        ~has_body, F.when(f["abstract_words"] > 0, "abstract_only").otherwise("metadata_only")
+    ).when(resolved, "full_text_with_references").otherwise("full_text")
     lost_refs = is_false(s["reference_manifest"])
-    veto = is_false(s["abstract_containment"]) | is_false(s["page_extent"]) | F.when(pdf, lost_refs & (f["references"] == 0)).otherwise(lost_refs | ~s["section_manifest"])
+    veto = is_false(s["abstract_containment"]) | is_false(s["page_extent"]) | F.when(
+        pdf, lost_refs & (f["references"] == 0)
+    ).otherwise(lost_refs | ~s["section_manifest"])
     unsure = s["page_extent"].isNull() & (f["pages"] > 0)
-    status = F.when(~has_body, "incomplete").when(veto, "incomplete").when(is_true(unsure), "unknown").when(s["section_manifest"] & is_true(s["reference_manifest"]), "complete").otherwise("unknown")
+    status = F.when(~has_body, "incomplete").when(veto, "incomplete").when(is_true(unsure), "unknown").when(
+        s["section_manifest"] & is_true(s["reference_manifest"]), "complete"
+    ).otherwise("unknown")
     return F.struct(level.alias("content_level"), status.alias("status"))
 
 
@@ -174,7 +191,9 @@ def body_profile(sections: Column) -> Column:
     back = F.array_position(F.transform(sections, lambda x: begins(scholarly_heading(x["title"]), BACK_MATTER)), True)
     whole = F.struct(sections.alias("all"), back.alias("back"))
     main = lambda w: F.filter(w["all"], lambda x, i: ((w["back"] == 0) | (i < w["back"] - 1)) & is_substantive(x["title"]) & (x["words"] > 0))
-    told = lambda m: F.struct(F.transform(m, lambda x: x["title"]).alias("sections"), F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x["words"]).alias("words"))
+    told = lambda m: F.struct(
+        F.transform(m, lambda x: x["title"]).alias("sections"), F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x["words"]).alias("words")
+    )
     return F.transform(F.transform(F.array(whole), main), told)[0]  # one element each, so that nothing is worked out twice
 
 
@@ -182,7 +201,10 @@ def paper_sections(markdown: Column) -> Column:
     """array<struct<title, words>> of a paper's Markdown, cut at headings of level two or more."""
     titles = F.regexp_extract_all(markdown, F.lit(PAPER_HEADING), F.lit(1))
     bodies = F.slice(F.split(markdown, PAPER_HEADING), 2, F.size(titles))
-    return F.zip_with(titles, bodies, lambda t, b: F.struct(F.trim(t).alias("title"), F.regexp_count(F.coalesce(b, F.lit("")), F.lit(r"\S+")).cast("bigint").alias("words")))
+    return F.zip_with(
+        titles, bodies, lambda t,
+        b: F.struct(F.trim(t).alias("title"), F.regexp_count(F.coalesce(b, F.lit("")), F.lit(r"\S+")).cast("bigint").alias("words"))
+    )
 
 
 def missing_headings(dom: Column, markdown_headings: Column, lines: Column) -> Column:
@@ -194,4 +216,6 @@ def missing_headings(dom: Column, markdown_headings: Column, lines: Column) -> C
 def examples(values: Column, most: int = 3) -> Column:
     """The first few, and how many more there are."""
     more = F.size(values) - most
-    return F.concat(F.array_join(F.slice(values, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    return F.concat(
+        F.array_join(F.slice(values, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise("")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.text import count_tokens
 from sheaf.functions.urls import is_http_url, public_url
 from sheaf.operators import verdict as V
-from sheaf.operators.attempts import failure
+from sheaf.operators.attempts import failure, redirect_chain
 from sheaf.operators.dom import block_signal, sections_of, with_facts
 
 
@@ -42,9 +42,19 @@ def verified(captures: DataFrame, covered: bool = False) -> DataFrame:
     failed job. A capture that its browser cut short is incomplete.
     """
     have = set(captures.columns)
-    rows = captures.withColumns({"http_status": F.col("http_status") if "http_status" in have else F.lit(None).cast("int"), "final_url": F.col("final_url") if "final_url" in have else F.col("url")})
+    rows = captures.withColumns(
+        {
+            "http_status": F.col("http_status") if "http_status" in have else F.lit(None).cast("int"),
+            "final_url": F.col("final_url") if "final_url" in have else F.col("url")
+        }
+    )
     rows = with_facts(rows, url="final_url")
-    rows = rows.withColumns({"block": block_signal(F.col("html"), F.col("facts"), F.col("http_status"), F.col("final_url")), "_cut": F.coalesce(header(have, TRUNCATED) == "true", F.lit(False))})
+    rows = rows.withColumns(
+        {
+            "block": block_signal(F.col("html"), F.col("facts"), F.col("http_status"), F.col("final_url")),
+            "_cut": F.coalesce(header(have, TRUNCATED) == "true", F.lit(False))
+        }
+    )
     rows = rows.withColumns(
         {
             "_heading": V.heading_signal(F.size("facts.headings"), F.col("facts.represented")),
@@ -54,7 +64,10 @@ def verified(captures: DataFrame, covered: bool = False) -> DataFrame:
         }
     )
     own = [F.col(c) for c in ("_heading", "_coverage", "_length")] + [F.col("block.detected"), F.col("_pagination")]
-    signals = {"heading_presence": own[0], "dom_vs_output_coverage": own[1], "blockpage_check": ~own[3], "length_sanity": own[2], "pagination_coverage": own[4]}
+    signals = {
+        "heading_presence": own[0], "dom_vs_output_coverage": own[1], "blockpage_check": ~own[3], "length_sanity": own[2],
+        "pagination_coverage": own[4]
+    }
     valid, unread, cut = is_http_url(F.col("url")), F.col("facts.error"), F.col("_cut") & ~F.col("block.detected")
     sound = valid & unread.isNull()
     evidence = V.evidence(**signals)
@@ -74,7 +87,9 @@ def verified(captures: DataFrame, covered: bool = False) -> DataFrame:
     )
     gap = failure(F.col("block.auth_required"), F.col("block.detected"), V.is_false(F.col("_pagination")), F.col("status"))
     wrong = F.when(~valid, error("policy", "only absolute HTTP(S) URLs are read")).when(unread.isNotNull(), error("extraction", unread))
-    return rows.withColumns({"reason": reason, "failure": F.when(sound, gap).when(valid, "extraction").otherwise(gap), "error": wrong.cast(ERROR)}).drop("_heading", "_coverage", "_length", "_pagination", "_cut")
+    return rows.withColumns(
+        {"reason": reason, "failure": F.when(sound, gap).when(valid, "extraction").otherwise(gap), "error": wrong.cast(ERROR)}
+    ).drop("_heading", "_coverage", "_length", "_pagination", "_cut")
 
 
 def read_captures(captures: DataFrame, budget: int | None = None, covered: bool = False) -> DataFrame:
@@ -91,7 +106,12 @@ def read_captures(captures: DataFrame, budget: int | None = None, covered: bool
 def results_of(judged: DataFrame, captures: DataFrame, budget: int | None, tier: Column, latency: Column | None = None) -> DataFrame:
     """Verified captures as results. ``captures``: the table they come from, for its columns; ``latency``: what rendering took."""
     auth = F.col("block.auth_required")
-    rows = judged.withColumns({"shown": F.when(auth, "").otherwise(F.col("facts.markdown")), "sections": F.when(auth, F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections"))})
+    rows = judged.withColumns(
+        {
+            "shown": F.when(auth, "").otherwise(F.col("facts.markdown")),
+            "sections": F.when(auth, F.slice("facts.sections", 1, 0)).otherwise(F.col("facts.sections"))
+        }
+    )
     rows, shape = shaped(rows, budget)
     provenance = provenance_of(set(captures.columns), tier, F.col("facts.canonical"))
     data = F.when(~auth, F.struct("facts.json_ld", "facts.feeds", "facts.oembed"))
@@ -113,7 +133,9 @@ def results_of(judged: DataFrame, captures: DataFrame, budget: int | None, tier:
     if latency is None:
         return found
     known = F.col("cost_to_complete").isNotNull() & (F.col("_tier") >= 2)
-    return found.withColumn("completion", F.when(known, F.struct(F.col("_tier").alias("required_tier"), F.col("_latency").alias("estimated_latency_ms")))).drop("_tier", "_latency")
+    return found.withColumn(
+        "completion", F.when(known, F.struct(F.col("_tier").alias("required_tier"), F.col("_latency").alias("estimated_latency_ms")))
+    ).drop("_tier", "_latency")
 
 
 def as_results(rows: DataFrame, captures: DataFrame, **given: Column) -> DataFrame:
@@ -170,7 +192,11 @@ def provenance_of(have: set[str], tier: Column, canonical: Column) -> Column:
     given = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
     final = F.coalesce(given("final_url", "string"), F.col("url")) if "final_url" not in have else F.col("final_url")
     status = given("http_status", "int")
-    return F.struct(tier.alias("tier"), F.lit("capture").alias("engine"), public_url(canonical).alias("canonical_url"), given("fetched_at", "string").alias("fetched_at"), F.when(status.between(100, 599), status).alias("http_status"), public_url(final).alias("final_url"), F.array_distinct(F.array(public_url(F.col("url")), public_url(final))).alias("source_urls"))
+    return F.struct(
+        tier.alias("tier"), F.lit("capture").alias("engine"), public_url(canonical).alias("canonical_url"),
+        given("fetched_at", "string").alias("fetched_at"), F.when(status.between(100, 599), status).alias("http_status"),
+        public_url(final).alias("final_url"), F.array_distinct(F.array(public_url(F.col("url")), public_url(final))).alias("source_urls")
+    )
 
 
 def shaped(rows: DataFrame, budget: int | None) -> tuple[DataFrame, dict[str, Column]]:
@@ -182,11 +208,30 @@ def shaped(rows: DataFrame, budget: int | None) -> tuple[DataFrame, dict[str, Co
         return F.struct(used.alias("used"), F.when(used <= F.lit(budget), s["kept"] + 1).otherwise(s["kept"]).alias("kept"))
 
     whole = count_tokens(F.col("shown"))
-    rows = rows.withColumn("kept", F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(F.aggregate("sections", none, fit, lambda s: s["kept"])))
+    rows = rows.withColumn(
+        "kept",
+        F.size("sections") if budget is None else F.when(whole <= budget, F.size("sections")).otherwise(
+            F.aggregate("sections", none, fit, lambda s: s["kept"])
+        )
+    )
     left = F.filter("sections", lambda s, i: i >= F.col("kept"))
-    content = F.regexp_replace(F.array_join(F.transform(F.slice("sections", 1, F.greatest("kept", F.lit(0))), lambda s: s["markdown"]), ""), r"\s+$", "")
-    cost = F.when(F.size(left) > 0, F.struct(F.size(left).alias("remaining_items"), F.aggregate(left, F.lit(0).cast("bigint"), lambda a, s: a + s["token_count"]).alias("estimated_extra_tokens")))
-    outline = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["level"].alias("level"), s["anchor"].alias("anchor"), s["token_count"].alias("token_count"), s["char_count"].alias("char_count")))
+    content = F.regexp_replace(
+        F.array_join(F.transform(F.slice("sections", 1, F.greatest("kept", F.lit(0))), lambda s: s["markdown"]), ""), r"\s+$", ""
+    )
+    cost = F.when(
+        F.size(left) > 0,
+        F.struct(
+            F.size(left).alias("remaining_items"),
+            F.aggregate(left, F.lit(0).cast("bigint"), lambda a, s: a + s["token_count"]).alias("estimated_extra_tokens")
+        )
+    )
+    outline = F.transform(
+        "sections",
+        lambda s: F.struct(
+            s["heading"].alias("heading"), s["level"].alias("level"), s["anchor"].alias("anchor"), s["token_count"].alias("token_count"),
+            s["char_count"].alias("char_count")
+        )
+    )
     found = {
         "content": F.when(F.col("kept") == F.size("sections"), F.col("shown")).otherwise(content),
         "outline": outline,
@@ -199,12 +244,23 @@ def shaped(rows: DataFrame, budget: int | None) -> tuple[DataFrame, dict[str, Co
 
 
 def read_section(captures: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(key, anchor, markdown) for wanted (key, anchor) of stored captures; a null markdown is an unknown handle or anchor."""
-    rows = with_facts(captures, names=("sections",)).select(key, F.posexplode("facts.sections").alias("pos", "s")).select(key, "pos", "s.anchor", "s.markdown")
-    first = rows.groupBy(key, "anchor").agg(F.min_by("markdown", "pos").alias("markdown"))
+    """(key, anchor, markdown, token_count) for wanted (key, anchor) of stored captures; a null markdown is an unknown handle or anchor."""
+    rows = with_facts(captures, names=("sections",)).select(
+        key, F.posexplode("facts.sections").alias("pos", "s")
+    ).select(key, "pos", "s.anchor", "s.markdown", "s.token_count")
+    first = rows.groupBy(key, "anchor").agg(F.min_by("markdown", "pos").alias("markdown"), F.min_by("token_count", "pos").alias("token_count"))
     return wanted.join(first, [key, "anchor"], "left")
 
 
+def followed(captures: DataFrame, most: int = 2) -> DataFrame:
+    """Captures with ``landed``, the URL of the capture that a thin page's own redirect leads to, at most ``most`` times; itself where none does."""
+    hops = with_facts(captures, names=("redirect",)).select(
+        F.col("url").alias("from_url"), F.col("facts.redirect").alias("to_url")
+    ).where("to_url is not null")
+    ends = redirect_chain(captures.select("url").distinct(), hops, most).select("url", F.col("final").alias("landed"))
+    return captures.join(ends, "url", "left")
+
+
 def handle(url: Column, html: Column) -> Column:
     """A capture's stable handle."""
     return F.sha2(F.concat_ws("\n", url, html), 256)
@@ -213,4 +269,8 @@ def handle(url: Column, html: Column) -> Column:
 def violations(results: DataFrame) -> DataFrame:
     """Results that break an invariant: truncated if and only if something is omitted, core if and only if truncated, core with a cost."""
     cut = F.size("omitted") > 0
-    return results.where((F.col("truncated") != cut) | ((F.col("coverage") == "core") != F.col("truncated")) | (F.col("truncated") & F.col("cost_to_complete").isNull()))
+    return results.where(
+        (F.col("truncated") != cut) | ((F.col("coverage") == "core") != F.col("truncated")) | (
+            F.col("truncated") & F.col("cost_to_complete").isNull()
+        )
+    )

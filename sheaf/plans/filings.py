@@ -18,7 +18,9 @@ UNSEEN = r"(?is)<ix:(header|hidden)\b.*?</ix:\1>"
 def declared_size(document: Column, name: Column) -> Column:
     """The bytes that an index declares for a document; null where it declares none."""
     items = F.try_variant_get(F.try_parse_json(document), "$.directory.item", "array<variant>")
-    sizes = F.transform(F.filter(items, lambda i: F.try_variant_get(i, "$.name", "string") == name), lambda i: F.try_variant_get(i, "$.size", "string"))
+    sizes = F.transform(
+        F.filter(items, lambda i: F.try_variant_get(i, "$.name", "string") == name), lambda i: F.try_variant_get(i, "$.size", "string")
+    )
     return F.get(F.filter(sizes, lambda s: s.rlike("^[0-9]{1,18}$")), 0).cast("long")
 
 
@@ -31,12 +33,19 @@ def filing_records(captures: DataFrame, indexes: DataFrame | None = None, budget
     """
     have = set(captures.columns)
     rows = captures.withColumns({"final_url": F.col("final_url") if "final_url" in have else F.col("url"), "_raw": F.coalesce("html", F.lit(""))})
-    rows = rows.withColumns({"form": M.form_type(F.col("_raw")), "received": F.col("bytes").cast("long") if "bytes" in have else F.octet_length("_raw").cast("long"), "_index": sibling(F.col("final_url"), "index.json")})
+    rows = rows.withColumns(
+        {
+            "form": M.form_type(F.col("_raw")), "received": F.col("bytes").cast("long") if "bytes" in have else F.octet_length("_raw").cast("long"),
+            "_index": sibling(F.col("final_url"), "index.json")
+        }
+    )
     if indexes is None:
         rows = rows.withColumn("_document", F.lit(None).cast("string"))
     else:
         rows = rows.join(indexes.groupBy(F.col("url").alias("_index")).agg(F.min("document").alias("_document")), "_index", "left")
-    rows = rows.withColumns({"declared": declared_size(F.col("_document"), document_name(F.col("final_url"))), "html": F.regexp_replace("_raw", UNSEEN, "")})
+    rows = rows.withColumns(
+        {"declared": declared_size(F.col("_document"), document_name(F.col("final_url"))), "html": F.regexp_replace("_raw", UNSEEN, "")}
+    )
     rows = with_facts(rows, url="final_url", names=("markdown", "sections", "canonical", "error"))
     wanted, found = M.expected_items(F.col("form")), M.filing_items(F.col("facts.markdown"))
     rows = rows.withColumns({"missing": M.missing_items(wanted, found), "shown": F.col("facts.markdown"), "sections": F.col("facts.sections")})

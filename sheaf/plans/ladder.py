@@ -36,7 +36,11 @@ def judged_attempts(captures: DataFrame, covered: bool = False) -> DataFrame:
     kind = F.when(wrong["kind"].isin("retrieval", "extraction"), wrong["kind"]).otherwise(F.col("failure"))
     policy = header(have, POLICY).isNotNull()
     rows = rows.withColumns({"error": wrong, "failure": kind})
-    known = {"tier": F.col("tier"), "error": F.col("error.message"), "fetched": lost.isNull(), "extracted": lost.isNull() & ~refused, "failure": F.col("failure"), "status": F.when(F.col("error").isNull(), F.col("status")), "policy": policy, "blocked": blocked, "blank": blank, "shell": F.coalesce(looks_like_shell(F.col("html")), F.lit(False))}
+    known = {
+        "tier": F.col("tier"), "error": F.col("error.message"), "fetched": lost.isNull(), "extracted": lost.isNull() & ~refused,
+        "failure": F.col("failure"), "status": F.when(F.col("error").isNull(), F.col("status")), "policy": policy, "blocked": blocked, "blank": blank,
+        "shell": F.coalesce(looks_like_shell(F.col("html")), F.lit(False))
+    }
     return rows.withColumn("attempt", F.struct(*(known[k].alias(k) for k in FACTS)))
 
 
@@ -71,7 +75,9 @@ def read_ladder(captures: DataFrame, budget: int | None = None, key: str = "url"
     have = set(captures.columns)
     when = F.coalesce(F.col("fetched_at"), F.lit("")) if "fetched_at" in have else F.lit("")
     own = Window.partitionBy(key)
-    latest = judged_attempts(captures, covered).withColumn("_n", F.row_number().over(Window.partitionBy(key, "tier").orderBy(when.desc(), F.coalesce("html", F.lit(""))))).where("_n = 1")
+    latest = judged_attempts(captures, covered).withColumn(
+        "_n", F.row_number().over(Window.partitionBy(key, "tier").orderBy(when.desc(), F.coalesce("html", F.lit(""))))
+    ).where("_n = 1")
     of = lambda tier: F.max(F.when(F.col("tier") == tier, F.col("attempt"))).over(own)
     seen = latest.withColumns({"_static": of(STATIC), "_rendered": of(RENDERED), "_signed": of(SIGNED_IN), "_must": must})
     ranked = seen.withColumn("_choice", chosen_tier(F.col("_static"), F.col("_rendered"), F.col("_signed"), F.col("_must")))
@@ -79,12 +85,21 @@ def read_ladder(captures: DataFrame, budget: int | None = None, key: str = "url"
     tier = F.coalesce("_choice.tier", F.min("tier").over(own))
     kept = ranked.withColumn("_tier", tier).where(F.col("tier") == F.col("_tier"))
     closed = F.col("_must") & F.col("_signed").isNull()  # what must be read signed in is not read without
-    kept = kept.withColumns({"block": F.col("block").withField("auth_required", F.col("block.auth_required") | closed), "failure": F.when(closed, "auth").otherwise(F.col("failure"))})
+    kept = kept.withColumns(
+        {
+            "block": F.col("block").withField("auth_required", F.col("block.auth_required") | closed),
+            "failure": F.when(closed, "auth").otherwise(F.col("failure"))
+        }
+    )
     auth = F.col("failure") == "auth"
     kept = kept.withColumns(
         {
-            "evidence": F.when(closed, evidence(persistent_profile=F.lit(False))).when(F.col("_choice.policy"), F.concat("evidence", evidence(browser_policy=F.lit(False)))).otherwise(F.col("evidence")),
-            "reason": F.when(auth & (F.col("tier") == SIGNED_IN), "A sign-in is required, and the one that is stored did not clear the wall").when(auth, "A sign-in is required, and none is stored").otherwise(F.col("reason")),
+            "evidence": F.when(closed, evidence(persistent_profile=F.lit(False))).when(
+                F.col("_choice.policy"), F.concat("evidence", evidence(browser_policy=F.lit(False)))
+            ).otherwise(F.col("evidence")),
+            "reason": F.when(
+                auth & (F.col("tier") == SIGNED_IN), "A sign-in is required, and the one that is stored did not clear the wall"
+            ).when(auth, "A sign-in is required, and none is stored").otherwise(F.col("reason")),
             "status": F.when(auth | F.col("error").isNotNull(), "unknown").otherwise(F.col("status")),
         }
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sheaf.plans import attempt_queries, document_queries, outline_queries, page_queries, text_queries, verdict_queries
+from sheaf.plans import attempt_queries, document_queries, outline_queries, page_queries, reading_queries, text_queries, verdict_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (outline_queries, text_queries, attempt_queries, verdict_queries, page_queries, document_queries):
+for module in (outline_queries, text_queries, attempt_queries, verdict_queries, page_queries, document_queries, reading_queries):
     QUERIES |= module.queries.plans
     ORACLES |= module.queries.sql

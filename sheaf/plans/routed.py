@@ -16,6 +16,7 @@ from sheaf.operators.verdict import evidence
 from sheaf.plans.captures import EVIDENCE, as_results, check_budget, data_of, error, provenance_of, read_captures, sections_column, shaped
 from sheaf.plans.filings import filing_records
 from sheaf.plans.videos import video_records
+from sheaf.sources.workspace import workspace, written
 
 
 def thread_records(captures: DataFrame, budget: int | None = None) -> DataFrame:
@@ -34,7 +35,9 @@ def _thread_results(found: DataFrame, captures: DataFrame) -> DataFrame:
         evidence=F.when(bad, F.array().cast(EVIDENCE)).otherwise(F.array(F.struct(name.alias("name"), passed.alias("passed")))),
         provenance=provenance_of(set(captures.columns), F.lit(2), F.col("url")),
         structured_data=data_of(F.col("structured_data")),
-        cost_to_complete=F.when(F.col("cost_to_complete").isNotNull(), F.struct("cost_to_complete.remaining_items", "cost_to_complete.estimated_extra_tokens")),
+        cost_to_complete=F.when(
+            F.col("cost_to_complete").isNotNull(), F.struct("cost_to_complete.remaining_items", "cost_to_complete.estimated_extra_tokens")
+        ),
         failure=F.when(F.col("status") != "complete", "verification"),
         error=F.when(bad, error("policy", F.col("reason"))),
     )
@@ -49,10 +52,18 @@ def best_threads(captures: DataFrame, budget: int | None = None, order: str = "i
     by URL, combining in the map tasks; budgets cut before, row by row.
     """
     have = set(captures.columns)
-    rows = with_facts(captures, names=BLOCK_FACTS).withColumn("_blocked", block_signal(F.col("html"), F.col("facts"), F.col("http_status") if "http_status" in have else F.lit(None).cast("int"), F.col("final_url") if "final_url" in have else F.col("url"))["detected"])
+    rows = with_facts(captures, names=BLOCK_FACTS).withColumn(
+        "_blocked",
+        block_signal(
+            F.col("html"), F.col("facts"), F.col("http_status") if "http_status" in have else F.lit(None).cast("int"),
+            F.col("final_url") if "final_url" in have else F.col("url")
+        )["detected"]
+    )
     lost = F.col("error").isNotNull() if "error" in have else F.lit(False)
     code = F.col("http_status") if "http_status" in have else F.lit(200)
-    gate = F.when(lost, "it could not be captured").when(F.col("_blocked"), "it shows a block page").when(~F.coalesce(code, F.lit(200)).between(200, 299), "its status is no success")
+    gate = F.when(lost, "it could not be captured").when(F.col("_blocked"), "it shows a block page").when(
+        ~F.coalesce(code, F.lit(200)).between(200, 299), "its status is no success"
+    )
     plain = rows.withColumn("_gate", gate).drop("facts", "_blocked", "error")
     found = thread_results(plain, budget)
     captured, deeper = F.col("structured_data.captured_comment_count"), F.col("structured_data.deeper_reply_count")
@@ -67,10 +78,16 @@ def best_threads(captures: DataFrame, budget: int | None = None, order: str = "i
         F.sort_array(F.collect_list(F.when(gate.isNotNull(), F.struct(F.col(order).alias("at"), passed_over.alias("name"))))).alias("over"),
     )
     some = F.col("best").isNotNull()
-    rows = merged.select("url", "best.*", F.transform("over", lambda x: F.struct(x["name"].alias("name"), F.lit(False).alias("passed"))).alias("over"), some.alias("some"))
+    rows = merged.select(
+        "url", "best.*", F.transform("over", lambda x: F.struct(x["name"].alias("name"), F.lit(False).alias("passed"))).alias("over"),
+        some.alias("some")
+    )
     shown = captures.select("url", *(c for c in kept if c in have))
     results = _thread_results(rows.where("some"), shown)
-    none = as_results(rows.where("not some"), shown, reason=F.lit("No front end gave a thread that can be judged"), evidence=F.col("over").cast(EVIDENCE), provenance=provenance_of(have - {"http_status", "final_url", "fetched_at"}, F.lit(None).cast("int"), F.col("url")))
+    none = as_results(
+        rows.where("not some"), shown, reason=F.lit("No front end gave a thread that can be judged"), evidence=F.col("over").cast(EVIDENCE),
+        provenance=provenance_of(have - {"http_status", "final_url", "fetched_at"}, F.lit(None).cast("int"), F.col("url"))
+    )
     return results.unionByName(none)
 
 
@@ -79,15 +96,25 @@ def listing_records(captures: DataFrame, budget: int | None = None) -> DataFrame
     found = listing_results(captures).withColumnRenamed("content", "shown")
     rows, shape = shaped(found.withColumn("sections", sections_column(F.col("shown"))), budget)
     fields = ("title", "price", "description", "condition")
-    signals = F.array(*(F.struct(F.lit(f"listing_{f}").alias("name"), F.coalesce(F.trim(f"fields.{f}") != "", F.lit(False)).alias("passed")) for f in fields))
-    reason = F.when(F.col("status") == "complete", "Title, price, description and condition were captured").when(F.col("status") == "incomplete", "A field of the listing is missing").otherwise("No object of this listing was captured")
+    signals = F.array(
+        *(F.struct(F.lit(f"listing_{f}").alias("name"), F.coalesce(F.trim(f"fields.{f}") != "", F.lit(False)).alias("passed")) for f in fields)
+    )
+    reason = F.when(
+        F.col("status") == "complete", "Title, price, description and condition were captured"
+    ).when(F.col("status") == "incomplete", "A field of the listing is missing").otherwise("No object of this listing was captured")
     canonical = F.concat(F.lit("https://www.facebook.com/marketplace/item/"), F.col("item"))
-    return as_results(rows, captures, **shape, status=F.col("status"), reason=reason, evidence=signals, provenance=provenance_of(set(captures.columns), F.lit(0), canonical), structured_data=data_of(F.struct("item", "fields")))
+    return as_results(
+        rows, captures, **shape, status=F.col("status"), reason=reason, evidence=signals,
+        provenance=provenance_of(set(captures.columns), F.lit(0), canonical), structured_data=data_of(F.struct("item", "fields"))
+    )
 
 
 def withheld_records(captures: DataFrame, reason: Column | str, signal: str = "persistent_profile") -> DataFrame:
     """Captures that are not read without permission: an unknown status, no content and no structured data."""
-    return as_results(captures, captures, reason=F.lit(reason) if isinstance(reason, str) else reason, evidence=evidence(**{signal: F.lit(False)}), failure=F.lit("auth"))
+    return as_results(
+        captures, captures, reason=F.lit(reason) if isinstance(reason, str) else reason, evidence=evidence(**{signal: F.lit(False)}),
+        failure=F.lit("auth")
+    )
 
 
 def opt_in_records(captures: DataFrame, budget: int | None = None, opted_in: bool = False, profiles: Collection[str] = ()) -> DataFrame:
@@ -101,12 +128,26 @@ def opt_in_records(captures: DataFrame, budget: int | None = None, opted_in: boo
     known = domain.isin(*profiles) if profiles else F.lit(False)
     anonymous = (kind == "profile") & (F.coalesce(F.col("tier"), F.lit(1)) != 4) if "tier" in captures.columns else F.lit(False)
     allowed = F.lit(opted_in) & F.coalesce(known, F.lit(False)) & ~anonymous
-    missing = F.array_join(F.array_compact(F.array(F.when(F.lit(not opted_in), "its user opts in"), F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("a sign-in for "), domain, F.lit(" is stored"))), F.when(anonymous, "its capture is signed in"))), " and ")
-    closed = withheld_records(captures.where(~allowed), F.concat(F.lit("This page is a "), kind, F.lit(" and is read only when "), missing), "opt_in_policy")
+    missing = F.array_join(
+        F.array_compact(
+            F.array(
+                F.when(F.lit(not opted_in), "its user opts in"),
+                F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("a sign-in for "), domain, F.lit(" is stored"))),
+                F.when(anonymous, "its capture is signed in")
+            )
+        ),
+        " and "
+    )
+    closed = withheld_records(
+        captures.where(~allowed), F.concat(F.lit("This page is a "), kind, F.lit(" and is read only when "), missing), "opt_in_policy"
+    )
     return read_captures(captures.where(allowed), budget).unionByName(closed) if opted_in and profiles else closed
 
 
-def built_in(budget: int | None = None, indexes: DataFrame | None = None, tracks: DataFrame | None = None, opted_in: bool = False, profiles: Collection[str] = ()) -> Registry:
+def built_in(
+    budget: int | None = None, indexes: DataFrame | None = None, tracks: DataFrame | None = None, opted_in: bool = False,
+    profiles: Collection[str] = ()
+) -> Registry:
     """The registry whose threads, listings, filings, videos and pages behind sign-in have transforms of their own.
 
     ``indexes``, ``tracks``: see ``filing_records`` and ``video_records``. Works are read by
@@ -126,8 +167,12 @@ def built_in(budget: int | None = None, indexes: DataFrame | None = None, tracks
 def read_routed(captures: DataFrame, budget: int | None = None, registry: Registry | None = None) -> DataFrame:
     """One result for each capture by its recipe.
 
-    Each recipe with a transform is a branch that filters on ``recipe``. Write captures partitioned by that
-    column (``Registry.routed`` adds it) and each branch reads its own partition only, so all are read once.
+    Each recipe with a transform is a branch that reads its own captures only: they are written once, partitioned
+    by ``recipe``, to the shared folder, so no branch reads the pages of another. Captures that have the column,
+    as a table that is stored that way, are read as they are.
     """
     check_budget(budget)
-    return (registry or built_in(budget)).applied(captures, lambda rows: read_captures(rows, budget))
+    own = registry or built_in(budget)
+    if "recipe" not in captures.columns:
+        captures = written(own.routed(captures), f"{workspace(captures.sparkSession, 'routed')}/captures", "recipe")
+    return own.applied(captures, lambda rows: read_captures(rows, budget))

@@ -29,20 +29,28 @@ def normalize_space(spark, folder):
     return table(spark, folder, "documents").select("doc_id", X.normalize_space(F.col("text")).alias("squashed"))
 
 
-@queries("SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[`*_~\\[\\]()]', '', 'g')), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g')) AS heading FROM documents")
+@queries(
+    "SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[`*_~\\[\\]()]', '', 'g')), '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g')) AS heading FROM documents"
+)
 def heading_norm(spark, folder):
     return table(spark, folder, "documents").select("doc_id", X.normalize_heading(F.col("text")).alias("heading"))
 
 
-@queries("SELECT event_id, nullif(try_cast(regexp_replace(regexp_extract(props, '\\d[\\d,._ ]*'), '\\D', '', 'g') AS BIGINT), 0) AS count FROM events")
+@queries(
+    "SELECT event_id, nullif(try_cast(regexp_replace(regexp_extract(props, '\\d[\\d,._ ]*'), '\\D', '', 'g') AS BIGINT), 0) AS count FROM events"
+)
 def json_count(spark, folder):
     return table(spark, folder, "events").select("event_id", X.parse_positive_int(F.col("props")).alias("count"))
 
 
-@queries("SELECT o_orderkey, round_even(o_totalprice / 1000, 1) AS shown, round_even(round_even(o_totalprice / 1000, 1)::DOUBLE * 1000, 0)::BIGINT AS score FROM orders")
+@queries(
+    "SELECT o_orderkey, round_even(o_totalprice / 1000, 1) AS shown, round_even(round_even(o_totalprice / 1000, 1)::DOUBLE * 1000, 0)::BIGINT AS score FROM orders"
+)
 def score_parse(spark, folder):
     shown = F.bround(F.col("o_totalprice") / 1000, 1)
-    return table(spark, folder, "orders").select("o_orderkey", shown.alias("shown"), X.parse_score(F.concat(shown.cast("string"), F.lit("k"))).alias("score"))
+    return table(spark, folder, "orders").select(
+        "o_orderkey", shown.alias("shown"), X.parse_score(F.concat(shown.cast("string"), F.lit("k"))).alias("score")
+    )
 
 
 @queries("SELECT DISTINCT event_type, len(event_type) AS length FROM events")
@@ -51,11 +59,15 @@ def event_types(spark, folder):
 
 
 @queries("""SELECT page_id, regexp_replace(url, '^(https?)://(?:[^/@]*@)?([^/?#]*)([^?#]*).*$', '\\1://\\2\\3') AS public_url,
-lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, array_to_string(list_slice(string_split(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '.'), -2, -1), '.') AS registrable,
+lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host, array_to_string(list_slice(string_split(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '.'), -2, -1), '.')
+AS registrable,
 regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1) AS document, true AS is_http FROM pages""")
 def public_url(spark, folder):
     u = F.col("url")
-    return table(spark, folder, "pages").select("page_id", U.public_url(u).alias("public_url"), U.hostname(u).alias("host"), U.registrable_domain(u).alias("registrable"), U.document_name(u).alias("document"), U.is_http_url(u).alias("is_http"))
+    return table(spark, folder, "pages").select(
+        "page_id", U.public_url(u).alias("public_url"), U.hostname(u).alias("host"), U.registrable_domain(u).alias("registrable"),
+        U.document_name(u).alias("document"), U.is_http_url(u).alias("is_http")
+    )
 
 
 def _page_parts(url: str, name: str) -> str:
@@ -75,17 +87,23 @@ SELECT page_id, candidate, url <> candidate AND a_rest = b_rest AND (
   OR (a_base <> '' AND a_base = b_base AND b_base <> b_path) OR regexp_full_match(substr(b_path, length(a_path) + 1), '/page/[1-9]\\d*') AND starts_with(b_path, a_path)) AS same_resource FROM k""")
 def page_resource(spark, folder):
     base = F.regexp_replace("url", "[?#].*$", "")
-    made = F.array(F.concat(base, F.lit("?page=2")), F.concat(base, F.lit("?page=0")), F.concat(base, F.lit("?page=2&ref=x")), F.concat(base, F.lit("/page/3")), F.concat(base, F.lit("?q=1")), F.col("url"))
+    made = F.array(
+        F.concat(base, F.lit("?page=2")), F.concat(base, F.lit("?page=0")), F.concat(base, F.lit("?page=2&ref=x")), F.concat(base, F.lit("/page/3")),
+        F.concat(base, F.lit("?q=1")), F.col("url")
+    )
     rows = table(spark, folder, "pages").select("page_id", "url", F.explode(made).alias("candidate"))
     return rows.select("page_id", "candidate", U.same_resource_page(F.col("url"), F.col("candidate")).alias("same_resource"))
 
 
 @queries("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'pmcid' WHEN 3 THEN 'pmid' ELSE NULL END AS kind,
-CASE page_id % 5 WHEN 0 THEN '10.1234/abc.' || page_id WHEN 1 THEN '2101.' || (10000 + page_id) WHEN 2 THEN 'PMC' || (10000 + page_id) WHEN 3 THEN '' || (10000 + page_id) ELSE NULL END AS value,
+CASE page_id % 5 WHEN 0 THEN '10.1234/abc.' || page_id WHEN 1 THEN '2101.' || (10000 + page_id) WHEN 2 THEN 'PMC' || (10000 + page_id) WHEN 3 THEN '' || (10000 + page_id) ELSE NULL
+END AS value,
 CASE page_id % 5 WHEN 0 THEN 'https://doi.org/10.1234/abc.' || page_id WHEN 1 THEN 'https://arxiv.org/abs/2101.' || (10000 + page_id) WHEN 2 THEN 'https://europepmc.org/articles/PMC' || (10000 + page_id) WHEN 3 THEN 'https://pubmed.ncbi.nlm.nih.gov/' || (10000 + page_id) || '/' ELSE NULL END AS resolver FROM pages""")
 def identifier(spark, folder):
     p, n = F.col("page_id"), (F.col("page_id") + 10000).cast("string")
-    given = F.when(p % 5 == 0, F.concat(F.lit("see DOI: 10.1234/ABC."), p.cast("string"), F.lit(")."))).when(p % 5 == 1, F.concat(F.lit("https://arxiv.org/abs/2101."), n, F.lit("v3"))).when(p % 5 == 2, F.concat(F.lit("pmc"), n)).when(p % 5 == 3, F.concat(F.lit("PMID: "), n)).otherwise("nothing here")
+    given = F.when(
+        p % 5 == 0, F.concat(F.lit("see DOI: 10.1234/ABC."), p.cast("string"), F.lit(")."))
+    ).when(p % 5 == 1, F.concat(F.lit("https://arxiv.org/abs/2101."), n, F.lit("v3"))).when(p % 5 == 2, F.concat(F.lit("pmc"), n)).when(p % 5 == 3, F.concat(F.lit("PMID: "), n)).otherwise("nothing here")
     rows = table(spark, folder, "pages").select("page_id", I.identifier(given).alias("i"))
     return rows.select("page_id", "i.kind", "i.value", I.resolver_url(F.col("i.kind"), F.col("i.value")).alias("resolver"))
 
@@ -93,7 +111,9 @@ def identifier(spark, folder):
 @queries("""SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS first, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey::VARCHAR ELSE l_suppkey::VARCHAR END AS last,
 CASE WHEN l_linenumber % 2 = 0 THEN 1 WHEN l_suppkey >= l_partkey THEN (l_suppkey - l_partkey + 1)::INT END AS pages FROM lineitem""")
 def page_range(spark, folder):
-    text = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey").cast("string")).otherwise(F.concat_ws("–", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")))
+    text = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey").cast("string")).otherwise(
+        F.concat_ws("–", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    )
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", X.page_range(text).alias("r"))
     return rows.select("l_orderkey", "l_linenumber", "r.first", "r.last", X.page_extent(F.col("r.first"), F.col("r.last")).alias("pages"))
 
@@ -113,13 +133,22 @@ def error_status(spark, folder):
 @queries("""SELECT l_orderkey, max(l_partkey % 2000)::BIGINT AS references_found FROM lineitem GROUP BY l_orderkey""")
 def reference_count(spark, folder):
     """Each order's lines as the numbered references of a paper."""
-    line = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "[").otherwise(""), (F.col("l_partkey") % 2000).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "] ").otherwise(". "), F.lit("Someone, a title of 1999"))
-    texts = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("# Paper\n\n99. Not one\n\n## References\n\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n\n## Notes\n\n9999. Not one")).alias("text"))
+    line = F.concat(
+        F.when(F.col("l_linenumber") % 2 == 0, "[").otherwise(""), (F.col("l_partkey") % 2000).cast("string"),
+        F.when(F.col("l_linenumber") % 2 == 0, "] ").otherwise(". "), F.lit("Someone, a title of 1999")
+    )
+    texts = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.concat(
+            F.lit("# Paper\n\n99. Not one\n\n## References\n\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n\n## Notes\n\n9999. Not one")
+        ).alias("text")
+    )
     return texts.select("l_orderkey", bibliography_count(F.col("text")).cast("long").alias("references_found"))
 
 
-@queries("""WITH u AS (SELECT page_id, unnest(['/IN', '/company', '/pulse', '/school', '/posts/a-activity', '/posts/a-activity-12', '/feed/update', '/Feed/Update', '/jobs/in']) || regexp_extract(url, '^https?://[^/]*(.*)$', 1) AS path FROM pages)
-SELECT page_id, path, CASE WHEN regexp_matches(lower(path), '/in/[^/?#]+([/?#]|$)') THEN 'profile' WHEN regexp_matches(lower(path), '/company/[^/?#]') THEN 'company' WHEN regexp_matches(lower(path), '/pulse/[^/?#]') THEN 'pulse'
+@queries("""WITH u AS (SELECT page_id, unnest(['/IN', '/company', '/pulse', '/school', '/posts/a-activity', '/posts/a-activity-12', '/feed/update', '/Feed/Update',
+'/jobs/in']) || regexp_extract(url, '^https?://[^/]*(.*)$', 1) AS path FROM pages)
+SELECT page_id, path, CASE WHEN regexp_matches(lower(path), '/in/[^/?#]+([/?#]|$)') THEN 'profile' WHEN regexp_matches(lower(path), '/company/[^/?#]') THEN 'company'
+WHEN regexp_matches(lower(path), '/pulse/[^/?#]') THEN 'pulse'
 WHEN regexp_matches(lower(path), '/posts/[^?#]*[-_]activity-[0-9]') OR contains(path, '/feed/update/') THEN 'post' ELSE 'other' END AS kind FROM u""")
 def social_class(spark, folder):
     starts = ("/IN", "/company", "/pulse", "/school", "/posts/a-activity", "/posts/a-activity-12", "/feed/update", "/Feed/Update", "/jobs/in")
@@ -128,10 +157,14 @@ def social_class(spark, folder):
     return rows.select("page_id", "path", U.linkedin_class(F.concat(F.lit("https://www.example.com"), F.col("path"))).alias("kind"))
 
 
-@queries("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'https://example.com/' WHEN 1 THEN 'http://host' || s_suppkey || '.example/a' ELSE NULL END AS site FROM supplier""")
+@queries(
+    """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'https://example.com/' WHEN 1 THEN 'http://host' || s_suppkey || '.example/a' ELSE NULL END AS site FROM supplier"""
+)
 def site_url(spark, folder):
     k = F.col("s_suppkey")
-    value = F.when(k % 3 == 0, "Example.com").when(k % 3 == 1, F.concat(F.lit("http://host"), k.cast("string"), F.lit(".example/a?x=1"))).otherwise("https://user:secret@example.com/")
+    value = F.when(k % 3 == 0, "Example.com").when(
+        k % 3 == 1, F.concat(F.lit("http://host"), k.cast("string"), F.lit(".example/a?x=1"))
+    ).otherwise("https://user:secret@example.com/")
     return table(spark, folder, "supplier").select("s_suppkey", U.normalize_site(value).alias("site"))
 
 
@@ -144,4 +177,6 @@ def contact_free_url(spark, folder):
 @queries("""SELECT doc_id, (SELECT string_agg(CASE WHEN lower(trim(x)) IN ('methods', 'results') THEN '## ' || trim(x) ELSE x END, chr(10) ORDER BY i) FROM
 (SELECT unnest(string_split('Methods' || chr(10) || text || chr(10) || ' Results ', chr(10))) AS x, unnest(range(1, len(string_split('Methods' || chr(10) || text || chr(10) || ' Results ', chr(10))) + 1)) AS i)) AS promoted FROM documents""")
 def promoted_headings(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.promote_headings(F.concat(F.lit("Methods\n"), F.col("text"), F.lit("\n Results "))).alias("promoted"))
+    return table(spark, folder, "documents").select(
+        "doc_id", X.promote_headings(F.concat(F.lit("Methods\n"), F.col("text"), F.lit("\n Results "))).alias("promoted")
+    )

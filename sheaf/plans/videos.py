@@ -23,7 +23,9 @@ def video_records(captures: DataFrame, tracks: DataFrame | None = None, budget:
     """
     rows = captures.withColumns({"video": video_id(F.col("url")), "_info": F.try_parse_json("html")})
     if tracks is None:
-        rows = rows.withColumn("tracks", F.lit(None).cast(f"array<struct<{TRACKS.replace('video string, ', '').replace(' ', ':').replace(',:', ',')}>>"))
+        rows = rows.withColumn(
+            "tracks", F.lit(None).cast(f"array<struct<{TRACKS.replace('video string, ', '').replace(' ', ':').replace(',:', ',')}>>")
+        )
     else:
         one = F.struct(*(F.col(c.split()[0]) for c in TRACKS.split(", ")[1:]))
         listed = tracks.groupBy("video").agg(F.sort_array(F.collect_list(one)).alias("tracks"))
@@ -33,14 +35,35 @@ def video_records(captures: DataFrame, tracks: DataFrame | None = None, budget:
     rows = rows.withColumns({"track": chosen_track(there), "title": F.nullif(F.trim(get("$.title")), F.lit(""))})
     text = F.array_join(F.filter(F.transform("track.snippets", lambda t: F.trim(t)), lambda t: t != ""), " ")
     unread = F.coalesce(F.exists("tracks", lambda t: t["error"].isNotNull()) & F.col("track.snippets").isNull(), F.lit(False))
-    rows = rows.withColumns({"transcript": F.coalesce(text, F.lit("")), "heard": F.when(F.col("tracks").isNull() | unread, None).otherwise(F.coalesce(text, F.lit("")) != "")})
-    chapters = F.transform(get("$.chapters", "array<variant>"), lambda c: F.struct(F.try_variant_get(c, "$.start_time", "double").alias("start_time"), F.try_variant_get(c, "$.title", "string").alias("title")))
+    rows = rows.withColumns(
+        {
+            "transcript": F.coalesce(text, F.lit("")),
+            "heard": F.when(F.col("tracks").isNull() | unread, None).otherwise(F.coalesce(text, F.lit("")) != "")
+        }
+    )
+    chapters = F.transform(
+        get("$.chapters", "array<variant>"),
+        lambda c: F.struct(
+            F.try_variant_get(c, "$.start_time", "double").alias("start_time"), F.try_variant_get(c, "$.title", "string").alias("title")
+        )
+    )
     bad = F.col("video").isNull()
-    rows = rows.withColumns({"shown": F.when(bad, "").otherwise(video_markdown(F.col("title"), F.col("video"), get("$.description"), chapters, F.col("transcript"))), "signals": V.evidence(player_metadata=F.col("title").isNotNull(), caption_track=F.col("heard"))})
+    rows = rows.withColumns(
+        {
+            "shown": F.when(bad, "").otherwise(video_markdown(F.col("title"), F.col("video"), get("$.description"), chapters, F.col("transcript"))),
+            "signals": V.evidence(player_metadata=F.col("title").isNotNull(), caption_track=F.col("heard"))
+        }
+    )
     rows, shape = shaped(rows.withColumn("sections", sections_column(F.col("shown"))), budget)
     status = F.when(bad, "unknown").otherwise(V.strict_status(F.col("signals")))
-    reason = F.when(bad, "The URL names no video").when(status == "complete", "The player's metadata and a caption track agree").when(status == "incomplete", "The title or a transcript is missing").otherwise("The transcript can't be judged")
-    fields = {"channel": F.coalesce(get("$.channel"), get("$.uploader")), "upload_date": get("$.upload_date"), "duration_seconds": get("$.duration", "double"), "view_count": get("$.view_count", "long"), "like_count": get("$.like_count", "long"), "reported_comment_count": get("$.comment_count", "long")}
+    reason = F.when(bad, "The URL names no video").when(
+        status == "complete", "The player's metadata and a caption track agree"
+    ).when(status == "incomplete", "The title or a transcript is missing").otherwise("The transcript can't be judged")
+    fields = {
+        "channel": F.coalesce(get("$.channel"), get("$.uploader")), "upload_date": get("$.upload_date"),
+        "duration_seconds": get("$.duration", "double"), "view_count": get("$.view_count", "long"), "like_count": get("$.like_count", "long"),
+        "reported_comment_count": get("$.comment_count", "long")
+    }
     return as_results(
         rows,
         captures,

@@ -26,7 +26,10 @@ def html_files(spark: SparkSession, path: str, base: str, most: int = MOST_BYTES
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
     fits = F.col("length") <= most
-    return files.select(F.concat(F.lit(base), name).alias("url"), F.when(fits, F.decode("content", "UTF-8")).alias("html"), F.when(~fits, F.struct(F.lit("retrieval").alias("kind"), F.lit("the body is too long").alias("message"))).alias("error"))
+    return files.select(
+        F.concat(F.lit(base), name).alias("url"), F.when(fits, F.decode("content", "UTF-8")).alias("html"),
+        F.when(~fits, F.struct(F.lit("retrieval").alias("kind"), F.lit("the body is too long").alias("message"))).alias("error")
+    )
 
 
 def capture_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -45,7 +48,10 @@ def service_documents(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path)
     v = F.try_parse_json("value")
     bad = v.isNull()
-    return rows.select(F.try_variant_get(v, "$.key", "string").alias("key"), F.try_variant_get(v, "$.service", "string").alias("service"), F.to_json(F.try_variant_get(v, "$.document", "variant")).alias("document"), F.when(bad, F.col("value")).alias("error"))
+    return rows.select(
+        F.try_variant_get(v, "$.key", "string").alias("key"), F.try_variant_get(v, "$.service", "string").alias("service"),
+        F.to_json(F.try_variant_get(v, "$.document", "variant")).alias("document"), F.when(bad, F.col("value")).alias("error")
+    )
 
 
 def as_json(results: DataFrame) -> DataFrame:

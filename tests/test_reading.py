@@ -5,17 +5,21 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf import api, cli
 from sheaf.functions import text as X
 from sheaf.operators import dom as D
 from sheaf.operators import manifests as M
 from sheaf.operators import outline as O
+from sheaf.operators import recipes
 from sheaf.operators import verdict as V
-from sheaf.plans.captures import read_captures, violations
+from sheaf.operators.recipes import Recipe
+from sheaf.plans.captures import followed, read_captures, violations
 from sheaf.plans.filings import filing_records
 from sheaf.plans.ladder import read_ladder
 from sheaf.plans.routed import best_threads, opt_in_records, read_routed
 from sheaf.plans.scholarly import read_works
 from sheaf.plans.videos import TRACKS, video_records
+from sheaf.sources.captures import html_files
 
 HOSTILE = [
     "<div>" * 2000 + "x",
@@ -244,3 +248,74 @@ def test_routed_results_keep_every_capture(spark):
     rows = spark.createDataFrame([(u, ARTICLE) for u in urls], "url string, html string")
     results = read_routed(rows, budget=100)
     assert results.count() == len(urls) and violations(results).isEmpty()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    rows = spark.createDataFrame([("https://h.org/a", ARTICLE), ("https://h.org/b", SIGN_IN)], "url string, html string")
+    rows.write.parquet(f"{tmp_path}/captures")
+    assert cli.main([f"{tmp_path}/captures", f"{tmp_path}/out", "--json", "--budget", "50"], spark) == 0
+    found = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/out").collect()]
+    assert {r["url"]: r["truncated"] for r in found} == {"https://h.org/a": True, "https://h.org/b": False}
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "one.html").write_text(ARTICLE)
+    assert cli.main(["extract", f"{tmp_path}/pages", f"{tmp_path}/extracted", "--url", "https://h.org/"], spark) == 0
+    row = spark.read.parquet(f"{tmp_path}/extracted").first()
+    assert row["provenance"]["tier"] is None and row["evidence"][-1]["name"] == "supplied_html" and row["url"] == "https://h.org/one.html"
+    handles = api.snapshots(rows).select("handle", "url")
+    known = {r["url"]: r["handle"] for r in handles.collect()}
+    wanted = [(known["https://h.org/a"], "more"), (known["https://h.org/a"], "none"), ("unknown", "more"), (known["https://h.org/a"], "more")]
+    spark.createDataFrame(wanted, "handle string, anchor string").write.parquet(f"{tmp_path}/wanted")
+    cli.main(["section", f"{tmp_path}/captures", f"{tmp_path}/wanted", f"{tmp_path}/sections"], spark)
+    errors = {(r["handle"] == "unknown", r["anchor"]): r["error"] for r in spark.read.parquet(f"{tmp_path}/sections").collect()}
+    assert errors == {(False, "more"): None, (False, "none"): "the page has no such section", (True, "more"): "the handle is not known"}
+    cli.main(["more", f"{tmp_path}/captures", f"{tmp_path}/wanted", f"{tmp_path}/more"], spark)
+    assert not spark.read.parquet(f"{tmp_path}/more").first()["truncated"]
+    for bad in (["read", f"{tmp_path}/captures", f"{tmp_path}/x", "--budget", "-1"], [f"{tmp_path}/nowhere", f"{tmp_path}/x"], [f"{tmp_path}/captures", f"{tmp_path}/out"]):
+        with pytest.raises(SystemExit) as stop:
+            cli.main(bad, spark)
+        assert stop.value.code
+    rows.withColumn("tier", F.lit(1)).write.parquet(f"{tmp_path}/tiers")
+    cli.main(["read", f"{tmp_path}/tiers", f"{tmp_path}/closed", "--tiers", "--signed-in"], spark)
+    assert {r["content"] for r in spark.read.parquet(f"{tmp_path}/closed").collect()} == {""}
+
+
+def test_files_over_the_limit_are_results_with_an_error(spark, tmp_path):
+    (tmp_path / "a.html").write_text("x" * 100)
+    (tmp_path / "b.html").write_text("<p>y</p>")
+    found = {r["url"]: r for r in api.extract_files(html_files(spark, str(tmp_path), "https://h.org/", most=50)).collect()}
+    assert found["https://h.org/a.html"]["error"]["kind"] == "retrieval" and found["https://h.org/b.html"]["content"] == "y"
+    with pytest.raises(TypeError):
+        api.extract_html(spark, None, "https://h.org/")
+
+
+def test_redirects_of_thin_pages_are_followed(spark):
+    thin = '<html><head><meta http-equiv="refresh" content="0; url={}"></head><body>moved</body></html>'
+    rows = spark.createDataFrame([("https://h.org/a", thin.format("/b")), ("https://h.org/b", thin.format("/c")), ("https://h.org/c", ARTICLE), ("https://h.org/loop", thin.format("/loop"))], "url string, html string")
+    assert {r["url"][-1]: r["landed"][14:] for r in followed(rows).collect()} == {"a": "c", "b": "c", "c": "c", "p": "loop"}
+
+
+def test_slugs_of_any_script(spark):
+    given = {"Éa ﬁne ½ ①": "ea-fine-12-1", "Ｆｕｌｌ": "full", "日本": "section", "Straße": "strae", "*Bold* `x`": "bold-x"}
+    row = spark.range(1).select(*(X.slugify(F.lit(t)).alias(f"s{k}") for k, t in enumerate(given))).first()
+    assert list(row) == list(given.values()) and [D.slug(t) for t in given] == list(given.values())
+    assert X.tokenizer_backend() == "utf8-bytes/4"
+
+
+def test_recipes_of_installed_packages_are_loaded_when_asked_for(spark, monkeypatch):
+    class Point:
+        def __init__(self, loaded):
+            self.load = lambda: loaded
+
+    own = Recipe("own", 200, (r"^https://own\.org/",))
+    monkeypatch.setattr(recipes, "entry_points", lambda group: [Point(own), Point([Recipe("reddit", 1, (r"never",))])] if group == "sheaf.recipes" else [])
+    found = recipes.Registry().discovered()
+    rows = spark.createDataFrame([("https://own.org/x",), ("https://www.reddit.com/r/a/comments/b",), ("10.1234/abc",), ("https://gut.bmj.com/content/1",), ("12345",)], "url string")
+    assert [r["recipe"] for r in found.routed(rows).collect()] == ["own", "reddit", "academic", "academic", "generic"]
+    with pytest.raises(TypeError):
+        recipes.Registry().added("no recipe")
+
+
+def test_hostile_threads_and_listings_are_rows(spark):
+    bad = ["<div class='comment'><p class='comment_score'>" + "9" * 500 + "</p><div class='comment_body'>x</div></div>", "<p>" + "9" * 400 + " comments</p>", "<script type='application/json'>marketplace_listing_title" + "[" * 90000 + "</script>"]
+    rows = spark.createDataFrame([(u, h) for h in bad for u in ("https://www.reddit.com/r/a/comments/b", "https://www.facebook.com/marketplace/item/7")], "url string, html string")
+    assert read_routed(rows).count() == 6
