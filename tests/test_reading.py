@@ -19,7 +19,8 @@ from sheaf.plans.ladder import read_ladder
 from sheaf.plans.routed import best_threads, opt_in_records, read_routed
 from sheaf.plans.scholarly import read_works
 from sheaf.plans.videos import TRACKS, video_records
-from sheaf.sources.captures import html_files
+from sheaf.sources.captures import as_text, html_files, service_documents
+from sheaf.streaming.captures import latest_status
 
 HOSTILE = [
     "<div>" * 2000 + "x",
@@ -319,3 +320,28 @@ def test_hostile_threads_and_listings_are_rows(spark):
     bad = ["<div class='comment'><p class='comment_score'>" + "9" * 500 + "</p><div class='comment_body'>x</div></div>", "<p>" + "9" * 400 + " comments</p>", "<script type='application/json'>marketplace_listing_title" + "[" * 90000 + "</script>"]
     rows = spark.createDataFrame([(u, h) for h in bad for u in ("https://www.reddit.com/r/a/comments/b", "https://www.facebook.com/marketplace/item/7")], "url string, html string")
     assert read_routed(rows).count() == 6
+
+
+def test_outline_heads_and_texts(spark):
+    text = "# One\n\n| a | b |\n| --- | --- |\n\n## Two\n```\nx\n```\n[next](/2)\n"
+    rows = O.outline(O.sections(spark.createDataFrame([(1, text)], "doc int, markdown string")))
+    head = rows.select(O.rendered_head(F.col("sections"), F.lit(40), O.flags(F.lit(text))).alias("t")).first()["t"]
+    assert head.splitlines() == ["# Outline", "", "Approximate tokens: 40", "Content flags: tables, code, pagination", "", "- One [#one] (8 approx. tokens, 32 chars)", "  - Two [#two] (7 approx. tokens, 28 chars)"]
+    none = spark.range(1).select(O.rendered_head(F.array().cast("array<struct<heading:string,level:int,anchor:string,token_count:bigint,char_count:int>>"), F.lit(0), O.flags(F.lit("x"))).alias("t")).first()["t"]
+    assert none.endswith("Content flags: none\n\n(No sections extracted)")
+    result = read_captures(spark.createDataFrame([("https://h.org/a", ARTICLE)], "url string, html string"))
+    shown = result.select(as_text(F.col("outline"), F.col("content"), F.col("status")).alias("t")).first()["t"]
+    assert "- Head [#head]" in shown and "\n\nCompleteness: complete\n\n# Head" in shown
+
+
+def test_newest_status_of_each_window(spark):
+    rows = [("u", "incomplete", "2024-01-01T00:10:00Z"), ("u", "complete", "2024-01-01T00:50:00Z"), ("u", "unknown", "2024-01-01T01:10:00Z"), ("v", "unknown", "2024-01-01T00:20:00Z")]
+    df = spark.createDataFrame([(u, s, (t,)) for u, s, t in rows], "url string, status string, provenance struct<fetched_at:string>")
+    found = latest_status(df).orderBy("url", "at").collect()
+    assert [(r["url"], r["status"]) for r in found] == [("u", "complete"), ("u", "unknown"), ("v", "unknown")]
+
+
+def test_service_answers_of_any_kind_are_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"key": "k", "service": "crossref", "document": {"a": 1}}\nnot json\n{"key": 5}\n')
+    found = sorted((r["key"] or "", r["service"] or "", r["document"] or "", r["error"] or "") for r in service_documents(spark, str(tmp_path)).collect())
+    assert found == [("", "", "", "not json"), ("5", "", "", ""), ("k", "crossref", '{"a":1}', "")]
