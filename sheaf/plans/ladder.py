@@ -65,8 +65,10 @@ def read_ladder(captures: DataFrame, budget: int | None = None, key: str = "url"
     """One result for each ``key``, of the tier that counts: the columns of ``read_captures``, ``next_tier`` and ``completion``.
 
     ``captures`` has url, html and ``tier`` (1 static, 2 rendered, 4 signed in); of several of one tier the one of
-    the greatest ``fetched_at`` counts. An ``error`` column tells that a capture failed. ``required``: whether a
-    URL is read signed in or not at all. One shuffle by key serves the choice: the attempts at one URL are few.
+    the greatest ``fetched_at`` counts, and rows of other tiers take no part. An ``error`` column tells that a
+    capture failed. ``required``: whether a URL is read signed in or not at all. One aggregation by key, which
+    combines in the map tasks, brings a key's attempts together as they were captured; they are parsed after it, and
+    the choice needs no other shuffle.
     """
     check_budget(budget)
     if "error" in captures.columns:
@@ -75,9 +77,10 @@ def read_ladder(captures: DataFrame, budget: int | None = None, key: str = "url"
     have = set(captures.columns)
     when = F.coalesce(F.col("fetched_at"), F.lit("")) if "fetched_at" in have else F.lit("")
     own = Window.partitionBy(key)
-    latest = judged_attempts(captures, covered).withColumn(
-        "_n", F.row_number().over(Window.partitionBy(key, "tier").orderBy(when.desc(), F.coalesce("html", F.lit(""))))
-    ).where("_n = 1")
+    rest = F.struct(*(c for c in captures.columns if c != key))
+    newest = [F.max_by(rest, F.when(F.col("tier") == t, F.struct(when, F.coalesce("html", F.lit(""))))) for t in (STATIC, RENDERED, SIGNED_IN)]
+    few = captures.groupBy(key).agg(F.array_compact(F.array(*newest)).alias("_tries")).select(key, F.explode("_tries").alias("_c"))
+    latest = judged_attempts(few.select(key, "_c.*").select(*captures.columns), covered)
     of = lambda tier: F.max(F.when(F.col("tier") == tier, F.col("attempt"))).over(own)
     seen = latest.withColumns({"_static": of(STATIC), "_rendered": of(RENDERED), "_signed": of(SIGNED_IN), "_must": must})
     ranked = seen.withColumn("_choice", chosen_tier(F.col("_static"), F.col("_rendered"), F.col("_signed"), F.col("_must")))

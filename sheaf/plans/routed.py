@@ -13,7 +13,7 @@ from sheaf.operators.dom import BLOCK_FACTS, block_signal, with_facts
 from sheaf.operators.media import listing_results
 from sheaf.operators.recipes import Recipe, Registry
 from sheaf.operators.verdict import evidence
-from sheaf.plans.captures import EVIDENCE, as_results, check_budget, data_of, error, provenance_of, read_captures, sections_column, shaped
+from sheaf.plans.captures import ERROR, EVIDENCE, OUTLINE, as_results, check_budget, data_of, error, provenance_of, read_captures, sections_column, shaped
 from sheaf.plans.filings import filing_records
 from sheaf.plans.videos import video_records
 from sheaf.sources.workspace import workspace, written
@@ -24,22 +24,28 @@ def thread_records(captures: DataFrame, budget: int | None = None) -> DataFrame:
     return _thread_results(thread_results(captures, budget), captures)
 
 
-def _thread_results(found: DataFrame, captures: DataFrame) -> DataFrame:
+def _thread_results(found: DataFrame, captures: DataFrame, passed_over: Column | None = None) -> DataFrame:
+    """``passed_over``: the evidence of rows without a thread; without it such rows are errors."""
     bad, deeper = F.col("structured_data").isNull(), F.col("structured_data.deeper_reply_count")
-    passed = F.when(F.col("status") == "complete", True).when(F.col("status") == "incomplete", False)
-    name = F.when((F.col("status") == "incomplete") & (deeper == 0), "redlib_comment_count").otherwise("redlib_deeper_replies")
+    status = F.coalesce("status", F.lit("unknown"))
+    passed = F.when(status == "complete", True).when(status == "incomplete", False)
+    name = F.when((status == "incomplete") & (deeper == 0), "redlib_comment_count").otherwise("redlib_deeper_replies")
+    none = {"content": F.lit(""), "outline": F.array().cast(OUTLINE), "coverage": F.lit("full"), "truncated": F.lit(False)}
+    none |= {"omitted": F.array().cast("array<string>"), "reason": F.lit("No front end gave a thread that can be judged")}
+    over = F.array().cast(EVIDENCE) if passed_over is None else passed_over.cast(EVIDENCE)
     return as_results(
         found,
         captures,
-        **{c: F.col(c) for c in ("content", "outline", "status", "reason", "coverage", "truncated", "omitted")},
-        evidence=F.when(bad, F.array().cast(EVIDENCE)).otherwise(F.array(F.struct(name.alias("name"), passed.alias("passed")))),
-        provenance=provenance_of(set(captures.columns), F.lit(2), F.col("url")),
+        **{c: F.coalesce(c, value) for c, value in none.items()},
+        status=status,
+        evidence=F.when(bad, over).otherwise(F.array(F.struct(name.alias("name"), passed.alias("passed")))),
+        provenance=provenance_of(set(captures.columns), F.lit(2) if passed_over is None else F.when(~bad, 2), F.col("url")),
         structured_data=data_of(F.col("structured_data")),
         cost_to_complete=F.when(
             F.col("cost_to_complete").isNotNull(), F.struct("cost_to_complete.remaining_items", "cost_to_complete.estimated_extra_tokens")
         ),
-        failure=F.when(F.col("status") != "complete", "verification"),
-        error=F.when(bad, error("policy", F.col("reason"))),
+        failure=F.when(status != "complete", "verification"),
+        error=F.lit(None).cast(ERROR) if passed_over is not None else F.when(bad, error("policy", F.col("reason"))),
     )
 
 
@@ -77,18 +83,9 @@ def best_threads(captures: DataFrame, budget: int | None = None, order: str = "i
         F.max_by(F.struct(*kept), F.when(gate.isNull(), best)).alias("best"),
         F.sort_array(F.collect_list(F.when(gate.isNotNull(), F.struct(F.col(order).alias("at"), passed_over.alias("name"))))).alias("over"),
     )
-    some = F.col("best").isNotNull()
-    rows = merged.select(
-        "url", "best.*", F.transform("over", lambda x: F.struct(x["name"].alias("name"), F.lit(False).alias("passed"))).alias("over"),
-        some.alias("some")
-    )
+    over = F.transform("over", lambda x: F.struct(x["name"].alias("name"), F.lit(False).alias("passed")))
     shown = captures.select("url", *(c for c in kept if c in have))
-    results = _thread_results(rows.where("some"), shown)
-    none = as_results(
-        rows.where("not some"), shown, reason=F.lit("No front end gave a thread that can be judged"), evidence=F.col("over").cast(EVIDENCE),
-        provenance=provenance_of(have - {"http_status", "final_url", "fetched_at"}, F.lit(None).cast("int"), F.col("url"))
-    )
-    return results.unionByName(none)
+    return _thread_results(merged.select("url", "best.*", over.alias("over")), shown, F.col("over"))
 
 
 def listing_records(captures: DataFrame, budget: int | None = None) -> DataFrame:
