@@ -108,7 +108,7 @@ def page_verdict(spark, folder):
     )
 
 
-@queries(f"""WITH {_BLOCKS}, w AS (SELECT page_id, url, {_WORDS} AS words, trim(regexp_replace({_H1}, '\\s+', ' ', 'g')) AS heading FROM pages)
+@queries(f"""WITH {_BLOCKS}, w AS (SELECT page_id, url, {_WORDS} AS words, regexp_replace(trim(regexp_replace({_H1}, '\\s+', ' ', 'g')), '\\s*#*$', '') AS heading FROM pages)
 SELECT page_id, regexp_replace(url, '^(https?)://(?:[^/@]*@)?([^/?#]*)([^?#]*).*$', '\\1://\\2\\3') AS url, CASE WHEN words >= 100 THEN 'complete' ELSE 'unknown' END AS status,
 ceil(strlen(markdown) / 4.0) > 400 AS truncated, heading, ceil(strlen(markdown) / 4.0)::BIGINT AS tokens, CASE WHEN ceil(strlen(markdown) / 4.0) > 400 THEN '' ELSE markdown END AS content
 FROM w JOIN m USING (page_id)""")
