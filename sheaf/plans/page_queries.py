@@ -21,7 +21,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _decoded(part: str) -> str:
     for name, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
-        part = f"replace({part}, '&{name};', '{char}')"
+        part = f"regexp_replace({part}, '&{name};?', '{char}', 'g')"
     return part
 
 

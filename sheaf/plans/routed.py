@@ -16,7 +16,7 @@ from sheaf.operators.verdict import evidence
 from sheaf.plans.captures import ERROR, EVIDENCE, OUTLINE, as_results, check_budget, data_of, error, provenance_of, read_captures, sections_column, shaped
 from sheaf.plans.filings import filing_records
 from sheaf.plans.videos import video_records
-from sheaf.sources.workspace import workspace, written
+from sheaf.sources.workspace import has_workspace, workspace, written
 
 
 def thread_records(captures: DataFrame, budget: int | None = None) -> DataFrame:
@@ -166,10 +166,10 @@ def read_routed(captures: DataFrame, budget: int | None = None, registry: Regist
 
     Each recipe with a transform is a branch that reads its own captures only: they are written once, partitioned
     by ``recipe``, to the shared folder, so no branch reads the pages of another. Captures that have the column,
-    as a table that is stored that way, are read as they are.
+    as a table that is stored that way, are read as they are; so are all on a cluster without a shared folder.
     """
     check_budget(budget)
     own = registry or built_in(budget)
-    if "recipe" not in captures.columns:
+    if "recipe" not in captures.columns and has_workspace(captures.sparkSession):
         captures = written(own.routed(captures), f"{workspace(captures.sparkSession, 'routed')}/captures", "recipe")
     return own.applied(captures, lambda rows: read_captures(rows, budget))

@@ -10,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def has_workspace(spark: SparkSession) -> bool:
+    """Whether there is a folder for working tables: one that the session names, or any on a local master."""
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.master.startswith("local")
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder URI below ``spark.checkpoint.dir``.
 
@@ -18,7 +23,7 @@ def workspace(spark: SparkSession, name: str) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not has_workspace(spark):
             raise ValueError("spark.checkpoint.dir is not set, and a cluster needs a shared folder")
         top = tempfile.mkdtemp(prefix="sheaf-")
         atexit.register(shutil.rmtree, top, ignore_errors=True)
