@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def has_workspace(spark: SparkSession) -> bool:
     """Whether there is a folder for working tables: one that the session names, or any on a local master."""
-    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.master.startswith("local")
+    master = spark.sparkContext.master
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or master == "local" or master.startswith("local[")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
