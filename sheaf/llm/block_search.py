@@ -68,7 +68,9 @@ def best_of(places: np.ndarray, ids: np.ndarray, scores: np.ndarray, nearest: in
     return order[np.arange(len(place)) - np.searchsorted(place, place, side="left") < nearest]
 
 
-def tile_nearest(query_rows: np.ndarray, queries: np.ndarray, row_keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, nearest: int) -> list[list[tuple[Item, float]]]:
+def tile_nearest(
+    query_rows: np.ndarray, queries: np.ndarray, row_keys: np.ndarray, ids: np.ndarray, rows: np.ndarray, nearest: int
+) -> list[list[tuple[Item, float]]]:
     """Each query's heap of the ``nearest`` rows of a tile, its own row left out.
 
     The int8 product p of two vectors is exact. With scales s, t and rounding errors of length e, f, the inner
@@ -88,7 +90,9 @@ def tile_nearest(query_rows: np.ndarray, queries: np.ndarray, row_keys: np.ndarr
         for at in range(0, len(rows), STRIP):
             end = min(at + STRIP, len(rows))
             near = whole_products(q8, r8[at:end]) * s[:, None] * t[None, at:end]
-            slack = (reach[:, None] * f[None, at:end] + e[:, None] * shadow[None, at:end]) * (1 + 1e-9) + 1e-12 * reach[:, None] * (shadow[None, at:end] + f[None, at:end])
+            slack = (
+                reach[:, None] * f[None, at:end] + e[:, None] * shadow[None, at:end]
+            ) * (1 + 1e-9) + 1e-12 * reach[:, None] * (shadow[None, at:end] + f[None, at:end])
             other = row_keys[None, at:end] != query_rows[:, None]
             if end - at > nearest:  # one row may be the query itself
                 low = near - slack
@@ -99,7 +103,9 @@ def tile_nearest(query_rows: np.ndarray, queries: np.ndarray, row_keys: np.ndarr
                 a, b = i[part : part + (1 << 19)], j[part : part + (1 << 19)] + at
                 score = inner(queries[a], rows[b])
                 top = best_of(a, ids[b], score, nearest)
-                for place, value, vector, key in zip(a[top].tolist(), score[top].tolist(), ids[b[top]].tolist(), row_keys[b[top]].tolist(), strict=True):
+                for place, value, vector, key in zip(
+                    a[top].tolist(), score[top].tolist(), ids[b[top]].tolist(), row_keys[b[top]].tolist(), strict=True
+                ):
                     kept(heaps[place], ranked(value, vector, key), value, nearest)
             for place, heap in enumerate(heaps):
                 if len(heap) == nearest:
@@ -107,7 +113,10 @@ def tile_nearest(query_rows: np.ndarray, queries: np.ndarray, row_keys: np.ndarr
     return heaps
 
 
-def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+def search(
+    vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK,
+    row_block: int = ROW_BLOCK
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of which ``asked`` is true the rows of largest inner product but itself, ties to the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part on either side, nor do null
@@ -121,12 +130,16 @@ def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: st
     """
     at = workspace(vectors.sparkSession, "blocks")
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).where(
-        F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall(
+            "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+        ) & F.exists("v", lambda x: x != 0)
     )
     rows = written(usable.withColumns({"n": F.size("v"), "row": F.monotonically_increasing_id()}), f"{at}/rows")
     queries, all_rows = rows.agg(F.count_if("asked"), F.count("*")).first()
     across, down = max(1, math.ceil(queries / query_block)), max(1, math.ceil(all_rows / row_block))
-    spread = lambda d, count, own, other, times: d.withColumn(own, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    spread = lambda d, count, own, other, times: d.withColumn(
+        own, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
+    ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     left = spread(rows.where("asked"), across, "qb", "rb", down).select("n", "qb", "rb", "row", "id", "v")
     right = spread(rows, down, "rb", "qb", across).select("n", "qb", "rb", "row", "id", "v")
 
@@ -135,7 +148,9 @@ def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: st
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = tile_nearest(a["row"].to_numpy(np.int64), matrix(a), b["row"].to_numpy(np.int64), b["id"].to_numpy(np.int64), matrix(b), nearest)
-        made = [(q, i, -item[2], -item[1], score) for q, i, heap in zip(a["row"].tolist(), a["id"].tolist(), found, strict=True) for item, score in heap]
+        made = [
+            (q, i, -item[2], -item[1], score) for q, i, heap in zip(a["row"].tolist(), a["id"].tolist(), found, strict=True) for item, score in heap
+        ]
         return pd.DataFrame(made, columns=["query", "query_id", "row", "vec_id", "score"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +162,9 @@ def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: st
 
         def batch_of(made: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"]
+            )
 
         for batch in batches:
             made: list[tuple] = []
@@ -162,7 +179,9 @@ def search(vectors: DataFrame, asked: Column, nearest: int = NEAREST, id_col: st
         if heap:
             yield batch_of(finished())
 
-    lists = left.groupBy("n", "qb", "rb").cogroup(right.groupBy("n", "qb", "rb")).applyInPandas(tile, "query long, query_id long, row long, vec_id long, score double")
+    lists = left.groupBy("n", "qb", "rb").cogroup(right.groupBy("n", "qb", "rb")).applyInPandas(
+        tile, "query long, query_id long, row long, vec_id long, score double"
+    )
     return lists.repartition("query").sortWithinPartitions("query").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
@@ -173,7 +192,8 @@ def op7_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding,
+lambda x: x <> 0)) > 0),
 s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0::DOUBLE, list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), lambda a, b: a + b) AS score
       FROM v q JOIN v c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id))::INT AS rank FROM s)

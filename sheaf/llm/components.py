@@ -35,7 +35,9 @@ def components(links: DataFrame, at: str) -> DataFrame:
             star = written(star, f"{at}/{turn}-star")
         least = star.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("degree"))
         drawn = pointed(star, least, "small")
-        star = drawn.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct()
+        star = drawn.where("u <> m").select(
+            F.col("u").alias("v"), F.col("m").alias("u")
+        ).unionByName(least.select("v", F.col("m").alias("u"))).distinct()
         turn += 1
         edges = written(star, f"{at}/{turn}")
         for old in (f"{turn - 1}", *(f"{turn - 1}-{step}" for step in ("large", "star", "small"))):

@@ -41,21 +41,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = workspace(spark, "exact")
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw")).withColumn("norm", normal(F.col("raw")))
     facts = written(
-        text.select("id", F.length("raw").alias("chars"), digest(F.col("norm")).alias("hash"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha256"), F.monotonically_increasing_id().alias("row_key")),
+        text.select(
+            "id", F.length("raw").alias("chars"), digest(F.col("norm")).alias("hash"),
+            F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha256"), F.monotonically_increasing_id().alias("row_key")
+        ),
         f"{at}/facts",
     )
     best = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), "id", "row_key")).alias("best")
     groups = written(facts.groupBy("hash").agg(F.count("*").alias("group_size"), best).where("group_size > 1"), f"{at}/groups")
     hashed = text.select("norm", digest(F.col("norm")).alias("hash"))
     several = matched(hashed, groups.select("hash", "group_size"), ["hash"], "group_size", "left_semi")
-    clashes = written(several.groupBy("hash").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("hash"), f"{at}/clashes")
+    clashes = written(
+        several.groupBy("hash").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("hash"), f"{at}/clashes"
+    )
     if clashes.isEmpty():
         remove(spark, f"{at}/clashes")
         judged = matched(facts, groups, ["hash"], "group_size", "left")
     else:  # two texts share a hash: the SHA-256 tells them apart there, after the bytes have shown which hashes need it
         shared = facts.join(clashes, "hash", "left_semi")
         plain = facts.join(clashes, "hash", "left_anti").join(groups, "hash", "left")
-        texts = text.select("norm", digest(F.col("norm")).alias("hash"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha256")).join(clashes, "hash", "left_semi")
+        texts = text.select(
+            "norm", digest(F.col("norm")).alias("hash"), F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha256")
+        ).join(clashes, "hash", "left_semi")
         unlike = texts.groupBy("hash", "sha256").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high")
         if not unlike.isEmpty():
             raise ValueError("two different texts have the same SHA-256")
@@ -74,7 +81,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns, whatever their names. Ids tell rows apart; rows that repeat an id or have none are told apart by content, and full repeats stay once."""
+    """The rows of ``docs`` that stay, with its columns, whatever their names. Ids tell rows apart; rows that repeat an id or have none are told apart by content,
+and full repeats stay once."""
     at = workspace(docs.sparkSession, "exact-kept")
     found = written(exact_groups(docs, id_col, text_col), f"{at}/groups")
     repeats = written(found.groupBy("id").agg(F.count("*").alias("n"), F.max("kept").alias("any")).where("n > 1 or id is null"), f"{at}/repeats")
@@ -86,9 +94,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = F.col(id_col).eqNullSafe(F.col(own))
     repeated = small(repeats).select(F.col("id").alias(own))
     once = docs.join(repeated, same, "left_anti")
-    again = docs.join(repeated, same, "left_semi").withColumns({sha: F.unhex(F.sha2(normal(F.col(text_col)).cast("binary"), 256)), chars: F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = found.where("kept").join(repeated, F.col("id").eqNullSafe(F.col(own)), "left_semi").select(F.col("id").alias(own), F.col("sha256").alias(own_sha), F.col("chars").alias(own_chars))
-    chosen = again.join(kept, same & (F.col(sha) == F.col(own_sha)) & (F.col(chars) == F.col(own_chars)), "left_semi").dropDuplicates([id_col, sha, chars])
+    again = docs.join(repeated, same, "left_semi").withColumns(
+        {sha: F.unhex(F.sha2(normal(F.col(text_col)).cast("binary"), 256)), chars: F.length(F.coalesce(F.col(text_col), F.lit("")))}
+    )
+    kept = found.where("kept").join(repeated, F.col("id").eqNullSafe(F.col(own)), "left_semi").select(
+        F.col("id").alias(own), F.col("sha256").alias(own_sha), F.col("chars").alias(own_chars)
+    )
+    chosen = again.join(
+        kept, same & (F.col(sha) == F.col(own_sha)) & (F.col(chars) == F.col(own_chars)), "left_semi"
+    ).dropDuplicates([id_col, sha, chars])
     return without(once, lost, id_col).unionByName(chosen.select(*docs.columns))
 
 

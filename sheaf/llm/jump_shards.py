@@ -29,7 +29,9 @@ def _drawn(high: Column, low: Column) -> tuple[Column, Column]:
     a, b = _times(low, MULTIPLIER_LOW)
     total = a + F.shiftleft(b.bitwiseAND(F.lit(0xFFFF)), 16) + F.lit(1)
     c, d = _times(high, MULTIPLIER_LOW)
-    upper = F.shiftright(total, 32) + F.shiftright(b, 16) + _low(low * F.lit(MULTIPLIER_HIGH)) + _low(c) + F.shiftleft(d.bitwiseAND(F.lit(0xFFFF)), 16)
+    upper = F.shiftright(total, 32) + F.shiftright(b, 16) + _low(low * F.lit(MULTIPLIER_HIGH)) + _low(c) + F.shiftleft(
+        d.bitwiseAND(F.lit(0xFFFF)), 16
+    )
     return _low(upper), _low(total)
 
 
@@ -44,10 +46,17 @@ def jump(key: Column, shards: int) -> Column:
     def step(s: Column, _: Column) -> Column:
         high, low = _drawn(s["high"], s["low"])
         leap = F.floor((s["next"] + F.lit(1)).cast("double") * (F.lit(float(1 << 31)) / (F.shiftright(high, 1) + F.lit(1)).cast("double")))
-        return F.when(s["next"] < F.lit(shards), F.struct(high.alias("high"), low.alias("low"), s["next"].alias("shard"), leap.alias("next"))).otherwise(s)
+        return F.when(
+            s["next"] < F.lit(shards), F.struct(high.alias("high"), low.alias("low"), s["next"].alias("shard"), leap.alias("next"))
+        ).otherwise(s)
 
-    start = F.struct(F.shiftrightunsigned(key, 32).alias("high"), _low(key).alias("low"), F.lit(-1).cast("long").alias("shard"), F.lit(0).cast("long").alias("next"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["next"].alias("next")))
+    start = F.struct(
+        F.shiftrightunsigned(key, 32).alias("high"), _low(key).alias("low"), F.lit(-1).cast("long").alias("shard"),
+        F.lit(0).cast("long").alias("next")
+    )
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["next"].alias("next"))
+    )
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,13 +70,21 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     if shards < 1:
         raise ValueError("shards must be positive")
     key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), jump(key, shards).alias("jump"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        jump(key, shards).alias("jump")
+    )
     deal = F.pmod(F.xxhash64("id", "text_crc32"), F.lit(slots(docs))).cast("int")
-    kept = rows.select("id", "size", "text_crc32", "jump.shard", F.when(F.col("jump.next") == shards, F.lit(shards)).otherwise(F.col("jump.shard")).cast("int").alias("grown_shard"), deal.alias("deal"))
+    kept = rows.select(
+        "id", "size", "text_crc32", "jump.shard",
+        F.when(F.col("jump.next") == shards, F.lit(shards)).otherwise(F.col("jump.shard")).cast("int").alias("grown_shard"), deal.alias("deal")
+    )
     kept = written(kept, workspace(docs.sparkSession, "shards"))
     return before(kept, ["shard"], "deal", [F.col("id"), F.col("text_crc32"), F.col("size")], F.lit(1), "slot").drop("deal")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place among 40 shards."""
-    return sharded(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    return sharded(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
+    )

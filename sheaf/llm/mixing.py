@@ -46,7 +46,13 @@ def targets(facts: DataFrame, plan: MixPlan, at: str) -> DataFrame:
     ranked = before(ranged, [], "part", [F.col("source").isNull(), F.col("source")], F.lit(1), "rank")
     turn = F.pmod(F.col("rank"), F.lit(len(plan.weights))).cast("int") + 1
     pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), turn)
-    listed = written(ranked.select("source", "source_size", pick(plan.weights).alias("weight"), pick(plan.ramps).alias("ramp"), (F.col("source_size") * plan.most).alias("stop")), f"{at}/weights")
+    listed = written(
+        ranked.select(
+            "source", "source_size", pick(plan.weights).alias("weight"), pick(plan.ramps).alias("ramp"),
+            (F.col("source_size") * plan.most).alias("stop")
+        ),
+        f"{at}/weights"
+    )
     total, weight = listed.agg(F.sum("source_size") * F.lit(plan.total), F.sum("weight")).first()
     rate, last = (total / weight if weight else 0.0), None
     while rate != last:
@@ -56,7 +62,9 @@ def targets(facts: DataFrame, plan: MixPlan, at: str) -> DataFrame:
     return listed.withColumn("target", F.least(F.col("stop"), F.col("weight") * F.lit(rate)))
 
 
-def mixed(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None
+) -> DataFrame:
     """Each row's share of the mix: id, source, size, source_size, target, taken, position, again_at.
 
     A source's documents are put in the order of a hash of their ids and read, over and over, until its target
@@ -72,18 +80,28 @@ def mixed(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", te
     at = workspace(docs.sparkSession, "mix")
     draw = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     key = [F.col(row_col).alias("row")] if row_col else []
-    rows = docs.select(*key, F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"))
+    rows = docs.select(
+        *key, F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), draw.alias("draw")
+    )
     n = slots(docs)
     deal = F.floor(F.conv(F.substring("draw", 1, 6), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 24)).cast("int")
     facts = written(rows.withColumn("deal", deal), f"{at}/facts")
-    aims = written(targets(facts, plan, at).withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source"), f"{at}/targets")
+    aims = written(
+        targets(facts, plan, at).withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))).drop("source"), f"{at}/targets"
+    )
     named = facts.withColumn("name", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    placed = before(named, ["name"], "deal", [F.col("draw"), F.col("id"), F.col("size"), *(F.col("row") for _ in key)], F.col("size"), "start").join(aims, "name")
+    placed = before(
+        named, ["name"], "deal", [F.col("draw"), F.col("id"), F.col("size"), *(F.col("row") for _ in key)], F.col("size"), "start"
+    ).join(aims, "name")
     goal = F.floor("target")
     read = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), goal - start))
     begins = lambda start: F.when((F.col("size") > 0) & (start < goal), time_of(start / F.col("target"), F.col("ramp")))
     second = F.col("start") + F.col("source_size")
-    return placed.select("id", "source", "size", "source_size", "target", (read(F.col("start")) + read(second)).cast("long").alias("taken"), begins(F.col("start")).alias("position"), begins(second).alias("again_at"), *(F.col("row") for _ in key))
+    return placed.select(
+        "id", "source", "size", "source_size", "target", (read(F.col("start")) + read(second)).cast("long").alias("taken"),
+        begins(F.col("start")).alias("position"), begins(second).alias("again_at"), *(F.col("row") for _ in key)
+    )
 
 
 def curriculum(mix: DataFrame) -> DataFrame:
@@ -95,7 +113,9 @@ def curriculum(mix: DataFrame) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words in the mix, in the order of the curriculum."""
     mix = mixed(table(spark, sf_dir, "documents"))
-    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return mix.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 9).alias("position")
+    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 OP5_SQL = r"""
@@ -106,10 +126,12 @@ f AS (SELECT *, coalesce(sum(stop) OVER o, 0) AS held, sum(weight) OVER () - coa
       FROM w WINDOW o AS (ORDER BY stop / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT coalesce(arg_min((total - held) / free, stop / weight) FILTER (WHERE stop / weight >= (total - held) / free), 0) AS rate FROM f),
 t AS (SELECT source, source_size, ramp, least(stop, weight * rate) AS target FROM w, l),
-p AS (SELECT d.*, t.source_size, t.target, t.ramp, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+p AS (SELECT d.*, t.source_size, t.target, t.ramp, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken,
-       round(CASE WHEN size > 0 AND start < floor(target) THEN CASE WHEN ramp = 0 THEN start / target ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * (start / target)) - (1 - ramp)) / (2 * ramp) END END, 9) AS position
+       round(CASE WHEN size > 0 AND start < floor(target) THEN CASE WHEN ramp = 0 THEN start / target
+ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * (start / target)) - (1 - ramp)) / (2 * ramp) END END, 9) AS position
 FROM p
 """

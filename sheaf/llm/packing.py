@@ -126,7 +126,9 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = spark.sparkContext.broadcast(placement(patterns(histogram, capacity)))
     facts = cut.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    dealt = written(facts.withColumn("deal", F.pmod(F.xxhash64("row", "piece"), F.lit(slots(cut))).cast("int")), f"{workspace(spark, 'packing')}/facts")
+    dealt = written(
+        facts.withColumn("deal", F.pmod(F.xxhash64("row", "piece"), F.lit(slots(cut))).cast("int")), f"{workspace(spark, 'packing')}/facts"
+    )
     ranked = before(dealt, ["length"], "deal", [F.col("doc_id"), F.col("piece"), F.col("row")], F.lit(1), "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

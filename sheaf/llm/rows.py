@@ -13,7 +13,9 @@ HOT = 1000
 
 def extent(df: DataFrame, rows: str | None = None) -> tuple[bool, int, int]:
     """Of the written table ``df``: whether it is within the bounds of a broadcast, and the sum and the greatest of ``rows``."""
-    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))
+    texts = sum(
+        (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")), F.lit(0).cast("long")
+    )
     weight = F.col(rows) if rows else F.lit(1)
     count, size, total, most = df.agg(F.count("*"), F.sum(texts), F.sum(weight), F.max(weight)).first()
     return count <= BROADCAST_KEYS and (size or 0) <= BROADCAST_BYTES, total or 0, most or 0

@@ -33,7 +33,9 @@ STRIP = 2048
 #: Buckets of parts up to so many texts give pairs; larger ones are searched, so many texts of a block at a time.
 FEW, SETS = 16, 512
 _RANDOM = np.random.default_rng(SEED)
-FLIPS, FACTORS = _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64), _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64) << np.uint64(1) | np.uint64(1)
+FLIPS, FACTORS = _RANDOM.integers(
+    0, 1 << 63, PARTS * DRAWN, np.uint64
+), _RANDOM.integers(0, 1 << 63, PARTS * DRAWN, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def shingle_hashes(text: str, words: int, stretch: int = STRETCH) -> np.ndarray:
@@ -67,7 +69,9 @@ def _run_hashes(found: list[bytes], words: int, short: bool) -> np.ndarray:
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     view = memoryview(joined)
-    return np.fromiter((xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)), np.uint64, len(found) - k + 1)
+    return np.fromiter(
+        (xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=False)), np.uint64, len(found) - k + 1
+    )
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -168,7 +172,9 @@ def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK
     """
     spark = distinct.sparkSession
     masks = F.array(*[F.struct(F.lit(i).alias("table"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(covering_masks(radius))])
-    keyed = distinct.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
+    keyed = distinct.select("fp", F.explode(masks).alias("m")).select(
+        "fp", F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")
+    )
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = written(sizes, f"{at}/buckets")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
@@ -180,7 +186,9 @@ def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK
     tasks = many.select("table", "key", "fp", "own", F.explode(every).alias("t")).select("table", "key", "fp", "own", "t.i", "t.j")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        fps, own, i, j = group["fp"].to_numpy(np.uint64, copy=False) if group["fp"].dtype == np.uint64 else group["fp"].to_numpy().view(np.uint64), group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
+        fps, own, i, j = group["fp"].to_numpy(
+            np.uint64, copy=False
+        ) if group["fp"].dtype == np.uint64 else group["fp"].to_numpy().view(np.uint64), group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
         found = forest(fps, None, radius) if i == j else forest(fps[own == i], fps[own == j], radius)
         pair = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
@@ -193,7 +201,10 @@ def grouped(marked: DataFrame, at: str, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for a written table of (id, fp): rows linked at ``radius`` bits or fewer, and the smallest id that each can reach."""
     distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")), f"{at}/distinct")
     roots = components(links(distinct.select("fp"), at, radius), f"{at}/components")
-    named = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), f"{at}/named")
+    named = written(
+        distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")),
+        f"{at}/named"
+    )
     names = written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), f"{at}/names")
     classes = written(matched(named, names, ["root"], "fps").select("fp", "component_id", "rows"), f"{at}/classes")
     return matched(marked, classes, ["fp"], "rows").drop("rows")
@@ -253,7 +264,10 @@ def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataF
                 nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
                 found.append(parts(own) if len(own) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "row", "node", "n", "parts"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["id", "row", "node", "n", "parts"]
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     return rows.mapInArrow(sketch, "id long, row long, node binary, n long, parts array<long>")
@@ -301,9 +315,13 @@ def near_links(docs: DataFrame, marked: DataFrame, at: str, row_col: str, text_c
     verified = fitting.join(right, "b").join(left, "a").select("a", "b", "as", "bs").mapInArrow(verify, "a binary, b binary")
 
     blocks = F.ceil(F.col("size") / SETS).cast("int")
-    many = members.where(F.col("size") > FEW).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "part"), F.col("blocks")).cast("int"))
+    many = members.where(F.col("size") > FEW).withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node", "part"), F.col("blocks")).cast("int")
+    )
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
-    tasks = many.select("part", "fp", "node", "own", F.explode(other).alias("x")).select("part", "fp", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "node")
+    tasks = many.select("part", "fp", "node", "own", F.explode(other).alias("x")).select(
+        "part", "fp", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "node"
+    )
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         names = group["node"].tolist()
@@ -325,10 +343,17 @@ def near_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: s
     roots = written(linked.join(marked.groupBy("node").agg(F.count("*").alias("copies")), "node"), f"{at}/roots")
     for done in ("search", "all"):  # sets of hashes take more room than texts
         remove(docs.sparkSession, f"{at}/{done}")
-    named = matched(marked.select("id", "row", "node"), roots, ["node"], "copies", "left").select("id", "row", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    named = matched(
+        marked.select("id", "row", "node"), roots, ["node"], "copies", "left"
+    ).select("id", "row", F.coalesce("root", "node").alias("root"))
+    names = named.groupBy("root").agg(
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("least"), F.count("*").alias("rows")
+    ).where("rows > 1")
     named = matched(named, written(names, f"{at}/names"), ["root"], "rows", "left")
-    return named.select("id", "row", F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id")).alias("component_id"), F.when(F.col("rows").isNull(), F.col("row")).otherwise(F.col("least.row")).alias("kept_row"))
+    return named.select(
+        "id", "row", F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id")).alias("component_id"),
+        F.when(F.col("rows").isNull(), F.col("row")).otherwise(F.col("least.row")).alias("kept_row")
+    )
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,7 +87,11 @@ def merkle(digests: list[bytes]) -> bytes:
     """The root over a list of digests: pairs are hashed level by level, an odd one out moves up as it is."""
     level = [hashlib.blake2b(b"\0" + d, digest_size=16).digest() for d in digests]
     while len(level) > 1:
-        level = [hashlib.blake2b(b"\1" + b"".join(level[i : i + 2]), digest_size=16).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        level = [
+            hashlib.blake2b(
+                b"\1" + b"".join(level[i : i + 2]), digest_size=16
+            ).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)
+        ]
     return level[0] if level else bytes(16)
 
 
@@ -108,11 +112,16 @@ def sheets(recipes: DataFrame) -> DataFrame:
     """
     total = recipes.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] or 0
     leaf = F.sha2(F.concat_ws("|", F.hex("row"), "doc_id", "start", "n_tokens", F.hex("root")), 256)
-    level, span = recipes.select("part", "start", leaf.alias("root"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens")), LEAVES
+    level, span = recipes.select(
+        "part", "start", leaf.alias("root"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens")
+    ), LEAVES
     while True:
         nodes = F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
         over = [F.floor(F.col("start") / span).alias("stretch")] if span < total else []
-        level = level.groupBy("part", *over).agg(F.sha2(F.array_join(nodes, ""), 256).alias("root"), F.min("start").alias("start"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        level = level.groupBy("part", *over).agg(
+            F.sha2(F.array_join(nodes, ""), 256).alias("root"), F.min("start").alias("start"), F.sum("documents").alias("documents"),
+            F.sum("tokens").alias("tokens")
+        )
         if not over:
             return level.select("part", "documents", "tokens", "root")
         span *= FAN
@@ -132,7 +141,12 @@ def stored(docs: DataFrame, vocabulary: str, end: int = END, id_col: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, table64 = encoder(vocabulary), gear()
-        schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("width", pa.int32()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("ids", pa.binary()), ("uses", pa.int64())])
+        schema = pa.schema(
+            [
+                ("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("width", pa.int32()), ("n_tokens", pa.int64()),
+                ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("ids", pa.binary()), ("uses", pa.int64())
+            ]
+        )
 
         def taken(docs: list[int | None], keys: list[int], ids: np.ndarray, starts: list[int]) -> pa.RecordBatch:
             rows: list[tuple] = []
@@ -216,7 +230,9 @@ def checked(store: Store, spark: SparkSession) -> DataFrame:
     """The store's recipes, once each part's root, documents and tokens are those of the manifest; else this raises."""
     recipes = store.recipes(spark)
     told, seen = store.manifest(spark), sheets(recipes)
-    pair = told.select("part", F.struct("documents", "tokens", "root").alias("told")).join(seen.select("part", F.struct("documents", "tokens", "root").alias("seen")), "part", "full")
+    pair = told.select("part", F.struct("documents", "tokens", "root").alias("told")).join(
+        seen.select("part", F.struct("documents", "tokens", "root").alias("seen")), "part", "full"
+    )
     wrong = pair.where(~F.col("told").eqNullSafe(F.col("seen"))).select("part").limit(10).collect()
     if wrong:
         raise ValueError(f"the recipes of parts {sorted(r['part'] for r in wrong)} are not those of the manifest")
@@ -243,7 +259,10 @@ def read_back(store: Store, spark: SparkSession) -> DataFrame:
                     raise ValueError(f"chunk {key.hex()} is damaged")
                 n.append((b - a) // width)
                 crc.append(zlib.crc32(np.frombuffer(whole[a:b], f"<u{width}").astype("<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), batch.column(3)], names=["digest", "n", "crc", "uses"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), batch.column(3)],
+                names=["digest", "n", "crc", "uses"]
+            )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,15 +276,27 @@ def read_back(store: Store, spark: SparkSession) -> DataFrame:
                 if not right[i] or merkle(names[end - count : end]) != root[i]:
                     raise ValueError(f"the recipe of document {doc[i].as_py()} doesn't agree with its chunks")
             whole = crc_of_lists(owner, crc, 4 * n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([doc, batch.column(1), batch.column(2), pa.array(whole), pa.array(counts.astype(np.int32)), pa.array([r.hex() for r in root])], names=["doc_id", "start", "n_tokens", "ids_crc32", "chunks", "root"])
+            yield pa.RecordBatch.from_arrays(
+                [doc, batch.column(1), batch.column(2), pa.array(whole), pa.array(counts.astype(np.int32)), pa.array([r.hex() for r in root])],
+                names=["doc_id", "start", "n_tokens", "ids_crc32", "chunks", "root"]
+            )
 
     if store.empty:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, chunks int, root string")
-    facts = written(store.chunks(spark).select("key", "width", "ids", "uses").mapInArrow(check, "digest binary, n long, crc long, uses long"), f"{workspace(spark, 'tokens')}/facts")
+    facts = written(
+        store.chunks(spark).select("key", "width", "ids", "uses").mapInArrow(check, "digest binary, n long, crc long, uses long"),
+        f"{workspace(spark, 'tokens')}/facts"
+    )
     recipes = checked(store, spark).select("row", "doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("at", "digest"))
     found = matched(recipes, facts, ["digest"], "uses", "left")
-    whole = found.groupBy("row", "doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("at", "digest", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc")))).alias("parts"))
-    return whole.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long, chunks int, root string")
+    whole = found.groupBy("row", "doc_id", "start", "n_tokens", "root").agg(
+        F.sort_array(
+            F.collect_list(F.struct("at", "digest", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc")))
+        ).alias("parts")
+    )
+    return whole.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(
+        join, "doc_id long, start long, n_tokens long, ids_crc32 long, chunks int, root string"
+    )
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,9 @@ def chance(score: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30)))
 
 
-def telling_words(sample: DataFrame, categories: list[str], folds: int = FOLDS, most: int = WORDS, least: int = LEAST_DOCS) -> dict[tuple[str, int], tuple[str, ...]]:
+def telling_words(
+    sample: DataFrame, categories: list[str], folds: int = FOLDS, most: int = WORDS, least: int = LEAST_DOCS
+) -> dict[tuple[str, int], tuple[str, ...]]:
     """By (category, fold left out): the words whose presence goes most with the label or against it, by the z-score of their log odds.
 
     Fold -1 leaves none out. ``sample`` has fold, words and a column of 0 or 1 for each category. Words are
@@ -79,7 +81,9 @@ def telling_words(sample: DataFrame, categories: list[str], folds: int = FOLDS,
     """
     keys = [(c, y, k) for c in categories for y in (0, 1) for k in range(folds)]
     count = lambda c, y, k: F.count_if((F.col(c) == y) & (F.col("fold") == k)).cast("double")
-    seen = sample.select("fold", *categories, F.explode("words").alias("word")).groupBy("word").agg(*(count(*key).alias("_".join(map(str, ("n", categories.index(key[0]), *key[1:])))) for key in keys))
+    seen = sample.select("fold", *categories, F.explode("words").alias("word")).groupBy("word").agg(
+        *(count(*key).alias("_".join(map(str, ("n", categories.index(key[0]), *key[1:])))) for key in keys)
+    )
     totals = dict(zip(keys, sample.agg(*(count(*key) for key in keys)).first(), strict=True))
     scores = []
     for c in categories:
@@ -126,7 +130,10 @@ def constant(name: str, earlier: int) -> Link:
     return Link(name, (), weights, 1.0)
 
 
-def fitted(sets: list[set[str]], styles: np.ndarray, fold: np.ndarray, labels: dict[str, np.ndarray], told: dict[tuple[str, int], tuple[str, ...]], folds: int = FOLDS) -> list[Link]:
+def fitted(
+    sets: list[set[str]], styles: np.ndarray, fold: np.ndarray, labels: dict[str, np.ndarray], told: dict[tuple[str, int], tuple[str, ...]],
+    folds: int = FOLDS
+) -> list[Link]:
     """The chain over ``labels``, in their order. ``sets``: each document's words, of which only those in ``told`` count.
 
     A later model is trained on out-of-fold probabilities of the earlier ones, so it sees them as good as they
@@ -166,7 +173,9 @@ def probabilities(chain: list[Link], text: str) -> list[float]:
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
-def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
+def trained(
+    docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"
+) -> list[Link]:
     """A chain fitted on at most ``sample`` labelled documents, whole texts. The driver sees the telling words and the weights only.
 
     ``categories``: by name, SQL over ``labels`` that is 1 or 0. Labels with a null anywhere are left out; of an
@@ -179,7 +188,10 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CAT
     wanted = wanted.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")) - 1, F.lit(FOLDS)).cast("int"))  # ``sample`` rows at most
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("mark")).join(F.broadcast(wanted), "id")
-    kinds = {"id": pa.int64(), "mark": pa.string(), "fold": pa.int32(), "style": pa.list_(pa.float64()), "words": pa.list_(pa.string()), **dict.fromkeys(names, pa.int32())}
+    kinds = {
+        "id": pa.int64(), "mark": pa.string(), "fold": pa.int32(), "style": pa.list_(pa.float64()), "words": pa.list_(pa.string()),
+        **dict.fromkeys(names, pa.int32())
+    }
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +201,10 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CAT
                 words = words_of(text)
                 own.append(sorted(words))
                 styles.append(style(text, words))
-            columns = [*(batch.column(k) for k in range(3)), pa.array(styles, kinds["style"]), pa.array(own, kinds["words"]), *(batch.column(4 + k) for k in range(len(names)))]
+            columns = [
+                *(batch.column(k) for k in range(3)), pa.array(styles, kinds["style"]), pa.array(own, kinds["words"]),
+                *(batch.column(4 + k) for k in range(len(names)))
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
     plain = rows.select(F.col("id").cast("long").alias("id"), "mark", "fold", "text", *names)
@@ -209,7 +224,10 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CAT
             given = {n: np.array([r[5 + k] for r in found], np.int64) for k, n in enumerate(names)}
             chain = fitted([r[4] for r in found], np.array([r[3] for r in found], np.float64), np.array([r[2] for r in found]), given, told)
             columns = [[k.name for k in chain], [list(k.words) for k in chain], [k.weights.tolist() for k in chain], [k.threshold for k in chain]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["name", "words", "weights", "threshold"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()), strict=True)],
+                names=["name", "words", "weights", "threshold"]
+            )
 
     made = taken.coalesce(1).mapInArrow(fit, "name string, words array<string>, weights array<double>, threshold double").collect()
     chain = {r["name"]: Link(r["name"], tuple(r["words"]), np.array(r["weights"]), r["threshold"]) for r in made}
@@ -229,7 +247,9 @@ def judged(docs: DataFrame, chain: list[Link], id_col: str = "doc_id", text_col:
         for batch in batches:
             found = [probabilities(own, batch.column(1)[i].as_py() or "") for i in range(len(batch))]
             columns = [pa.array([f[k] for f in found], pa.float64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([f[-1] > limit for f in found], pa.bool_())], names=["id", *names, "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, pa.array([f[-1] > limit for f in found], pa.bool_())], names=["id", *names, "rejected"]
+            )
 
     schema = ", ".join(["id long", *(f"`{n}` double" for n in names), "rejected boolean"])
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(judge, schema)

@@ -41,7 +41,9 @@ def vocabulary(rows: DataFrame, most: int = 1_000_000) -> dict[str, float]:
 class UrlRules:
     """``rules``: (host, path, verdict). ``weights``: the vocabulary; a term of ``limit`` or more is strict, and several soft ones reject together."""
 
-    rules: tuple[tuple[str, str, str], ...] = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+    rules: tuple[tuple[str, str, str], ...] = (
+        ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")
+    )
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS), hash=False)
     limit: float = LIMIT
     by_host: dict[str, list[tuple[str, str]]] = field(init=False, compare=False)
@@ -129,7 +131,10 @@ def judged(pages: DataFrame, rules: UrlRules = UrlRules(), id_col: str = "page_i
                 rows.append((host, path, *(rule or (None, "block" if weight >= rules.limit else "allow")), strict, soft, weight))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.string()] * 4 + [pa.int32()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms", "weight"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                names=["id", "host", "path", "rule", "verdict", "strict_hits", "soft_terms", "weight"]
+            )
 
     return pages.selectExpr(f"cast(`{id_col}` as long) as id", f"`{url_col}` as url").mapInArrow(judge, SCHEMA)
 
@@ -145,15 +150,20 @@ def _sql_values(terms: list[str], weight: float) -> str:
 
 #: Boundaries are doubled before terms are counted, as neighbours may share one.
 OP10_SQL = rf"""
-WITH u AS (SELECT page_id, row_number() OVER () AS row, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
+WITH u AS (SELECT page_id, row_number() OVER () AS row, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+coalesce(regexp_extract(url, '^.*?://(.*)$', 1, 's'), '') AS rest FROM pages),
 h AS (SELECT page_id, row, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       regexp_extract(regexp_extract(rest, '^[^/?#]*(.*)$', 1, 's'), '^[^?#]*') AS path FROM u),
-r(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+r(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com',
+'/de/', 'block')),
 m AS (SELECT row, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
       FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row),
 t(term, weight) AS (VALUES {_sql_values(STRICT, LIMIT)}, {_sql_values(SOFT, SOFT_WEIGHT)}),
-n AS (SELECT row, term, weight, len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\1\1', 'g'), '(^|[^a-z0-9])' || replace(term, '-', '--') || '($|[^a-z0-9])')) AS hits FROM h JOIN t ON contains(low, term)),
-w AS (SELECT row, sum(CASE WHEN weight >= {LIMIT} THEN hits ELSE 0 END)::INT AS strict_hits, count(*) FILTER (weight < {LIMIT})::INT AS soft_terms, sum(weight)::DOUBLE AS weight FROM n WHERE hits > 0 GROUP BY row)
-SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN coalesce(weight, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_terms, 0) AS soft_terms, coalesce(weight, 0) AS weight
+n AS (SELECT row, term, weight, len(regexp_extract_all(regexp_replace(low, '([^a-z0-9])', '\1\1', 'g'), '(^|[^a-z0-9])' || replace(term, '-', '--') || '($|[^a-z0-9])')) AS hits
+FROM h JOIN t ON contains(low, term)),
+w AS (SELECT row, sum(CASE WHEN weight >= {LIMIT} THEN hits ELSE 0 END)::INT AS strict_hits, count(*) FILTER (weight < {LIMIT})::INT AS soft_terms, sum(weight)::DOUBLE AS weight
+FROM n WHERE hits > 0 GROUP BY row)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN coalesce(weight, 0) >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(strict_hits, 0)
+AS strict_hits, coalesce(soft_terms, 0) AS soft_terms, coalesce(weight, 0) AS weight
 FROM h LEFT JOIN m USING (row) LEFT JOIN w USING (row)
 """

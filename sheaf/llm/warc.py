@@ -74,16 +74,30 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
-    facts = rows.select("page_id", "url", F.octet_length("html").alias("n"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same")).where(F.col("n") >= least)
+    facts = rows.select(
+        "page_id", "url", F.octet_length("html").alias("n"), F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("same")
+    ).where(F.col("n") >= least)
     first = F.max(F.struct(F.col("page_id").isNotNull().alias("named"), "page_id", "url")).alias("first")
-    shared = written(facts.groupBy("same").agg(F.count("*").alias("rows"), first).where("rows > 1").select("same", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), f"{folder}/shared")
+    shared = written(
+        facts.groupBy("same").agg(F.count("*").alias("rows"), first).where("rows > 1").select(
+            "same", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")
+        ),
+        f"{folder}/shared"
+    )
     settled = rows.withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
-    joined = settled.join(small(shared), "same", "left").withColumn("payload", F.col("html").cast("binary")).select("page_id", "url", "payload", "refers_to", "refers_url", F.col("refers_to").isNotNull().alias("has"))
+    joined = settled.join(small(shared), "same", "left").withColumn("payload", F.col("html").cast("binary")).select(
+        "page_id", "url", "payload", "refers_to", "refers_url", F.col("refers_to").isNotNull().alias("has")
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = file_system(folder)
         files.create_dir(f"{base}/archives", recursive=True)
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        schema = pa.schema(
+            [
+                ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+                ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())
+            ]
+        )
         out = None
         name, at = "", 0
         seen: set[int] = set()
@@ -100,10 +114,17 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
                         out = files.open_output_stream(f"{base}/{name}", compression=None)
                     data = record(page, url, payload, target, target_url, revisit)
                     out.write(data)
-                    made.append((page, url, hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", target if revisit else None, name, at, len(data)))
+                    made.append(
+                        (
+                            page, url, hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", target if revisit else None, name, at,
+                            len(data)
+                        )
+                    )
                     at += len(data)
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema
+                    )
         finally:
             if out:
                 out.close()
@@ -140,7 +161,12 @@ def records(index: DataFrame, folder: str) -> DataFrame:
                             whole = kind == "revisit" or hashlib.sha1(payload).hexdigest() == digest
                             if (kind, page, digest) != (r["record_type"], r["page_id"], r["digest"]) or not whole:
                                 raise ValueError(f"{name} at {r['offset']} is not the record of the index")
-                            made.append((page, kind, int(fields["x-refers-to-page"]) if kind == "revisit" else None, digest, None if kind == "revisit" else payload))
+                            made.append(
+                                (
+                                    page, kind, int(fields["x-refers-to-page"]) if kind == "revisit" else None, digest,
+                                    None if kind == "revisit" else payload
+                                )
+                            )
                             size += len(payload)
                         yield _read_rows(made)
 
@@ -150,7 +176,10 @@ def records(index: DataFrame, folder: str) -> DataFrame:
 
 def _read_rows(made: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["page_id", "record_type", "refers_to", "digest", "payload"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)],
+        names=["page_id", "record_type", "refers_to", "digest", "payload"]
+    )
 
 
 def runs(rows: list[dict]) -> Iterator[list[dict]]:
@@ -170,7 +199,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page from the archives; a revisit's payload is that of the response it refers to."""
     folder = workspace(spark, "warc")
     index = archived(table(spark, sf_dir, "pages"), folder)
-    read = records(index, folder).select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    read = records(index, folder).select(
+        "page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes")
+    )
     found = written(read.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(slots(index)))), f"{folder}/read")
     responses, revisits = found.where("record_type = 'response'").drop("deal"), found.where("record_type = 'revisit'")
     # a response with many revisits is sent to each slot that asks for it, so its revisits never meet in one task
