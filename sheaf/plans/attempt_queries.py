@@ -133,7 +133,9 @@ def ordered_distinct(spark, folder):
     "SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 0"
 )
 def inverted_text(spark, folder):
-    words = table(spark, folder, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "word"))
+    """Each text as the index of its words, and read back from that. Texts are dealt by document once, so no step after it moves a word."""
+    docs = table(spark, folder, "documents").select("doc_id", "text").repartition("doc_id")
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "word"))
     index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("positions")).groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index")
     )

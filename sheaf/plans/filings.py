@@ -28,7 +28,8 @@ def filing_records(captures: DataFrame, indexes: DataFrame | None = None, budget
     """Captured filings in the columns of ``read_captures``.
 
     ``indexes``: (url, document), the JSON index of a filing's folder; without it, or where it names no size, the
-    byte signal is open and no filing is complete. The join is by the index's URL, one row for each. ``bytes``
+    byte signal is open and no filing is complete. The join is by the index's URL, one row for each, and moves what
+    was read of a page, never its markup. ``bytes``
     in ``captures`` is the length of the body as it was received; else that of ``html`` in UTF-8 counts.
     """
     have = set(captures.columns)
@@ -39,14 +40,13 @@ def filing_records(captures: DataFrame, indexes: DataFrame | None = None, budget
             "_index": sibling(F.col("final_url"), "index.json")
         }
     )
+    rows = rows.withColumn("html", F.regexp_replace("_raw", UNSEEN, ""))
+    rows = with_facts(rows, url="final_url", names=("markdown", "sections", "canonical", "error")).drop("html", "_raw")
     if indexes is None:
         rows = rows.withColumn("_document", F.lit(None).cast("string"))
     else:
         rows = rows.join(indexes.groupBy(F.col("url").alias("_index")).agg(F.min("document").alias("_document")), "_index", "left")
-    rows = rows.withColumns(
-        {"declared": declared_size(F.col("_document"), document_name(F.col("final_url"))), "html": F.regexp_replace("_raw", UNSEEN, "")}
-    )
-    rows = with_facts(rows, url="final_url", names=("markdown", "sections", "canonical", "error"))
+    rows = rows.withColumn("declared", declared_size(F.col("_document"), document_name(F.col("final_url"))))
     wanted, found = M.expected_items(F.col("form")), M.filing_items(F.col("facts.markdown"))
     rows = rows.withColumns({"missing": M.missing_items(wanted, found), "shown": F.col("facts.markdown"), "sections": F.col("facts.sections")})
     signals = V.evidence(filing_byte_manifest=F.col("declared") == F.col("received"), statutory_item_manifest=F.size("missing") == 0)

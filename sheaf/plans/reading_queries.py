@@ -64,7 +64,8 @@ def filing_read(spark, folder):
     document = F.to_json(
         F.struct(F.struct(F.array(F.struct(F.lit("report.htm").alias("name"), size.cast("string").alias("size"))).alias("item")).alias("directory"))
     )
-    found = filing_records(rows.select("o_orderkey", "html", "url"), rows.select(F.col("at").alias("url"), document.alias("document")))
+    dealt = rows.select("o_orderkey", "html", "url").repartition(spark.sparkContext.defaultParallelism)  # small rows, long to parse
+    found = filing_records(dealt, rows.select(F.col("at").alias("url"), document.alias("document")))
     missing = F.size(F.from_json(F.get_json_object(F.get("structured_data.json_ld", 0), "$.missing"), "array<string>"))
     return found.select("o_orderkey", "status", missing.cast("long").alias("missing"))
 
