@@ -30,6 +30,8 @@ STRETCH, BLANK = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
 NEAR_WORDS, NEAR, PARTS, DRAWN = 5, (4, 5), 32, 4
 #: Hashes that are drawn from at a time.
 STRIP = 2048
+#: Fingerprints that the covering tables take at a time, whole parts of them, and so many in a task.
+TOGETHER, TASK = 1 << 18, 1 << 14
 #: Buckets of parts up to so many texts give pairs; larger ones are searched, so many texts of a block at a time.
 FEW, SETS = 16, 512
 _RANDOM = np.random.default_rng(SEED)
@@ -98,6 +100,11 @@ def parts(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * bits > DRAWN, axis=1, bitorder="little").view("<i8").ravel()
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of all the hashes, then those of ``parts``, as signed 64-bit integers."""
+    return np.concatenate([np.array([fingerprint(hashes)], np.uint64).view(np.int64), parts(hashes)])
+
+
 def fingerprints(docs: DataFrame, features: list[Callable[[str], np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp0, fp1, ...): each row's fingerprint over each kind of features, as signed 64-bit integers. Whole texts; null counts as empty."""
 
@@ -163,27 +170,30 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
     return out
 
 
-def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (a, b) of fingerprints within ``radius`` that connect all that are connected. ``distinct``: a written table of fp.
 
+    ``by``: further columns of ``distinct``, whole numbers; only fingerprints that agree in them link, and pairs have them.
+
     Each table keys the fingerprints by their masked bits. Buckets of two are compared as they are. Larger ones
     are searched by one task each, up to ``block`` fingerprints; beyond that each fingerprint draws a block of
     its bucket, and every pair of blocks is searched apart, so no bucket is cut short and none meets in one task.
     """
     spark = distinct.sparkSession
     masks = F.array(*[F.struct(F.lit(i).alias("table"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(covering_masks(radius))])
-    keyed = distinct.select("fp", F.explode(masks).alias("m")).select(
-        "fp", F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")
+    keyed = distinct.select(*by, "fp", F.explode(masks).alias("m")).select(
+        *by, "fp", F.col("m.table").alias("table"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key")
     )
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    bucket = [*by, "table", "key"]
+    sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = written(sizes, f"{at}/buckets")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = sizes.where("n = 2").where(within).select("a", "b")
-    large = sizes.where("n > 2").select("table", "key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    pairs = sizes.where("n = 2").where(within).select(*by, "a", "b")
+    large = sizes.where("n > 2").select(*bucket, "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp", "table"), F.col("blocks")).cast("int")
-    many = matched(keyed, large, ["table", "key"], "n").withColumn("own", own)
+    many = matched(keyed, large, bucket, "n").withColumn("own", own)
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    tasks = many.select("table", "key", "fp", "own", F.explode(every).alias("t")).select("table", "key", "fp", "own", "t.i", "t.j")
+    tasks = many.select(*bucket, "fp", "own", F.explode(every).alias("t")).select(*bucket, "fp", "own", "t.i", "t.j")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         fps, own, i, j = group["fp"].to_numpy(
@@ -191,9 +201,10 @@ def links(distinct: DataFrame, at: str, radius: int = RADIUS, block: int = BLOCK
         ) if group["fp"].dtype == np.uint64 else group["fp"].to_numpy().view(np.uint64), group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
         found = forest(fps, None, radius) if i == j else forest(fps[own == i], fps[own == j], radius)
         pair = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
+        return pd.DataFrame({**{c: np.full(len(pair), group[c].iloc[0], np.int64) for c in by}, "a": pair[:, 0], "b": pair[:, 1]})
 
-    searched = tasks.groupBy("table", "key", "i", "j").applyInPandas(search, "a long, b long")
+    schema = ", ".join([*(f"{c} long" for c in by), "a long, b long"])
+    searched = tasks.groupBy(*bucket, "i", "j").applyInPandas(search, schema)
     return written(pairs.unionByName(searched).distinct(), f"{at}/links")
 
 
@@ -254,7 +265,10 @@ def distinct_hashes(text: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, node, n, parts): the row's key, a digest of its text's set of shingles, the set's size and parts. Whole texts; null counts as empty."""
+    """(id, row, node, n, parts): the row's key, a digest of its text's set of shingles, the set's size and its fingerprints.
+
+    These are that of all shingles, then those of parts; none where there are no shingles. Whole texts; null counts as empty.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,7 +277,7 @@ def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataF
                 own = distinct_hashes(batch.column(2)[i].as_py() or "")
                 nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
-                found.append(parts(own) if len(own) else np.empty(0, np.int64))
+                found.append(marks(own) if len(own) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
                 names=["id", "row", "node", "n", "parts"]
@@ -273,19 +287,55 @@ def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(sketch, "id long, row long, node binary, n long, parts array<long>")
 
 
+def near_classes(nodes: DataFrame, at: str, radius: int = RADIUS) -> DataFrame:
+    """(part, fp, root, size, texts): fingerprints whose texts are candidates of others. ``nodes``: a written table of (node, part, fp).
+
+    As in ``grouped``, texts are first brought together by fingerprint, and the covering tables then link those of
+    a part at ``radius`` bits or fewer. What the links connect is a bucket, ``root``; ``size`` is its number of texts,
+    ``texts`` the fingerprint's own. Parts are taken a few at a time, so the tables' files never lie there all at once.
+    """
+    spark = nodes.sparkSession
+    counted = written(nodes.groupBy(F.col("part").cast("long").alias("part"), "fp").agg(F.count("*").alias("texts")), f"{at}/fingerprints")
+    of = {r["part"]: r["count"] for r in counted.groupBy("part").count().collect()}
+    batches, room = [], 0
+    for part in sorted(of):
+        if of[part] > room:
+            batches.append([])
+            room = TOGETHER
+        batches[-1].append(part)
+        room -= of[part]
+    linked = spark.createDataFrame([], "part long, a long, b long")
+    for k, batch in enumerate(batches):
+        tasks = 1 + sum(of[part] for part in batch) // TASK
+        own = counted.where(F.col("part").isin(batch)).select("part", "fp").repartition(tasks, "part", "fp")
+        linked = linked.unionByName(links(own, f"{at}/covering{k}", radius, by=("part",)))
+        remove(spark, f"{at}/covering{k}/buckets")
+        del own
+        if len(batches) > 1:
+            spark._jvm.System.gc()  # frees the shuffle files of the batch
+    ends = [F.struct("part", F.col(c).alias("fp")).alias(c) for c in ("a", "b")]
+    roots = components(linked.select(*ends), f"{at}/fingerprint-components")
+    roots = written(roots.select("node.part", "node.fp", F.col("root.fp").alias("root")), f"{at}/roots")
+    named = counted.join(small(roots), ["part", "fp"], "left").select("part", "fp", F.coalesce("root", "fp").alias("root"), "texts")
+    buckets = named.groupBy("part", "root").agg(F.sum("texts").alias("size"), F.count("*").alias("fps")).where("size > 1")
+    buckets = written(buckets, f"{at}/buckets")
+    return written(matched(named, buckets, ["part", "root"], "fps").select("part", "fp", "root", "size", "texts"), f"{at}/classes")
+
+
 def near_links(docs: DataFrame, marked: DataFrame, at: str, row_col: str, text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of nodes that connect all whose shingle sets are alike. ``marked``: the written sketches of ``docs``. A set is taken from one row of those that have it.
 
-    Candidates have the same fingerprint for a part: pairs of similarity 0.8 draw the same four shingles with a
-    chance of 0.41, so one in 20 million has no part of 32 in common. Every candidate's similarity is then taken
-    from the whole sets: pairs of small buckets once for each pair, large buckets by tasks of two blocks each.
+    Candidates have fingerprints of all shingles, or of one part, that the covering tables link at ``RADIUS`` bits or
+    fewer. Pairs of similarity 0.8 draw the same four shingles for a part with a chance of 0.41, so one in 20 million
+    has no part of 32 in common. Every candidate's similarity is then taken from the whole sets: pairs of small
+    buckets once for each pair, large buckets by tasks of two blocks each.
     """
     spark = docs.sparkSession
     at = f"{at}/search"
     nodes = marked.dropDuplicates(["node"]).select("node", "row", "n", F.posexplode("parts").alias("part", "fp"))
     nodes = written(nodes, f"{at}/parts")
-    buckets = written(nodes.groupBy("part", "fp").agg(F.count("*").alias("size")).where("size > 1"), f"{at}/buckets")
-    members = written(matched(nodes, buckets, ["part", "fp"], "size"), f"{at}/members")
+    members = matched(nodes, near_classes(nodes, at), ["part", "fp"], "texts")
+    members = written(members.select("node", "row", "n", "part", F.col("root").alias("fp"), "size"), f"{at}/members")
     wanted = written(members.select("node", "row").distinct(), f"{at}/wanted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +412,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are linked where the Jaccard similarity of their sets of five-word shingles is 0.8 or more, taken from
     the whole sets, and a group is what links connect. Words are split at ASCII white space, A-Z lower-cased;
     fewer than five words are one shingle. Texts without words link with each other only. A 64-bit fingerprint
-    of all shingles differs by 4 to 14 bits at 0.8, so candidates come from fingerprints of parts (``near_links``).
+    of all shingles differs by 4 to 14 bits at 0.8, so the covering tables search fingerprints of parts too (``near_links``).
     Rows of null ids have a null component.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())

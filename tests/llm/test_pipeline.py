@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sheaf.llm import block_search, exact_dedup, registry, rows, simhash, token_store, toxicity, url_filter
 from sheaf.llm.components import components
-from sheaf.llm.store import workspace
+from sheaf.llm.store import workspace, written
 from tests.llm.test_llm import brute_components, crc, edited_texts, norm, order
 from tests.oracle import assert_same
 
@@ -393,3 +393,33 @@ def test_urls_long_repeated_and_of_any_columns(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_queries_equal_their_sql(spark, folder, name):
     assert_same(registry.QUERIES[name](spark, folder), registry.ORACLES[name], folder)
+
+
+@pytest.mark.parametrize("together", [simhash.TOGETHER, 250])
+def test_near_candidates_come_from_the_covering_tables(spark, monkeypatch, together):
+    """Alike texts whose fingerprints differ by one to four bits, by more, in the same part and in another; and equal ones of unlike texts."""
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = random.Random(13)
+    base = [[f"w{rng.randrange(50000)}" for _ in range(120)] for _ in range(9)]
+    texts, marks = [], []
+    far = lambda: rng.getrandbits(63)
+    flipped = lambda fp, bits: fp ^ sum(1 << b for b in rng.sample(range(63), bits))
+    for k, words in enumerate(base[:8]):  # a text and one with a word changed; the k-th pair differs by k bits in part k
+        fps = [far() for _ in range(33)]
+        edited = [flipped(fp, 20) for fp in fps]
+        edited[k] = flipped(fps[k], k)
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+        marks += [fps, edited]
+    texts += [" ".join(base[8]), " ".join([*base[8][:-1], "other"]), " ".join(reversed(base[0]))]
+    shifted = [far() for _ in range(33)]
+    marks += [shifted, [flipped(fp, 20) for fp in shifted[1:] + shifted[:1]], marks[0]]  # alike but unlinked; unlike with equal fingerprints
+    marks[-2][5] = shifted[6]  # equal, but of another part
+    sets = [simhash.distinct_hashes(t) for t in texts]
+    made = [(k, k, bytes([k]) * 16, len(s), m) for k, (s, m) in enumerate(zip(sets, marks, strict=True))]
+    at = workspace(spark, "candidates")
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), f"{at}/rows")
+    marked = written(spark.createDataFrame(made, "id long, row long, node binary, n long, parts array<long>"), f"{at}/sketches")
+    found = {tuple(sorted((r["a"][0], r["b"][0]))) for r in simhash.near_links(docs, marked, at, "row").collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(5)}
+    sketch = {r["id"]: r["parts"] for r in simhash.sketches(docs, "row", "row", "text").collect()}
+    assert all(sketch[k][0] % (1 << 64) == simhash.fingerprint(s) and len(sketch[k]) == 33 for k, s in enumerate(sets))
